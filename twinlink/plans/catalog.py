@@ -136,3 +136,104 @@ def q_rule_report(spark, sf):
     select="SELECT CAST(count(*) AS BIGINT) AS n_datasets, round(avg(f1), 12) AS mean_f1 FROM rep"))
 def q_rule_mean(spark, sf):
     return mean_f1(metrics_report(_rule_scored(spark, sf)))
+
+
+# --- A1-A8: attribute pairs ---
+
+from twinlink.operators.attributes import attribute_pairs  # noqa: E402
+from twinlink.operators import sampling as M  # noqa: E402
+
+_AP = ("attr_pair_id", "dataset", "split", "attribute", "left_value", "right_value", "label")
+
+
+@register("a8_attribute_pairs", O.with_fixture(*O.ATTR_PAIRS_CTES, select="SELECT * FROM ap"))
+def q_attribute_pairs(spark, sf):
+    return attribute_pairs(fixture_pairs(spark, sf))
+
+
+@register("a5_attribute_label_counts", O.with_fixture(*O.ATTR_PAIRS_CTES, select=(
+    "SELECT dataset, split, attribute, label, CAST(count(*) AS BIGINT) AS n FROM ap "
+    "GROUP BY dataset, split, attribute, label")))
+def q_attribute_label_counts(spark, sf):
+    return (attribute_pairs(fixture_pairs(spark, sf))
+            .groupBy("dataset", "split", "attribute", "label").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- M1-M7: exact sampling ---
+
+_MEMBERS = "SELECT pair_id, dataset, split, label FROM "
+
+
+@register("m1_sample_exact", O.with_fixture(
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY dataset, split ORDER BY {O.key_sql(7, 'm1')}, pair_id) AS rn "
+    "FROM pairs)", select=_MEMBERS + "r WHERE rn <= 50"))
+def q_sample_exact(spark, sf):
+    s = M.sample_exact(fixture_pairs(spark, sf), 50, seed=7, op="m1", by=["dataset", "split"])
+    return s.select("pair_id", "dataset", "split", "label")
+
+
+def _train(spark, sf):
+    return fixture_pairs(spark, sf).where(F.col("split") == "train")
+
+
+@register("m3_one_pos_two_neg_uncapped", O.with_fixture(
+    "tr AS (SELECT * FROM pairs WHERE split = 'train')",
+    "c AS (SELECT dataset, count(*) AS total, count(*) FILTER (WHERE label = 1) AS pos FROM tr GROUP BY dataset)",
+    f"r AS (SELECT tr.*, row_number() OVER (PARTITION BY dataset, label ORDER BY "
+    f"{O.key_sql(42, 'one_pos_two_neg')}, pair_id) AS rn FROM tr)",
+    select=_MEMBERS + "r JOIN c USING (dataset) WHERE c.total < 200 OR r.label = 1 OR r.rn <= 2 * c.pos"))
+def q_one_pos_two_neg_uncapped(spark, sf):
+    s = M.one_pos_two_neg(_train(spark, sf), seed=42, small_set=200, cap=10 ** 9)
+    return s.select("pair_id", "dataset", "split", "label")
+
+
+@register("m3_one_pos_two_neg_sizes", O.with_fixture(
+    "tr AS (SELECT * FROM pairs WHERE split = 'train')",
+    select=("SELECT dataset, CAST(CASE WHEN count(*) < 1200 THEN count(*) "
+            "ELSE least(1200, 3 * count(*) FILTER (WHERE label = 1)) END AS BIGINT) AS n_rows "
+            "FROM tr GROUP BY dataset")))
+def q_one_pos_two_neg_sizes(spark, sf):
+    s = M.one_pos_two_neg(_train(spark, sf))
+    return s.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _rule_train(spark, sf):
+    tr = _train(spark, sf)
+    return attach_predictions(tr, rule_predictions(tr))
+
+
+@register("m4_automl_filter", O.with_fixture(
+    f"tr AS (SELECT *, {O.RULE_PRED_SQL} AS prediction FROM pairs WHERE split = 'train')",
+    *O.automl_filter_cte("m4", "tr"), select=_MEMBERS + "m4"))
+def q_automl_filter(spark, sf):
+    return M.automl_filter(_rule_train(spark, sf)).select("pair_id", "dataset", "split", "label")
+
+
+@register("m5_balance_attribute_pairs", O.with_fixture(
+    *O.ATTR_PAIRS_CTES,
+    "c AS (SELECT split, attribute, label, count(*) AS n FROM ap GROUP BY ALL)",
+    "m AS (SELECT split, attribute, min(n) AS m FROM c GROUP BY ALL)",
+    f"r AS (SELECT ap.*, row_number() OVER (PARTITION BY split, attribute, label ORDER BY "
+    f"{O.key_sql(1, 'balance_attr', 'attr_pair_id')}, attr_pair_id) AS rn FROM ap)",
+    select=("SELECT attr_pair_id, dataset, r.split, r.attribute, left_value, right_value, label "
+            "FROM r JOIN m USING (split, attribute) WHERE r.rn <= m.m")))
+def q_balance(spark, sf):
+    return M.balance_attribute_pairs(attribute_pairs(fixture_pairs(spark, sf)), seed=1, cap=None) \
+        .select(*_AP)
+
+
+@register("m6_cap_attribute_pairs_sizes", O.with_fixture(
+    *O.ATTR_PAIRS_CTES,
+    "c AS (SELECT split, attribute, label, count(*) AS n FROM ap GROUP BY ALL)",
+    select=("SELECT split, attribute, CAST(least(800, min(n) * count(*)) AS BIGINT) AS n_rows "
+            "FROM c GROUP BY split, attribute")))
+def q_cap_sizes(spark, sf):
+    s = M.balance_attribute_pairs(attribute_pairs(fixture_pairs(spark, sf)), seed=1, cap=800)
+    return s.groupBy("split", "attribute").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("m7_validation_subsample", O.with_fixture(
+    select=_MEMBERS + f"pairs WHERE split = 'valid' ORDER BY {O.key_sql(42, 'valid_subsample')}, pair_id LIMIT 2000"))
+def q_valid_subsample(spark, sf):
+    v = fixture_pairs(spark, sf).where(F.col("split") == "valid")
+    return M.validation_subsample(v, epoch=0).select("pair_id", "dataset", "split", "label")

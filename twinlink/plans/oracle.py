@@ -104,3 +104,52 @@ FROM (SELECT {by}, CAST(count(*) AS BIGINT) AS n_pairs,
         CAST(count(*) FILTER (WHERE prediction <> 1 AND label = 1) AS BIGINT) AS fn,
         CAST(count(*) FILTER (WHERE prediction <> 1 AND label <> 1) AS BIGINT) AS tn
       FROM {source} GROUP BY {by})"""
+
+
+def null_token_sql(x: str) -> str:
+    from twinlink.functions.nulls import ATTRIBUTE_NULL_TOKENS
+    toks = ", ".join("'" + t + "'" for t in ATTRIBUTE_NULL_TOKENS)
+    return f"({x} IS NULL OR {x} IN ({toks}))"
+
+
+def attribute_label_sql(l: str, r: str, numeric: str, row_label: str) -> str:
+    ln, rn = null_token_sql(l), null_token_sql(r)
+    return f"""CASE WHEN {ln} AND NOT {rn} THEN 0 WHEN NOT {ln} AND {rn} THEN 0 WHEN {ln} AND {rn} THEN 1
+  WHEN {numeric} AND TRY_CAST({l} AS DOUBLE) IS NOT NULL AND TRY_CAST({r} AS DOUBLE) IS NOT NULL
+       THEN CAST(TRY_CAST({l} AS DOUBLE) = TRY_CAST({r} AS DOUBLE) AS INTEGER)
+  WHEN lower({l}) = lower({r}) OR contains(lower({l}), lower({r})) OR contains(lower({r}), lower({l})) THEN 1
+  ELSE {row_label} END"""
+
+
+ATTR_PAIRS_CTES = (
+    "ex AS (SELECT pair_id, dataset, split, label AS row_label, unnest(attrs) AS a FROM pairs)",
+    "lab AS (SELECT pair_id, dataset, split, a.name AS attribute, a.left AS left_value, "
+    "a.right AS right_value, " + attribute_label_sql("a.left", "a.right", "a.numeric", "row_label")
+    + " AS label FROM ex)",
+    "ap AS (SELECT min(pair_id) || '#' || attribute AS attr_pair_id, dataset, split, attribute, "
+    "left_value, right_value, label FROM lab "
+    "GROUP BY dataset, split, attribute, left_value, right_value, label)",
+)
+
+RULE_PRED_SQL = ("CAST(coalesce(lower(list_filter(attrs, lambda a: a.name = 'name')[1].left) "
+                 "= lower(list_filter(attrs, lambda a: a.name = 'name')[1].right), false) AS INTEGER)")
+
+
+def key_sql(seed: int, op: str, id_col: str = "pair_id") -> str:
+    return f"md5('{seed}|{op}|' || {id_col})"
+
+
+def automl_filter_cte(name: str = "m4", source: str = "tr", seed: int = 42, small_set: int = 1200,
+                      max_pos: int = 400) -> list[str]:
+    """M4 over ``source(pair_id, dataset, split, label, attrs, prediction)``."""
+    return [
+        f"{name}_c AS (SELECT dataset, count(*) AS total, count(*) FILTER (WHERE label = 1) AS pos "
+        f"FROM {source} GROUP BY dataset)",
+        f"{name}_r AS (SELECT s.*, row_number() OVER (PARTITION BY dataset, label ORDER BY "
+        f"CASE WHEN label = 1 AND prediction = label THEN 1 ELSE 0 END, {key_sql(seed, 'automl_filter')}, "
+        f"pair_id) AS rn FROM {source} s)",
+        f"{name} AS (SELECT r.pair_id, r.dataset, r.split, r.label, r.attrs FROM {name}_r r "
+        f"JOIN {name}_c c USING (dataset) WHERE c.total < {small_set} "
+        f"OR (r.label = 1 AND r.rn <= least({max_pos}, c.pos)) "
+        f"OR (r.label = 0 AND r.rn <= 2 * least({max_pos}, c.pos)))",
+    ]
