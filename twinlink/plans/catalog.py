@@ -237,3 +237,165 @@ def q_cap_sizes(spark, sf):
 def q_valid_subsample(spark, sf):
     v = fixture_pairs(spark, sf).where(F.col("split") == "valid")
     return M.validation_subsample(v, epoch=0).select("pair_id", "dataset", "split", "label")
+
+
+# --- G1-G4: augmentation after the hard-positive filter ---
+
+from twinlink.operators import augment as G  # noqa: E402
+from twinlink.operators import assemble as D  # noqa: E402
+from twinlink.operators.serialise import serialise_text  # noqa: E402
+
+_M4_CTES = (f"tr AS (SELECT *, {O.RULE_PRED_SQL} AS prediction FROM pairs WHERE split = 'train')",
+            *O.automl_filter_cte("m4", "tr"))
+_AUG_OUT = "SELECT pair_id, dataset, split, label, " + O.serialise_sql("mode4", "vkey") + " AS text FROM g"
+
+
+def _aug_out(df):
+    return df.select("pair_id", "dataset", "split", "label", serialise_text("mode4").alias("text"))
+
+
+def _filtered(spark, sf):
+    return M.automl_filter(_rule_train(spark, sf)).drop("prediction", "proba_0", "proba_1")
+
+
+@register("g1_flip", O.with_fixture(
+    *_M4_CTES, f"u AS (SELECT * FROM m4 UNION ALL {O.flip_sql('m4')})", f"g AS ({O.dedup_sql('u')})",
+    select=_AUG_OUT))
+def q_flip(spark, sf):
+    return _aug_out(G.flip_augment(_filtered(spark, sf)))
+
+
+@register("g2_permute", O.with_fixture(
+    *_M4_CTES, *O.permute_ctes("m4", "pm"), "u AS (SELECT * FROM m4 UNION ALL SELECT * FROM pm)",
+    f"g AS ({O.dedup_sql('u')})", select=_AUG_OUT))
+def q_permute(spark, sf):
+    return _aug_out(G.permute_augment(_filtered(spark, sf)))
+
+
+@register("g3_flip_permute", O.with_fixture(
+    *_M4_CTES, *O.permute_ctes("m4", "pm"),
+    f"u AS (SELECT * FROM m4 UNION ALL {O.flip_sql('m4')} UNION ALL SELECT * FROM pm)",
+    f"g AS ({O.dedup_sql('u')})", select=_AUG_OUT))
+def q_flip_permute(spark, sf):
+    return _aug_out(G.flip_permute_augment(_filtered(spark, sf)))
+
+
+# --- D1-D11: assembled, serialised sets ---
+
+def _rule_preds(spark, sf):
+    return rule_predictions(fixture_pairs(spark, sf))
+
+
+def _rows(spark, sf, mode="mode1", sampler="automl_filter"):
+    preds = _rule_preds(spark, sf) if sampler.startswith("automl") else None
+    return D.read_datasets(fixture_pairs(spark, sf), mode, sampler, preds)
+
+
+_D2_CTES = (*_M4_CTES,
+            "rows_p AS (SELECT pair_id, dataset, split, label, attrs FROM m4 UNION ALL "
+            "SELECT pair_id, dataset, split, label, attrs FROM pairs WHERE split <> 'train')")
+
+
+def _rows_sql(mode):
+    return f"rows AS (SELECT pair_id, dataset, split, {O.serialise_sql(mode)} AS text, label FROM rows_p)"
+
+
+@register("d1_read_datasets", O.with_fixture(*_D2_CTES, _rows_sql("mode1"), select="SELECT * FROM rows"))
+def q_read_datasets(spark, sf):
+    return _rows(spark, sf, "mode1", "automl_filter")
+
+
+@register("d2_read_datasets_flip_permute", O.with_fixture(
+    *_M4_CTES, *O.permute_ctes("m4", "pm"),
+    f"u AS (SELECT * FROM m4 UNION ALL {O.flip_sql('m4')} UNION ALL SELECT * FROM pm)",
+    f"g AS ({O.dedup_sql('u')})",
+    select=(f"SELECT pair_id, dataset, split, {O.serialise_sql('mode2', 'vkey')} AS text, label FROM g "
+            f"UNION ALL SELECT pair_id, dataset, split, {O.serialise_sql('mode2')} AS text, label "
+            f"FROM pairs WHERE split <> 'train'")))
+def q_read_datasets_fp(spark, sf):
+    return _rows(spark, sf, "mode2", "automl_filter_flip_permute")
+
+
+@register("d5_hold_out", O.with_fixture(*_D2_CTES, _rows_sql("mode3"),
+                                        select="SELECT * FROM rows WHERE dataset <> 'cust'"))
+def q_hold_out(spark, sf):
+    return D.hold_out(_rows(spark, sf, "mode3", "automl_filter"), "cust")
+
+
+_FOLDS = ["prod", "cust", "supp"]
+
+
+@register("d6_all_folds_sizes", O.with_fixture(
+    *_D2_CTES, _rows_sql("mode1"),
+    select=("SELECT fold, split, CAST(count(*) AS BIGINT) AS n_rows FROM rows, "
+            "(VALUES ('prod'), ('cust'), ('supp')) f(fold) WHERE dataset <> fold GROUP BY fold, split")))
+def q_all_folds(spark, sf):
+    return D.split_sizes(D.all_folds(_rows(spark, sf), _FOLDS), by=("fold", "split"))
+
+
+def _attr_texts(spark, sf, cap=800, mode="mode1"):
+    return D.read_attribute_datasets(attribute_pairs(fixture_pairs(spark, sf)), mode, cap=cap)
+
+
+_BAL_CTES = (*O.ATTR_PAIRS_CTES,
+             "c AS (SELECT split, attribute, label, count(*) AS n FROM ap GROUP BY ALL)",
+             "m AS (SELECT split, attribute, min(n) AS m FROM c GROUP BY ALL)",
+             f"r AS (SELECT ap.*, row_number() OVER (PARTITION BY split, attribute, label ORDER BY "
+             f"{O.key_sql(1, 'balance_attr', 'attr_pair_id')}, attr_pair_id) AS rn FROM ap)",
+             "bal AS (SELECT r.* FROM r JOIN m USING (split, attribute) WHERE r.rn <= m.m)",
+             f"attr_t AS (SELECT attr_pair_id AS pair_id, dataset, split, "
+             f"{O.serialise_sql('mode1', O.ATTR_AS_PAIR)} AS text, label FROM bal)")
+
+
+@register("d3_attribute_datasets_sizes", O.with_fixture(
+    *O.ATTR_PAIRS_CTES,
+    "c AS (SELECT split, attribute, label, count(*) AS n FROM ap GROUP BY ALL)",
+    "s AS (SELECT split, attribute, least(800, min(n) * count(*)) AS n_rows FROM c GROUP BY ALL)",
+    select="SELECT split, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM s GROUP BY split"))
+def q_attr_datasets_sizes(spark, sf):
+    return D.split_sizes(_attr_texts(spark, sf))
+
+
+@register("d3_attribute_datasets_balanced", O.with_fixture(*_BAL_CTES, select="SELECT * FROM attr_t"))
+def q_attr_datasets_balanced(spark, sf):
+    return _attr_texts(spark, sf, cap=None)
+
+
+@register("d8_attr_plus_row_balanced", O.with_fixture(
+    *_BAL_CTES, *_D2_CTES, _rows_sql("mode1"),
+    select=("SELECT min(pair_id) AS pair_id, arg_min(dataset, pair_id) AS dataset, 'train' AS split, text, label "
+            "FROM (SELECT * FROM attr_t WHERE split = 'train' UNION ALL SELECT * FROM rows WHERE split = 'train') "
+            "GROUP BY text, label UNION ALL SELECT * FROM rows WHERE split = 'valid'")))
+def q_attr_plus_row(spark, sf):
+    return D.mix_attr_plus_row(_attr_texts(spark, sf, cap=None), _rows(spark, sf)) \
+        .select("pair_id", "dataset", "split", "text", "label")
+
+
+@register("d9_attr_then_row_sizes", O.with_fixture(
+    *O.ATTR_PAIRS_CTES,
+    "c AS (SELECT split, attribute, label, count(*) AS n FROM ap GROUP BY ALL)",
+    "s AS (SELECT split, attribute, least(800, min(n) * count(*)) AS n_rows FROM c GROUP BY ALL)",
+    *_D2_CTES,
+    select=("SELECT 1 AS phase, split, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM s "
+            "WHERE split IN ('train', 'valid') GROUP BY split UNION ALL "
+            "SELECT 2 AS phase, split, CAST(count(*) AS BIGINT) AS n_rows FROM rows_p "
+            "WHERE split IN ('train', 'valid') GROUP BY split")))
+def q_attr_then_row(spark, sf):
+    return D.split_sizes(D.mix_attr_then_row(_attr_texts(spark, sf), _rows(spark, sf)), by=("phase", "split"))
+
+
+@register("d10_example_texts", O.with_fixture(
+    *_D2_CTES, _rows_sql("mode1"),
+    select="SELECT dataset, split, arg_min(text, pair_id) AS text FROM rows WHERE split IN ('test', 'valid') "
+           "GROUP BY dataset, split"))
+def q_examples(spark, sf):
+    return D.example_texts(_rows(spark, sf))
+
+
+@register("d11_split_sizes", O.with_fixture(
+    "c AS (SELECT dataset, split, count(*) AS total, count(*) FILTER (WHERE label = 1) AS pos "
+    "FROM pairs GROUP BY dataset, split)",
+    select=("SELECT split, CAST(sum(CASE WHEN split <> 'train' OR total < 1200 THEN total "
+            "ELSE least(1200, 3 * pos) END) AS BIGINT) AS n_rows FROM c GROUP BY split")))
+def q_split_sizes(spark, sf):
+    return D.split_sizes(_rows(spark, sf, "mode1", "one_pos_two_neg"))

@@ -153,3 +153,30 @@ def automl_filter_cte(name: str = "m4", source: str = "tr", seed: int = 42, smal
         f"OR (r.label = 1 AND r.rn <= least({max_pos}, c.pos)) "
         f"OR (r.label = 0 AND r.rn <= 2 * least({max_pos}, c.pos)))",
     ]
+
+
+VKEY = "list_transform(attrs, lambda a: {'name': a.name, 'left': a.left, 'right': a.right})"
+ATTR_AS_PAIR = "[{'name': 'value', 'left': left_value, 'right': right_value}]"
+
+
+def flip_sql(src: str) -> str:
+    return (f"SELECT pair_id || '#f' AS pair_id, dataset, split, label, list_transform(attrs, lambda a: "
+            f"{{'name': a.name, 'left': a.right, 'right': a.left, 'numeric': a.numeric}}) AS attrs FROM {src}")
+
+
+def permute_ctes(src: str, name: str, seed: int = 42) -> list[str]:
+    def sh(side):
+        return (f"list_sort(list_transform(attrs, lambda a, i: {{'k': md5('{seed}|permute|' || pair_id || "
+                f"'|{side}|' || (i - 1)), 'v': a.{side}, 'n': a.numeric}}))")
+    return [
+        f"{name}_k AS (SELECT *, {sh('left')} AS ls, {sh('right')} AS rs FROM {src})",
+        f"{name} AS (SELECT pair_id || '#p' AS pair_id, dataset, split, label, list_transform(attrs, "
+        f"lambda a, i: {{'name': a.name, 'left': rs[i].v, 'right': ls[i].v, 'numeric': rs[i].n AND ls[i].n}}) "
+        f"AS attrs FROM {name}_k)",
+    ]
+
+
+def dedup_sql(src: str) -> str:
+    """G4 over ``src`` -> pair_id, dataset, split, label, vkey."""
+    return (f"SELECT min(pair_id) AS pair_id, dataset, split, label, {VKEY} AS vkey FROM {src} "
+            f"GROUP BY dataset, split, label, {VKEY}")
