@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def attr_value(attrs: Column, name: str, side: str) -> Column:
-    return F.filter(attrs, lambda a: a["name"] == F.lit(name))[0][side]
+    """Value of attribute ``name`` on ``side``; null when the dataset lacks it."""
+    return F.get(F.filter(attrs, lambda a: a["name"] == F.lit(name)), 0)[side]
 
 
 def rule_predictions(pairs: DataFrame, attribute: str = "name") -> DataFrame:

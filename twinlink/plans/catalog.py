@@ -399,3 +399,111 @@ def q_examples(spark, sf):
             "ELSE least(1200, 3 * pos) END) AS BIGINT) AS n_rows FROM c GROUP BY split")))
 def q_split_sizes(spark, sf):
     return D.split_sizes(_rows(spark, sf, "mode1", "one_pos_two_neg"))
+
+
+# --- P6-P14, R1-R3, R7, R8, U7 on the text tables ---
+
+from twinlink.functions import text as TX  # noqa: E402
+from twinlink.operators.classifier import attr_value  # noqa: E402
+from twinlink.operators.report import (SERVING_RATES, dropped_for_length, length_filter,  # noqa: E402
+                                       token_cost_report, usd_per_1k_tokens)
+from twinlink.operators.score import argmax_class  # noqa: E402
+from twinlink.sources.fixtures import read_table  # noqa: E402
+
+
+@register("p13_strip_documents", "SELECT doc_id, " + O.strip_sql("text") + " AS text FROM documents")
+def q_strip(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", TX.strip_all("text").alias("text"))
+
+
+@register("p14_length_filter_documents",
+          f"SELECT doc_id, lang, n_tokens FROM (SELECT doc_id, lang, {O.count_tokens_sql('text')} AS n_tokens "
+          f"FROM documents) WHERE n_tokens <= 350")
+def q_length_filter(spark, sf):
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", "lang", TX.count_whitespace_tokens("text").alias("n_tokens"))
+    return length_filter(d, F.col("n_tokens"), 350)
+
+
+@register("r8_dropped_for_length",
+          f"SELECT lang, source, CAST(count(*) AS BIGINT) AS n_texts, "
+          f"CAST(count(*) FILTER (WHERE {O.count_tokens_sql('text')} > 350) AS BIGINT) AS n_dropped "
+          f"FROM documents GROUP BY lang, source")
+def q_dropped(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return dropped_for_length(d, TX.count_whitespace_tokens("text"), 350, by=("lang", "source"))
+
+
+def _cost_values_sql():
+    rows = ", ".join(f"('{m}', CAST('{usd_per_1k_tokens(r, k)!r}' AS DOUBLE))"
+                     for m, (r, k) in sorted(SERVING_RATES.items()))
+    return f"(VALUES {rows}) rates(model, usd_per_1k_tokens)"
+
+
+@register("r7_token_cost_report", O.with_fixture(
+    f"t AS (SELECT dataset, {O.serialise_sql('mode1')} AS text FROM pairs WHERE split = 'test')",
+    f"a AS (SELECT dataset, CAST(count(*) AS BIGINT) AS n_records, "
+    f"CAST(sum(least({O.count_tokens_sql('text')}, 350)) AS BIGINT) AS n_tokens FROM t GROUP BY dataset)",
+    select=(f"SELECT dataset, n_records, n_tokens, model, usd_per_1k_tokens, "
+            f"n_tokens / CAST(1000 AS DOUBLE) * usd_per_1k_tokens AS cost_usd FROM a, {_cost_values_sql()}")))
+def q_cost(spark, sf):
+    t = serialise(fixture_pairs(spark, sf).where(F.col("split") == "test"), "mode1")
+    return token_cost_report(t, TX.count_whitespace_tokens("text"))
+
+
+@register("r1_text_to_bool_conversations",
+          "SELECT conv_id, turn, role, (contains(lower(text), 'yes') OR contains(lower(text), 'true')) AS positive "
+          "FROM conversations")
+def q_text_to_bool(spark, sf):
+    c = read_table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", "role", TX.text_to_bool("text").alias("positive"))
+
+
+@register("r2_r3_labels_by_lang", O.metrics_select_sql(
+    "(SELECT d.lang, l.quality AS prediction, l.toxic AS label FROM labels l JOIN documents d USING (doc_id))",
+    by="lang"))
+def q_labels_metrics(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang")
+    scored = lab.join(docs, "doc_id").select("lang", F.col("quality").alias("prediction"),
+                                             F.col("toxic").alias("label"))
+    return metrics_report(scored, by=("lang",))
+
+
+@register("u7_argmax_embeddings",
+          "SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS predicted "
+          "FROM embeddings")
+def q_argmax(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", argmax_class("embedding").alias("predicted"))
+
+
+@register("p11_p12_label_text",
+          "SELECT doc_id, CASE quality WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS quality_text, "
+          "CASE toxic WHEN 0 THEN 'False' WHEN 1 THEN 'True' END AS toxic_text, "
+          "CAST(coalesce(CASE quality WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END IN ('True', 'Yes'), false) AS INTEGER) "
+          "AS quality_back, "
+          "CAST(coalesce(CASE toxic WHEN 0 THEN 'False' WHEN 1 THEN 'True' END IN ('True', 'Yes'), false) AS INTEGER) "
+          "AS toxic_back FROM labels")
+def q_label_text(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    q = TX.label_to_text("quality", yes_no=True)
+    t = TX.label_to_text("toxic", yes_no=False)
+    return lab.select("doc_id", q.alias("quality_text"), t.alias("toxic_text"),
+                      TX.text_to_label(q).alias("quality_back"), TX.text_to_label(t).alias("toxic_back"))
+
+
+def _attr_sql(name, side):
+    return f"list_filter(attrs, lambda a: a.name = '{name}')[1].{side}"
+
+
+@register("p6_p7_merge_price_currency", O.with_fixture(select=(
+    f"SELECT pair_id, CASE WHEN {_attr_sql('price', 'right')} IS NOT NULL AND {_attr_sql('brand', 'right')} "
+    f"IS NOT NULL THEN {_attr_sql('brand', 'right')} || {_attr_sql('price', 'right')} END AS strict_price, "
+    f"coalesce({_attr_sql('price', 'right')}, 'nan') || coalesce({_attr_sql('brand', 'right')}, 'nan') "
+    f"AS lenient_price FROM pairs")))
+def q_price_currency(spark, sf):
+    p = fixture_pairs(spark, sf)
+    price, cur = attr_value(F.col("attrs"), "price", "right"), attr_value(F.col("attrs"), "brand", "right")
+    return p.select("pair_id", TX.merge_price_currency(price, cur).alias("strict_price"),
+                    TX.merge_price_currency(price, cur, lenient=True).alias("lenient_price"))

@@ -180,3 +180,15 @@ def dedup_sql(src: str) -> str:
     """G4 over ``src`` -> pair_id, dataset, split, label, vkey."""
     return (f"SELECT min(pair_id) AS pair_id, dataset, split, label, {VKEY} AS vkey FROM {src} "
             f"GROUP BY dataset, split, label, {VKEY}")
+
+
+def strip_sql(x: str) -> str:
+    from twinlink.functions.text import WHITESPACE_CLASS_RE2 as ws
+    return f"regexp_replace({x}, '^[{ws}]+|[{ws}]+$', '', 'g')"
+
+
+def count_tokens_sql(x: str) -> str:
+    from twinlink.functions.text import WHITESPACE_CLASS_RE2 as ws
+    s = strip_sql(x)
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {s} = '' THEN 0 "
+            f"ELSE len(regexp_split_to_array({s}, '[{ws}]+')) END")
