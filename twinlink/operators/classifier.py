@@ -22,3 +22,113 @@ def rule_predictions(pairs: DataFrame, attribute: str = "name") -> DataFrame:
     pred = same.cast("int")
     return pairs.select("pair_id", pred.alias("prediction"),
                         (1 - pred).cast("double").alias("proba_0"), pred.cast("double").alias("proba_1"))
+
+
+# --- U3-U5: Spark ML pair classifier on schema-independent native features ---
+
+from functools import reduce  # noqa: E402
+
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.classification import GBTClassifier  # noqa: E402
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from twinlink.functions.nulls import is_null_token  # noqa: E402
+
+FEATURES = ["f_equal", "f_contains", "f_one_null", "f_both_null",
+            "f_lev_mean", "f_lev_min", "f_lev_max", "f_jac_mean", "f_jac_min", "f_jac_max",
+            "f_num_close", "f_n_attrs"]
+
+
+def _attr_scores(a):
+    l, r = F.lower(a["left"]), F.lower(a["right"])
+    ln, rn = is_null_token(a["left"]), is_null_token(a["right"])
+    present = ~ln & ~rn
+    longest = F.greatest(F.length(l), F.length(r), F.lit(1))
+    lev = F.when(present, 1.0 - F.levenshtein(l, r).cast("double") / longest.cast("double")).otherwise(0.0)
+    tl, tr = F.split(l, "\\s+"), F.split(r, "\\s+")
+    union = F.size(F.array_union(tl, tr))
+    jac = F.when(present & (union > 0),
+                 F.size(F.array_intersect(tl, tr)).cast("double") / union.cast("double")).otherwise(0.0)
+    xl, xr = a["left"].try_cast("double"), a["right"].try_cast("double")
+    close = F.when(a["numeric"] & xl.isNotNull() & xr.isNotNull(),
+                   (F.abs(xl - xr) <= F.lit(1e-6) * F.greatest(F.abs(xl), F.abs(xr), F.lit(1.0))).cast("double"))
+    return F.struct(
+        F.when(present & (l == r), 1.0).otherwise(0.0).alias("eq"),
+        F.when(present & (F.contains(l, r) | F.contains(r, l)), 1.0).otherwise(0.0).alias("ct"),
+        F.when(ln != rn, 1.0).otherwise(0.0).alias("on"),
+        F.when(ln & rn, 1.0).otherwise(0.0).alias("bn"),
+        lev.alias("lev"), jac.alias("jac"), close.alias("nc"))
+
+
+def _mean(arr, field):
+    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x[field])
+    return F.when(F.size(arr) > 0, total / F.size(arr)).otherwise(0.0)
+
+
+def pair_features(pairs: DataFrame) -> DataFrame:
+    """Per-attribute similarities (equal, contained, nulls, Levenshtein ratio, token
+    Jaccard, numeric closeness) folded into mean/min/max over attributes, so pairs of
+    datasets with different schemas share one feature space."""
+    d = pairs.withColumn("_s", F.transform("attrs", _attr_scores))
+    s = F.col("_s")
+    lev, jac = F.transform(s, lambda x: x["lev"]), F.transform(s, lambda x: x["jac"])
+    nc = F.filter(F.transform(s, lambda x: x["nc"]), lambda v: v.isNotNull())
+    feats = {
+        "f_equal": _mean(s, "eq"), "f_contains": _mean(s, "ct"),
+        "f_one_null": _mean(s, "on"), "f_both_null": _mean(s, "bn"),
+        "f_lev_mean": _mean(s, "lev"), "f_lev_min": F.coalesce(F.array_min(lev), F.lit(0.0)),
+        "f_lev_max": F.coalesce(F.array_max(lev), F.lit(0.0)),
+        "f_jac_mean": _mean(s, "jac"), "f_jac_min": F.coalesce(F.array_min(jac), F.lit(0.0)),
+        "f_jac_max": F.coalesce(F.array_max(jac), F.lit(0.0)),
+        "f_num_close": F.coalesce(F.array_min(nc), F.lit(-1.0)),
+        "f_n_attrs": F.size("attrs").cast("double"),
+    }
+    return d.select("*", *[v.alias(k) for k, v in feats.items()]).drop("_s")
+
+
+def fit_pair_classifier(train: DataFrame, valid: DataFrame | None = None, seed: int = 42,
+                        max_iter: int = 40, max_depth: int = 4):
+    """GBT classifier on pair features; ``valid`` drives early stopping."""
+    data = pair_features(train).withColumn("_is_valid", F.lit(False))
+    if valid is not None:
+        data = data.unionByName(pair_features(valid).withColumn("_is_valid", F.lit(True)))
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxIter=max_iter,
+                        maxDepth=max_depth,
+                        validationIndicatorCol="_is_valid" if valid is not None else None)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt])
+    return pipe.fit(data.withColumn("label", F.col("label").cast("double")))
+
+
+def predict_pairs(model, pairs: DataFrame) -> DataFrame:
+    """U4: ``pair_id, prediction, proba_0, proba_1`` (plus dataset, split)."""
+    out = model.transform(pair_features(pairs))
+    p = vector_to_array("probability")
+    return out.select("pair_id", "dataset", "split", F.col("prediction").cast("int").alias("prediction"),
+                      p[0].alias("proba_0"), p[1].alias("proba_1"))
+
+
+def prepare_predictions(pairs: DataFrame, datasets: list[str], seed: int = 42) -> DataFrame:
+    """One model per dataset, fitted on its train split with valid for tuning;
+    in-sample train and valid predictions (they feed the hard-positive filter)."""
+    outs = []
+    for ds in datasets:
+        mine = pairs.where(F.col("dataset") == ds)
+        train, valid = mine.where(F.col("split") == "train"), mine.where(F.col("split") == "valid")
+        model = fit_pair_classifier(train, valid, seed=seed)
+        outs.append(predict_pairs(model, mine.where(F.col("split").isin("train", "valid"))))
+    return reduce(lambda a, b: a.unionByName(b), outs)
+
+
+# --- U6: user-supplied batch scorer ---
+
+def score_with(df: DataFrame, make_predict_fn, input_col: str = "text", batch_size: int = 128,
+               out_col: str = "logits", n_classes: int = 2) -> DataFrame:
+    """Run a user model over Arrow batches (``predict_batch_udf``); the model is
+    built once per Python worker by ``make_predict_fn() -> (np.ndarray[str] -> np.ndarray)``
+    and returns one row of ``n_classes`` logits per text."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
+                            batch_size=batch_size, input_tensor_shapes=None)
+    return df.withColumn(out_col, udf(F.col(input_col)))

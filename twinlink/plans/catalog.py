@@ -507,3 +507,106 @@ def q_price_currency(spark, sf):
     price, cur = attr_value(F.col("attrs"), "price", "right"), attr_value(F.col("attrs"), "brand", "right")
     return p.select("pair_id", TX.merge_price_currency(price, cur).alias("strict_price"),
                     TX.merge_price_currency(price, cur, lenient=True).alias("lenient_price"))
+
+
+# --- S1-S7 / K1-K4: files written by Spark from the fixture and read back ---
+
+from twinlink.session import scratch_dir  # noqa: E402
+from twinlink.sources import files as FS  # noqa: E402
+from twinlink.sources.fixtures import FIXTURE_BY_NAME, fixture_records  # noqa: E402
+
+
+@register("s1_record_csv_roundtrip", O.with_fixture(select=(
+    "SELECT CAST(id AS VARCHAR) AS id, name, brand, CAST(price AS VARCHAR) AS price FROM prod_b")))
+def q_record_csv(spark, sf):
+    spec = FIXTURE_BY_NAME["prod"]
+    _, b = fixture_records(spark, sf, spec)
+    path = scratch_dir(spark, "records-csv")
+    b.toDF(spec.id_col, *[a.column for a in spec.attrs]).write.option("header", True).csv(path)
+    return FS.read_record_table(spark, path, ["id"] + spec.attr_names, drop=["ptype"])
+
+
+@register("k1_s4_pairs_roundtrip", O.with_fixture(select=(
+    "SELECT pair_id, dataset, split, label, " + O.record_text_sql("left", ", ") + " AS record_l, "
+    + O.record_text_sql("right", ", ") + " AS record_r FROM pairs")))
+def q_pairs_roundtrip(spark, sf):
+    path = scratch_dir(spark, "pairs")
+    FS.write_pairs(fixture_pairs(spark, sf), path)
+    return FS.read_pairs(spark, path).select(
+        "pair_id", "dataset", "split", "label",
+        record_text("left", ", ").alias("record_l"), record_text("right", ", ").alias("record_r"))
+
+
+@register("k2_s5_attribute_pairs_roundtrip", O.with_fixture(*O.ATTR_PAIRS_CTES, select="SELECT * FROM ap"))
+def q_attr_roundtrip(spark, sf):
+    path = scratch_dir(spark, "attr-pairs")
+    FS.write_pairs(attribute_pairs(fixture_pairs(spark, sf)), path)
+    return FS.read_attribute_pairs(spark, path).select(*_AP)
+
+
+@register("k3_s6_predictions_roundtrip", O.with_fixture(select=(
+    f"SELECT pair_id, dataset, {O.RULE_PRED_SQL} AS prediction, CAST(1 - {O.RULE_PRED_SQL} AS DOUBLE) AS proba_0, "
+    f"CAST({O.RULE_PRED_SQL} AS DOUBLE) AS proba_1 FROM pairs")))
+def q_pred_roundtrip(spark, sf):
+    pairs = fixture_pairs(spark, sf)
+    preds = rule_predictions(pairs).join(pairs.select("pair_id", "dataset"), "pair_id")
+    path = scratch_dir(spark, "predictions")
+    FS.write_predictions(preds, path)
+    back = spark.read.parquet(path)
+    return back.select("pair_id", "dataset", "prediction", "proba_0", "proba_1")
+
+
+@register("k4_dump_predictions", O.with_fixture(select=(
+    f"SELECT pair_id, CAST({O.RULE_PRED_SQL} AS BIGINT) AS prediction, CAST(label AS BIGINT) AS label "
+    f"FROM pairs WHERE split = 'test'")))
+def q_dump(spark, sf):
+    scored = _rule_scored(spark, sf)
+    path = scratch_dir(spark, "dump")
+    FS.dump_predictions(scored, path)
+    return spark.read.schema("pair_id STRING, prediction BIGINT, label BIGINT").json(path)
+
+
+# --- U3-U6, R6: classifier, batch scorer and hold-out evaluation (no SQL oracle) ---
+
+from twinlink.operators.classifier import predict_pairs, fit_pair_classifier, score_with  # noqa: E402
+from twinlink.plans.holdout import holdout_evaluation  # noqa: E402
+from twinlink.sources.fixtures import FIXTURE_DATASETS as _FD  # noqa: E402
+
+
+@register("u3_u4_classifier_report")
+def q_classifier(spark, sf):
+    pairs = fixture_pairs(spark, sf)
+    model = fit_pair_classifier(pairs.where(F.col("split") == "train"), pairs.where(F.col("split") == "valid"))
+    test = pairs.where(F.col("split") == "test")
+    scored = predict_pairs(model, test).join(test.select("pair_id", "label"), "pair_id")
+    return metrics_report(scored)
+
+
+@register("r6_holdout_evaluation")
+def q_holdout(spark, sf):
+    return holdout_evaluation(fixture_pairs(spark, sf), [d.name for d in _FD], sampler="one_pos_two_neg")
+
+
+def _overlap_scorer():
+    """Example user model for U6: logits from token overlap of the two records."""
+    import re
+
+    import numpy as np
+
+    def predict(texts):
+        out = np.zeros((len(texts), 2), dtype=np.float32)
+        for i, t in enumerate(texts):
+            m = re.search(r"Record A is <p>(.*)</p>\. Record B is <p>(.*)</p>\.", str(t), re.S)
+            a, b = (m.group(1), m.group(2)) if m else ("", "")
+            ta, tb = set(a.lower().split()), set(b.lower().split())
+            j = len(ta & tb) / max(1, len(ta | tb))
+            out[i] = (0.5, j)
+        return out
+    return predict
+
+
+@register("u6_batch_scorer_report")
+def q_batch_scorer(spark, sf):
+    texts = serialise(fixture_pairs(spark, sf).where(F.col("split") == "test"), "mode1")
+    scored = score_with(texts, _overlap_scorer, "text").withColumn("prediction", argmax_class("logits"))
+    return metrics_report(scored)
