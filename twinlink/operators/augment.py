@@ -36,15 +36,20 @@ def permute(pairs: DataFrame, seed: int = 42) -> DataFrame:
                     attrs.alias("attrs"))
 
 
+def _is_copy(pid):
+    return pid.endswith("#f") | pid.endswith("#p")
+
+
 def dedup_pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs per dataset and split over label, names and values; the
-    smallest id survives, so an original wins over its '#f' / '#p' copy."""
+    """Distinct pairs per dataset and split over label, names and values.  An
+    original wins over an augmented copy ('#f' / '#p'); among equals the smallest id."""
     key = F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), a["left"].alias("left"),
                                                   a["right"].alias("right")))
-    return (pairs.withColumn("_v", key)
+    rank = F.struct(_is_copy(F.col("pair_id")).alias("copy"), F.col("pair_id").alias("id"))
+    return (pairs.withColumn("_v", key).withColumn("_rank", rank)
             .groupBy("dataset", "split", "label", "_v")
-            .agg(F.min("pair_id").alias("pair_id"), F.min_by("attrs", "pair_id").alias("attrs"))
-            .select("pair_id", "dataset", "split", "label", "attrs"))
+            .agg(F.min("_rank").alias("_rank"), F.min_by("attrs", "_rank").alias("attrs"))
+            .select(F.col("_rank.id").alias("pair_id"), "dataset", "split", "label", "attrs"))
 
 
 def flip_augment(pairs: DataFrame) -> DataFrame:

@@ -178,7 +178,8 @@ def permute_ctes(src: str, name: str, seed: int = 42) -> list[str]:
 
 def dedup_sql(src: str) -> str:
     """G4 over ``src`` -> pair_id, dataset, split, label, vkey."""
-    return (f"SELECT min(pair_id) AS pair_id, dataset, split, label, {VKEY} AS vkey FROM {src} "
+    rank = "{'copy': suffix(pair_id, '#f') OR suffix(pair_id, '#p'), 'id': pair_id}"
+    return (f"SELECT min({rank}).id AS pair_id, dataset, split, label, {VKEY} AS vkey FROM {src} "
             f"GROUP BY dataset, split, label, {VKEY}")
 
 
