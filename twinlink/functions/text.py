@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str.strip()/str.split() see it (str.isspace):
-# Unicode White_Space plus the four information separators U+001C..U+001F.
-WHITESPACE_CLASS_JAVA = (
-    "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A"
-    "\\u2028\\u2029\\u202F\\u205F\\u3000"
-)
-# Same set written for RE2 (DuckDB oracle).
-WHITESPACE_CLASS_RE2 = (
-    "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
-)
+# Whitespace as Python's str.strip()/str.split() see it: every code point for
+# which str.isspace() holds (29 of them: Unicode White_Space plus U+001C..U+001F).
+WHITESPACE_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+# The same set as an RE2 character class (DuckDB oracle).
+WHITESPACE_CLASS_RE2 = "".join(
+    (f"\\x{{{ord(ch):X}}}" if ord(ch) > 0x7E or ord(ch) < 0x20 else ch) for ch in WHITESPACE_CHARS)
 
 
 def _c(c):
@@ -23,21 +18,24 @@ def _c(c):
 
 
 def strip_all(c: Column | str) -> Column:
-    """Remove leading/trailing whitespace of every kind (Spark's trim only drops blanks)."""
-    ws = WHITESPACE_CLASS_JAVA
-    return F.regexp_replace(_c(c), f"^[{ws}]+|[{ws}]+$", "")
+    """Remove leading/trailing whitespace of every kind (Spark's trim only drops blanks).
+
+    A character-set trim, no regular expression."""
+    return F.btrim(_c(c), F.lit(WHITESPACE_CHARS))
 
 
 def count_whitespace_tokens(c: Column | str) -> Column:
-    """Default token counter: whitespace-separated pieces of the stripped text (0 for empty).
+    """Default token counter: whitespace-separated pieces of the text (0 for blank text).
 
-    An approximation of a subword tokenizer; pass a ``token_counter`` UDF where the
-    exact model count matters (see ``functions.tokens``).
+    Every whitespace character is mapped to a blank (``translate``, a character
+    map), then split on the single blank and empty pieces dropped -- no regular
+    expression and no strip pass.  An approximation of a subword tokenizer; pass a
+    ``token_counter`` UDF where the exact model count matters (``functions.tokens``).
     """
-    s = strip_all(c)
-    return (F.when(s.isNull(), F.lit(None).cast("int"))
-            .when(s == "", F.lit(0))
-            .otherwise(F.size(F.split(s, f"[{WHITESPACE_CLASS_JAVA}]+"))))
+    c = _c(c)
+    blanks = F.translate(c, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
+    n = F.size(F.array_remove(F.split(blanks, " "), ""))
+    return F.when(c.isNull(), F.lit(None).cast("int")).otherwise(n)
 
 
 def label_to_text(label: Column | str, yes_no: bool = True) -> Column:
