@@ -95,3 +95,20 @@ def test_validation_subsample(spark):
     e1 = {r.pair_id for r in M.validation_subsample(df, 1).collect()}
     assert e0 != e1
     assert M.validation_subsample(_pairs(spark, 0, 100), 0).count() == 100
+
+
+def test_sample_exact_many_groups_distributed_path(spark):
+    rows = [(f"g{i % 40}|{i}", f"g{i % 40}" if i % 40 else None, "train", 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "pair_id string, dataset string, split string, label int")
+    driver = M.sample_exact(df, 7, seed=5, op="t", by=["dataset"])
+    dist = M.sample_exact(df, 7, seed=5, op="t", by=["dataset"], max_driver_groups=3)
+    assert dist.count() == 40 * 7
+    assert sorted(r.pair_id for r in dist.collect()) == sorted(r.pair_id for r in driver.collect())
+    with pytest.raises(ValueError):
+        M.sample_exact(df, 101, seed=5, op="t", by=["dataset"], max_driver_groups=3)
+
+
+def test_group_counts_collect_is_bounded(spark):
+    df = spark.range(50).withColumnRenamed("id", "g")
+    with pytest.raises(M.TooManyGroups):
+        M.group_counts(df, ["g"], max_groups=10)

@@ -5,7 +5,9 @@ Every sample takes, per group, the k rows with the smallest
 compute alike.  Plans stay bounded at any input size:
 
 * group sizes come from one hash aggregate collected to the driver (a handful
-  of rows: datasets x labels, or attributes x labels);
+  of rows: datasets x labels, or attributes x labels).  The collect is bounded
+  (``MAX_DRIVER_GROUPS``); M1 over more groups than that keeps the counts and
+  thresholds distributed (a join with the counts table, skew split by AQE);
 * rows whose key lies above a per-group threshold are dropped map-side.  The
   threshold keeps about ``k + 8*sqrt(k) + 64`` rows of a group of any size, so
   the final per-group ranking never sees more than that;
@@ -35,11 +37,22 @@ from twinlink.functions.keys import sample_key
 MARGIN_SD = 8.0
 MARGIN_ROWS = 64
 _INLINE_GROUPS = 64
+# At most this many per-group counts travel to the driver (and back as a
+# broadcast parameter table of the same size).
+MAX_DRIVER_GROUPS = 100_000
 
 
-def group_counts(df: DataFrame, cols: list[str]) -> dict[tuple, int]:
-    """Sizes per group; the result has one row per group (datasets x labels)."""
-    rows = df.groupBy(*cols).count().collect()
+class TooManyGroups(ValueError):
+    pass
+
+
+def group_counts(df: DataFrame, cols: list[str], max_groups: int = MAX_DRIVER_GROUPS) -> dict[tuple, int]:
+    """Sizes per group (one row per group: datasets x labels and the like).
+
+    Never collects more than ``max_groups + 1`` rows; raises ``TooManyGroups`` beyond."""
+    rows = df.groupBy(*cols).count().limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise TooManyGroups(f"more than {max_groups} groups of {cols}")
     return {tuple(r[c] for c in cols): int(r["count"]) for r in rows}
 
 
@@ -140,15 +153,68 @@ def _rng(seed: int, *parts) -> np.random.Generator:
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, op: str = "sample", by: list[str] | None = None,
-                 id_col: str = "pair_id", materialize: bool = True) -> DataFrame:
+                 id_col: str = "pair_id", materialize: bool = True,
+                 max_driver_groups: int = MAX_DRIVER_GROUPS) -> DataFrame:
     """M1: exactly ``n`` rows per group (uniform, deterministic); raises when a group has fewer."""
     by = list(by or [])
-    counts = group_counts(df, by) if by else {(): df.count()}
+    try:
+        counts = group_counts(df, by, max_driver_groups) if by else {(): df.count()}
+    except TooManyGroups:
+        return _sample_exact_distributed(df, n, seed, op, by, id_col, materialize)
     for g, c in counts.items():
         _check_pool(n, c, f"group {g}")
     return sample_groups(df, by, {g: n for g in counts}, counts, seed, op, id_col, materialize)
 
 
+def _threshold_col(k: int, n: Column, margin_sd: float = MARGIN_SD, margin_rows: int = MARGIN_ROWS) -> Column:
+    """``_threshold`` as a column of the group size ``n`` (null = keep the whole group)."""
+    mu = k + margin_sd * math.sqrt(k) + margin_rows
+    bound = F.least(F.ceil(F.lit(mu) / n * F.lit(float(2 ** 32))), F.lit(2 ** 32 - 1)).cast("long")
+    return F.when(n > F.lit(mu), F.lower(F.lpad(F.hex(bound), 8, "0")))
+
+
+def _sample_exact_distributed(df: DataFrame, n: int, seed: int, op: str, by: list[str], id_col: str,
+                              materialize: bool) -> DataFrame:
+    """M1 over very many groups: counts and thresholds stay distributed.
+
+    The counts table joins back on the group keys (AQE broadcasts it when small
+    and splits a hot group otherwise); rows above their group's threshold drop
+    before the bounded ranking."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if counts.where(F.col("_n") < n).limit(1).count():
+        raise ValueError(f"Cannot take a larger sample ({n}) than the population of a group of {by}")
+    keyed = df.withColumn("_key", sample_key(seed, op, F.col(id_col)))
+
+    def ranked(params: DataFrame, use_threshold: bool) -> DataFrame:
+        d = _join_groups(keyed, params, by)
+        if use_threshold:
+            d = d.where(F.col("_thr").isNull() | (F.substring("_key", 1, 8) < F.col("_thr")))
+        w = Window.partitionBy(*by).orderBy(F.col("_key"), F.col(id_col))
+        return (d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(n))
+                 .drop("_rn", "_n", "_thr"))
+
+    out = ranked(counts.withColumn("_thr", _threshold_col(n, F.col("_n"))), True)
+    if not materialize:
+        return out.drop("_key")
+    out = out.checkpoint(eager=True)
+    got = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_got"))
+    short = _join_groups(counts, got, by, "left").where(F.coalesce(F.col("_got"), F.lit(0)) < F.lit(n)) \
+        .select(*by, "_n").withColumn("_thr", F.lit(None).cast("string"))
+    if short.limit(1).count():
+        short = short.checkpoint(eager=True)
+        redo = ranked(short, False)
+        out = _join_groups(out, short.select(*by), by, "left_anti").unionByName(redo).checkpoint(eager=True)
+    return out.drop("_key")
+
+
+def _join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group keys where null keys match (groupBy treats null as a group)."""
+    r = right.select(*[F.col(c).alias(f"_g_{c}") for c in by], *[c for c in right.columns if c not in by])
+    cond = [left[c].eqNullSafe(r[f"_g_{c}"]) for c in by]
+    out = left.join(r, cond, how)
+    return out if how in ("left_anti", "left_semi") else out.drop(*[f"_g_{c}" for c in by])
+
+
 def one_pos_two_neg(train: DataFrame, seed: int = 42, small_set: int = 1200, cap: int = 1200,
                     materialize: bool = True) -> DataFrame:
     """M2 + M3 per dataset: sets under ``small_set`` rows are kept whole; otherwise all
