@@ -610,3 +610,103 @@ def q_batch_scorer(spark, sf):
     texts = serialise(fixture_pairs(spark, sf).where(F.col("split") == "test"), "mode1")
     scored = score_with(texts, _overlap_scorer, "text").withColumn("prediction", argmax_class("logits"))
     return metrics_report(scored)
+
+
+# --- E1 ingest from raw files: S1 + S2 + P1/P9 + J1 + P5, S3 + P3/P6/P7/P8, S7 ---
+
+from twinlink.plans import ingest as IN  # noqa: E402
+from twinlink.operators.pairs import unpack_pairs  # noqa: E402
+from twinlink.sources.fixtures import fixture_id_pairs  # noqa: E402
+
+_J2_SELECT = ("SELECT pair_id, dataset, split, label, " + O.record_text_sql("left", ", ") + " AS record_l, "
+              + O.record_text_sql("right", ", ") + " AS record_r FROM pairs")
+
+
+def _record_texts(pairs):
+    return pairs.select("pair_id", "dataset", "split", "label",
+                        record_text("left", ", ").alias("record_l"), record_text("right", ", ").alias("record_r"))
+
+
+def _write_raw_files(spark, sf, spec, root):
+    """The fixture as the reference's raw inputs: two record CSVs with source column
+    names and one labelled id-pair CSV per split."""
+    a, b = fixture_records(spark, sf, spec)
+    src_names = [spec.id_col] + [at.column for at in spec.attrs]
+    paths = {"a": f"{root}/{spec.name}/tableA", "b": f"{root}/{spec.name}/tableB"}
+    a.toDF(*src_names).write.option("header", True).csv(paths["a"])
+    b.toDF(*src_names).write.option("header", True).csv(paths["b"])
+    ids = fixture_id_pairs(spark, sf, spec)
+    splits = {}
+    for split in ("train", "valid", "test"):
+        splits[split] = f"{root}/{spec.name}/{split}"
+        ids.where(F.col("split") == split).select("ltable_id", "rtable_id", "label") \
+           .write.option("header", True).csv(splits[split])
+    return paths, splits
+
+
+@register("e1_csv_files_to_row_pairs", O.with_fixture(select=_J2_SELECT))
+def q_csv_to_pairs(spark, sf):
+    root = scratch_dir(spark, "raw")
+    out = None
+    for spec in _FD:
+        paths, splits = _write_raw_files(spark, sf, spec, root)
+        p = IN.csv_pairs(spark, spec, paths["a"], paths["b"], splits)
+        out = p if out is None else out.unionByName(p)
+    return _record_texts(out)
+
+
+def _prejoined_sql():
+    name_l, name_r = _attr_sql("name", "left"), _attr_sql("name", "right")
+    price_l, price_r = _attr_sql("price", "left"), _attr_sql("price", "right")
+    cur_l, cur_r = _attr_sql("brand", "left"), _attr_sql("brand", "right")
+
+    def rec(name, price, cur):
+        strict = f"CASE WHEN {price} IS NOT NULL AND {cur} IS NOT NULL THEN {cur} || {price} END"
+        lenient = f"coalesce({price}, 'nan') || coalesce({cur}, 'nan')"
+        return (f"CASE split WHEN 'test' THEN coalesce({name}, 'nan') "
+                f"WHEN 'train' THEN coalesce({name}, 'nan') || ', ' || coalesce({strict}, 'nan') "
+                f"ELSE coalesce({name}, 'nan') || ', ' || {lenient} END")
+    return O.with_fixture(select=(
+        f"SELECT dataset, split, label, {rec(name_l, price_l, cur_l)} AS record_l, "
+        f"{rec(name_r, price_r, cur_r)} AS record_r FROM pairs WHERE dataset = 'prod'"))
+
+
+@register("s3_prejoined_exports", _prejoined_sql())
+def q_prejoined(spark, sf):
+    """Pre-joined labelled-pair exports (one per split, no ids) ingested with the
+    per-split price rules; prod's brand plays the currency."""
+    root = scratch_dir(spark, "prejoined")
+    wide = unpack_pairs(fixture_pairs(spark, sf, [FIXTURE_BY_NAME["prod"]]), ["name", "brand", "ptype", "price"])
+    paths = {}
+    for split in ("train", "valid", "test"):
+        paths[split] = f"{root}/{split}"
+        wide.where(F.col("split") == split).select(
+            F.col("name_l").alias("title_left"), F.col("price_l").alias("price_left"),
+            F.col("brand_l").alias("priceCurrency_left"), "label",
+            F.col("name_r").alias("title_right"), F.col("price_r").alias("price_right"),
+            F.col("brand_r").alias("priceCurrency_right")).write.parquet(paths[split])
+    pairs = IN.prejoined_pairs(spark, "prod", paths)
+    return _record_texts(pairs).drop("pair_id")
+
+
+@register("s7_test_split_pruned", O.with_fixture(select=_J2_SELECT + " WHERE split = 'test'"))
+def q_test_pruned(spark, sf):
+    path = scratch_dir(spark, "pairs")
+    FS.write_pairs(fixture_pairs(spark, sf), path)
+    return _record_texts(FS.read_pairs(spark, path, split="test"))
+
+
+@register("d7_mix_row", O.with_fixture(*_D2_CTES, _rows_sql("mode1"),
+                                       select="SELECT * FROM rows WHERE split IN ('train', 'valid')"))
+def q_mix_row(spark, sf):
+    return D.mix_row(_rows(spark, sf, "mode1", "automl_filter"))
+
+
+from twinlink.operators.classifier import prepare_predictions  # noqa: E402
+
+
+@register("u5_per_dataset_predictions")
+def q_prepare_predictions(spark, sf):
+    pairs = fixture_pairs(spark, sf)
+    return prepare_predictions(pairs, [d.name for d in _FD]).select(
+        "pair_id", "dataset", "split", "prediction", "proba_0", "proba_1")
