@@ -710,3 +710,44 @@ def q_prepare_predictions(spark, sf):
     pairs = fixture_pairs(spark, sf)
     return prepare_predictions(pairs, [d.name for d in _FD]).select(
         "pair_id", "dataset", "split", "prediction", "proba_0", "proba_1")
+
+
+# --- Streaming: the rule matcher's report and the similarity scores, built incrementally ---
+
+from twinlink.streaming import scoring as ST  # noqa: E402
+
+
+def _rule_scorer(pairs):
+    a = F.col("attrs")
+    same = F.coalesce(F.lower(attr_value(a, "name", "left")) == F.lower(attr_value(a, "name", "right")),
+                      F.lit(False))
+    return pairs.withColumn("prediction", same.cast("int"))
+
+
+def _stored_pairs(spark, sf):
+    path = scratch_dir(spark, "pairs-stream-src")
+    FS.write_pairs(fixture_pairs(spark, sf), path)
+    return path
+
+
+@register("st_streaming_rule_report", O.with_fixture(_RULE_SQL, select=O.metrics_select_sql("scored")))
+def q_stream_report(spark, sf):
+    src = _stored_pairs(spark, sf)
+    stream = ST.read_pair_stream(spark, src, max_files_per_trigger=4).where(F.col("split") == "test")
+    report, ckpt = scratch_dir(spark, "stream-report"), scratch_dir(spark, "stream-ckpt")
+    q = ST.start_report(ST.score_stream(stream, _rule_scorer), report, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(report)
+
+
+@register("st_streaming_similarity_scores")
+def q_stream_similarity(spark, sf):
+    from twinlink.operators.score import predict_by_similarity, similarity_inputs
+
+    def scorer(pairs):
+        return predict_by_similarity(similarity_inputs(pairs))
+    src = _stored_pairs(spark, sf)
+    stream = ST.read_pair_stream(spark, src, max_files_per_trigger=4).where(F.col("split") == "test")
+    out, ckpt = scratch_dir(spark, "stream-scores"), scratch_dir(spark, "stream-ckpt")
+    ST.start_scored_sink(ST.score_stream(stream, scorer), out, ckpt).awaitTermination()
+    return spark.read.parquet(out).select("pair_id", "dataset", "split", "label", "prediction")
