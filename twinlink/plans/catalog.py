@@ -628,7 +628,7 @@ def _record_texts(pairs):
 
 
 def _write_raw_files(spark, sf, spec, root):
-    """The fixture as the reference's raw inputs: two record CSVs with source column
+    """The fixture as raw matching inputs: two record CSVs with source column
     names and one labelled id-pair CSV per split."""
     a, b = fixture_records(spark, sf, spec)
     src_names = [spec.id_col] + [at.column for at in spec.attrs]
