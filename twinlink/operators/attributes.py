@@ -45,15 +45,29 @@ def explode_attribute_pairs(pairs: DataFrame) -> DataFrame:
         attribute_label(F.col("left"), F.col("right"), F.col("numeric"), F.col("row_label")).alias("label"))
 
 
+def _marked(c: Column) -> Column:
+    """Length-prefixed text, '-' for null: concatenations of marked values cannot collide."""
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+
+
+def attribute_pair_key(dataset: Column, split: Column, attribute: Column, left: Column, right: Column,
+                       label: Column) -> Column:
+    """Stable id of a distinct attribute pair: the dataset name and an md5 of its content."""
+    content = F.concat_ws("\u001f", _marked(dataset), _marked(split), _marked(attribute),
+                          label.cast("string"), _marked(left), _marked(right))
+    return F.concat(dataset, F.lit("#"), F.md5(content))
+
+
 def dedup_attribute_pairs(attr_rows: DataFrame) -> DataFrame:
     """Distinct (dataset, split, attribute, left, right, label); nulls compare equal.
 
-    The surviving row takes the smallest source pair id, which gives it a stable
-    key ``attr_pair_id``.  Partial aggregation dedups map-side before the shuffle.
+    A keys-only hash aggregate (partial aggregation dedups map-side, so a group of
+    copies collapses before the shuffle); the surviving row's id is a hash of its
+    content, so no string aggregate (which would force a sort-based plan) is needed.
     """
     keys = ["dataset", "split", "attribute", "left_value", "right_value", "label"]
-    return (attr_rows.groupBy(*keys).agg(F.min("pair_id").alias("_src"))
-            .select(F.concat(F.col("_src"), F.lit("#"), F.col("attribute")).alias("attr_pair_id"), *keys))
+    return (attr_rows.select(*keys).distinct()
+            .select(attribute_pair_key(*[F.col(k) for k in keys]).alias("attr_pair_id"), *keys))
 
 
 def attribute_pairs(pairs: DataFrame) -> DataFrame:

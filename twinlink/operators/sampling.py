@@ -36,7 +36,6 @@ from twinlink.functions.keys import sample_key
 
 MARGIN_SD = 8.0
 MARGIN_ROWS = 64
-_INLINE_GROUPS = 64
 # At most this many per-group counts travel to the driver (and back as a
 # broadcast parameter table of the same size).
 MAX_DRIVER_GROUPS = 100_000
@@ -64,60 +63,52 @@ def _threshold(k: int, n: int, margin_sd: float, margin_rows: int) -> str | None
     return f"{min(math.ceil(mu / n * 2 ** 32), 2 ** 32 - 1):08x}"
 
 
-def _match(cols: list[str], g: tuple) -> Column:
-    if not cols:
-        return F.lit(True)
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(cols, g)])
-
-
-def _lookup(df: DataFrame, cols: list[str], values: dict[tuple, tuple], names: list[str],
-            types: list[str]) -> DataFrame:
-    """Attach per-group parameters: inline CASE for few groups, else a broadcast join of
-    a table built on the driver from the collected counts (its size is the group count)."""
-    if len(values) <= _INLINE_GROUPS:
-        for i, (name, typ) in enumerate(zip(names, types)):
-            expr = None
-            for g, v in values.items():
-                lit = F.lit(v[i]).cast(typ)
-                expr = F.when(_match(cols, g), lit) if expr is None else expr.when(_match(cols, g), lit)
-            df = df.withColumn(name, expr if expr is not None else F.lit(None).cast(typ))
-        return df
-    spark = df.sparkSession
-    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in cols]
+def _group_table(df: DataFrame, cols: list[str], rows: dict[tuple, tuple], names: list[str],
+                 types: list[str]) -> DataFrame:
+    """Per-group parameters built on the driver from collected counts: one row per
+    group, at most ``MAX_DRIVER_GROUPS`` rows (the proven size bound of its broadcast)."""
+    if len(rows) > MAX_DRIVER_GROUPS:
+        raise TooManyGroups(f"{len(rows)} parameter rows")
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols]
                        + [f"{n} {t}" for n, t in zip(names, types)])
-    table = spark.createDataFrame([tuple(g) + tuple(v) for g, v in values.items()], schema)
-    return df.join(F.broadcast(table), [df[c].eqNullSafe(table[c]) for c in cols], "inner") \
-             .select(df["*"], *[table[n] for n in names])
+    return df.sparkSession.createDataFrame([tuple(g) + tuple(v) for g, v in rows.items()], schema)
 
 
 def take_smallest(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: dict[tuple, int],
                   key: str = "_key", id_col: str = "pair_id", margin_sd: float = MARGIN_SD,
                   margin_rows: int = MARGIN_ROWS, no_threshold: set | None = None) -> DataFrame:
     """Per group, the ``k[g]`` rows smallest by (key, id).  Groups absent from ``k`` or
-    with k = 0 are dropped; groups with k >= size pass through without ranking."""
+    with k = 0 are dropped; groups with k >= size pass through without ranking.
+
+    Group parameters reach the rows through a broadcast join with a small driver-built
+    table (not as literal CASE chains, which grow the generated code with the groups)."""
     no_threshold = no_threshold or set()
-    keep_all = [g for g, kk in k.items() if kk >= n.get(g, 0) and kk > 0]
+    keep_all = {g: () for g, kk in k.items() if 0 < kk and kk >= n.get(g, 0)}
     ranked = {g: kk for g, kk in k.items() if 0 < kk < n.get(g, 0)}
+    params = {g: (kk, None if g in no_threshold else _threshold(kk, n[g], margin_sd, margin_rows))
+              for g, kk in ranked.items()}
     parts = []
-    if keep_all:
-        cond = reduce(lambda a, b: a | b, [_match(group_cols, g) for g in keep_all])
-        parts.append(df.where(cond))
-    if ranked:
-        params = {g: (kk, None if g in no_threshold else _threshold(kk, n[g], margin_sd, margin_rows))
-                  for g, kk in ranked.items()}
-        d = _lookup(df, group_cols, params, ["_k", "_thr"], ["int", "string"])
-        d = d.where(F.col("_k").isNotNull())
-        d = d.where(F.col("_thr").isNull() | (F.substring(F.col(key), 1, 8) < F.col("_thr")))
-        bound = max(ranked.values())
-        if group_cols:
+    if not group_cols:
+        if keep_all:
+            parts.append(df)
+        if ranked:
+            kk, thr = params[()]
+            d = df if thr is None else df.where(F.substring(F.col(key), 1, 8) < F.lit(thr))
+            parts.append(d.orderBy(F.col(key), F.col(id_col)).limit(kk))
+    else:
+        if keep_all:
+            whole = _group_table(df, group_cols, keep_all, [], [])
+            parts.append(_join_groups(df, whole, group_cols, "left_semi", broadcast=True))
+        if ranked:
+            table = _group_table(df, group_cols, params, ["_k", "_thr"], ["int", "string"])
+            d = _join_groups(df, table, group_cols, "inner", broadcast=True)
+            d = d.where(F.col("_thr").isNull() | (F.substring(F.col(key), 1, 8) < F.col("_thr")))
             w = Window.partitionBy(*group_cols).orderBy(F.col(key), F.col(id_col))
             d = (d.withColumn("_rn", F.row_number().over(w))
-                  .where(F.col("_rn") <= F.lit(bound))
+                  .where(F.col("_rn") <= F.lit(max(ranked.values())))
                   .where(F.col("_rn") <= F.col("_k"))
-                  .drop("_rn"))
-        else:
-            d = d.orderBy(F.col(key), F.col(id_col)).limit(bound)
-        parts.append(d.drop("_k", "_thr"))
+                  .drop("_rn", "_k", "_thr"))
+            parts.append(d)
     if not parts:
         return df.where(F.lit(False))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -137,8 +128,9 @@ def sample_groups(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n:
     short = {g: kk for g, kk in k.items() if kk > 0 and got.get(g, 0) < min(kk, n.get(g, 0))}
     if short:
         redo = take_smallest(keyed, group_cols, short, n, "_key", id_col, no_threshold=set(short))
-        keep = out.where(~reduce(lambda a, b: a | b, [_match(group_cols, g) for g in short])) \
-            if group_cols else out.where(F.lit(False))
+        keep = (_join_groups(out, _group_table(out, group_cols, {g: () for g in short}, [], []),
+                             group_cols, "left_anti", broadcast=True)
+                if group_cols else out.where(F.lit(False)))
         out = keep.unionByName(redo).checkpoint(eager=True)
     return out.drop("_key")
 
@@ -207,9 +199,12 @@ def _sample_exact_distributed(df: DataFrame, n: int, seed: int, op: str, by: lis
     return out.drop("_key")
 
 
-def _join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on group keys where null keys match (groupBy treats null as a group)."""
+def _join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner",
+                 broadcast: bool = False) -> DataFrame:
+    """Equi-join on group keys where null keys match (groupBy treats null as a group).
+    ``broadcast`` only for a right side of proven small size (a driver-built table)."""
     r = right.select(*[F.col(c).alias(f"_g_{c}") for c in by], *[c for c in right.columns if c not in by])
+    r = F.broadcast(r) if broadcast else r
     cond = [left[c].eqNullSafe(r[f"_g_{c}"]) for c in by]
     out = left.join(r, cond, how)
     return out if how in ("left_anti", "left_semi") else out.drop(*[f"_g_{c}" for c in by])

@@ -126,9 +126,11 @@ ATTR_PAIRS_CTES = (
     "lab AS (SELECT pair_id, dataset, split, a.name AS attribute, a.left AS left_value, "
     "a.right AS right_value, " + attribute_label_sql("a.left", "a.right", "a.numeric", "row_label")
     + " AS label FROM ex)",
-    "ap AS (SELECT min(pair_id) || '#' || attribute AS attr_pair_id, dataset, split, attribute, "
-    "left_value, right_value, label FROM lab "
-    "GROUP BY dataset, split, attribute, left_value, right_value, label)",
+    "ap AS (SELECT dataset || '#' || md5(concat_ws(chr(31), " + ", ".join(
+        f"coalesce(CAST(length({c}) AS VARCHAR) || ':' || {c}, '-')" if c != "label" else "CAST(label AS VARCHAR)"
+        for c in ("dataset", "split", "attribute", "label", "left_value", "right_value"))
+    + ")) AS attr_pair_id, dataset, split, attribute, left_value, right_value, label FROM "
+    "(SELECT DISTINCT dataset, split, attribute, left_value, right_value, label FROM lab))",
 )
 
 RULE_PRED_SQL = ("CAST(coalesce(lower(list_filter(attrs, lambda a: a.name = 'name')[1].left) "
