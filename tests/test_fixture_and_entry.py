@@ -22,3 +22,9 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     import __spark_entry__ as E
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_udf_queries_run_from_any_working_directory(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    monkeypatch.chdir(tmp_path)
+    assert E.queries()["e3_similarity_report"](spark, SF001).count() == 3

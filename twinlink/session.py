@@ -43,8 +43,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package (Arrow UDFs and user scorers live in it).
+
+    In local mode the package folder joins the workers' PYTHONPATH whatever the
+    driver's working directory is; on a cluster ship it with ``--py-files``."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _PACKAGE_ROOT not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT] + paths)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only if unset."""
+    ensure_importable(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
