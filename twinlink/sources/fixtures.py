@@ -66,9 +66,10 @@ def fixture_id_pairs(spark: SparkSession, sf_dir: str, spec: DatasetSpec) -> Dat
     src = read_table(spark, sf_dir, spec.table)
     n = src.select(F.count(F.lit(1))).scalar()
     k = F.col(spec.id_col)
+    src = src.select(k.alias("ltable_id"), n.alias("_n"))        # the subquery is referenced once
+    k, n = F.col("ltable_id"), F.col("_n")
     partners = [k] + [(k * 7 + j * 13 + 1) % n for j in range(1, PARTNERS_PER_RECORD)]
-    ids = src.select(k.alias("ltable_id"),
-                     F.explode(F.array_distinct(F.array(*partners))).alias("rtable_id"))
+    ids = src.select("ltable_id", F.explode(F.array_distinct(F.array(*partners))).alias("rtable_id"))
     pair_id = F.concat_ws("|", F.lit(spec.name), F.col("ltable_id"), F.col("rtable_id"))
     return (ids.withColumn("label", (F.col("ltable_id") == F.col("rtable_id")).cast("int"))
                .withColumn("pair_id", pair_id)
