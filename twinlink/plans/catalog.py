@@ -605,7 +605,22 @@ def _overlap_scorer():
     return predict
 
 
-@register("u6_batch_scorer_report")
+def _overlap_sql():
+    from twinlink.functions.text import WHITESPACE_CLASS_RE2 as ws
+
+    def toks(x):
+        return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[{ws}]+'), lambda s: s <> ''))"
+    pat = r"Record A is <p>(.*)</p>\. Record B is <p>(.*)</p>\."
+    return O.with_fixture(
+        f"t AS (SELECT dataset, label, {O.serialise_sql('mode1')} AS text FROM pairs WHERE split = 'test')",
+        f"x AS (SELECT dataset, label, {toks(f'regexp_extract(text, {_q(pat)}, 1)')} AS ta, "
+        f"{toks(f'regexp_extract(text, {_q(pat)}, 2)')} AS tb FROM t)",
+        "scored AS (SELECT dataset, label, CASE WHEN 2 * len(list_intersect(ta, tb)) > "
+        "greatest(1, len(ta) + len(tb) - len(list_intersect(ta, tb))) THEN 1 ELSE 0 END AS prediction FROM x)",
+        select=O.metrics_select_sql("scored"))
+
+
+@register("u6_batch_scorer_report", _overlap_sql())
 def q_batch_scorer(spark, sf):
     texts = serialise(fixture_pairs(spark, sf).where(F.col("split") == "test"), "mode1")
     scored = score_with(texts, _overlap_scorer, "text").withColumn("prediction", argmax_class("logits"))
