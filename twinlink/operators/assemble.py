@@ -20,12 +20,17 @@ from twinlink.operators.serialise import serialise, serialise_attribute_pairs
 
 def _needs(predictions, name):
     if predictions is None:
-        raise ValueError(f"sampler {name} needs a predictions table (pair_id, prediction, ...)")
+        raise ValueError(f"sampler {name} needs predictions: a table (pair_id, prediction, ...) "
+                         "or a scorer pairs -> pairs + prediction")
 
 
 def _automl(train, predictions, seed):
+    """M4 with predictions from a stored table (J3, a key join) or an inline scorer."""
     _needs(predictions, "automl_filter")
-    scored = attach_predictions(train, predictions).drop("proba_0", "proba_1")
+    if callable(predictions):
+        scored = predictions(train)
+    else:
+        scored = attach_predictions(train, predictions).drop("proba_0", "proba_1")
     return M.automl_filter(scored, seed=seed).drop("prediction")
 
 

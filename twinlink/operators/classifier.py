@@ -15,15 +15,25 @@ def attr_value(attrs: Column, name: str, side: str) -> Column:
     return F.get(F.filter(attrs, lambda a: a["name"] == F.lit(name)), 0)[side]
 
 
-def rule_predictions(pairs: DataFrame, attribute: str = "name") -> DataFrame:
+def _rule(attribute: str) -> Column:
     a = F.col("attrs")
     same = F.coalesce(F.lower(attr_value(a, attribute, "left")) == F.lower(attr_value(a, attribute, "right")),
                       F.lit(False))
-    pred = same.cast("int")
+    return same.cast("int")
+
+
+def rule_predictions(pairs: DataFrame, attribute: str = "name") -> DataFrame:
+    """A prediction table ``pair_id, prediction, proba_0, proba_1`` from the rule."""
+    pred = _rule(attribute)
     return pairs.select("pair_id", pred.alias("prediction"),
                         (1 - pred).cast("double").alias("proba_0"), pred.cast("double").alias("proba_1"))
 
 
+def with_rule_prediction(pairs: DataFrame, attribute: str = "name") -> DataFrame:
+    """The rule as an inline scorer: ``pairs`` plus ``prediction`` (no join)."""
+    return pairs.withColumn("prediction", _rule(attribute))
+
+
 # --- U3-U5: Spark ML pair classifier on schema-independent native features ---
 
 from functools import reduce  # noqa: E402

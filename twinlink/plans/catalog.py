@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlink.operators.classifier import rule_predictions
+from twinlink.operators.classifier import rule_predictions, with_rule_prediction
 from twinlink.operators.pairs import attach_predictions
 from twinlink.operators.report import mean_f1, metrics_report
 from twinlink.operators.score import similarity_decision, similarity_inputs
@@ -198,8 +198,7 @@ def q_one_pos_two_neg_sizes(spark, sf):
 
 
 def _rule_train(spark, sf):
-    tr = _train(spark, sf)
-    return attach_predictions(tr, rule_predictions(tr))
+    return with_rule_prediction(_train(spark, sf))
 
 
 @register("m4_automl_filter", O.with_fixture(
@@ -283,7 +282,7 @@ def q_flip_permute(spark, sf):
 # --- D1-D11: assembled, serialised sets ---
 
 def _rule_preds(spark, sf):
-    return rule_predictions(fixture_pairs(spark, sf))
+    return with_rule_prediction
 
 
 def _rows(spark, sf, mode="mode1", sampler="automl_filter"):
