@@ -112,3 +112,22 @@ def test_group_counts_collect_is_bounded(spark):
     df = spark.range(50).withColumnRenamed("id", "g")
     with pytest.raises(M.TooManyGroups):
         M.group_counts(df, ["g"], max_groups=10)
+
+
+def test_large_k_bucket_path_equals_threshold_path(spark):
+    rows = [(f"g{i % 3}|{i}", f"g{i % 3}", "train", 0) for i in range(9000)]
+    df = spark.createDataFrame(rows, "pair_id string, dataset string, split string, label int")
+    k, n = {("g0",): 2500, ("g1",): 1, ("g2",): 3000}, {("g0",): 3000, ("g1",): 3000, ("g2",): 3000}
+    small = M.sample_groups(df, ["dataset"], k, n, 9, "t", large_k=10 ** 9)
+    large = M.sample_groups(df, ["dataset"], k, n, 9, "t", large_k=0)
+    assert sorted(r.pair_id for r in small.collect()) == sorted(r.pair_id for r in large.collect())
+    assert large.count() == 5501
+    # ungrouped
+    a = M.sample_groups(df, [], {(): 4000}, {(): 9000}, 9, "u", large_k=10 ** 9)
+    b = M.sample_groups(df, [], {(): 4000}, {(): 9000}, 9, "u", large_k=0)
+    assert sorted(r.pair_id for r in a.collect()) == sorted(r.pair_id for r in b.collect())
+
+
+def test_bucket_digits():
+    assert M._bucket_digits(10) == 1
+    assert 16 ** M._bucket_digits(10 ** 12) * M.BUCKET_ROWS >= 10 ** 12

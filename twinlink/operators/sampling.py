@@ -8,13 +8,18 @@ compute alike.  Plans stay bounded at any input size:
   of rows: datasets x labels, or attributes x labels).  The collect is bounded
   (``MAX_DRIVER_GROUPS``); M1 over more groups than that keeps the counts and
   thresholds distributed (a join with the counts table, skew split by AQE);
-* rows whose key lies above a per-group threshold are dropped map-side.  The
-  threshold keeps about ``k + 8*sqrt(k) + 64`` rows of a group of any size, so
-  the final per-group ranking never sees more than that;
-* the ranking is ``row_number() <= const`` (partial + final WindowGroupLimit);
-* the result is checkpointed to the shared checkpoint folder and its group
-  sizes checked; a group short of k (probability < 1e-15) is recomputed
-  without the threshold, so results are always exact.
+* k up to ``LARGE_K``: rows whose key lies above a per-group threshold are
+  dropped map-side.  The threshold keeps about ``k + 8*sqrt(k) + 64`` rows of a
+  group of any size, so the final per-group ranking (``row_number() <= const``;
+  Spark adds a partial WindowGroupLimit when the bound is within
+  ``spark.sql.optimizer.windowGroupLimitThreshold``) never sees more than that.
+  This part is checkpointed to the shared checkpoint folder and its group sizes
+  checked; a group short of k (probability < 1e-15) is recomputed without the
+  threshold, so results are always exact;
+* larger k: a histogram of key prefixes per group finds the bucket that holds
+  the k-th row; lower buckets are taken whole and only that bucket is ranked, so
+  a hot group is never ranked in one task;
+* groups taken whole (k >= size) pass through a broadcast semi join.
 
 Two-stage draws (all positives plus 2x negatives, then a cap; balance then cap)
 split the cap between labels with a seeded hypergeometric draw on the driver
@@ -36,6 +41,10 @@ from twinlink.functions.keys import sample_key
 
 MARGIN_SD = 8.0
 MARGIN_ROWS = 64
+# Above this k a group's top-k is selected through key buckets (no task ranks more
+# than about BUCKET_ROWS rows of one group).
+LARGE_K = 100_000
+BUCKET_ROWS = 2_000_000
 # At most this many per-group counts travel to the driver (and back as a
 # broadcast parameter table of the same size).
 MAX_DRIVER_GROUPS = 100_000
@@ -74,65 +83,139 @@ def _group_table(df: DataFrame, cols: list[str], rows: dict[tuple, tuple], names
     return df.sparkSession.createDataFrame([tuple(g) + tuple(v) for g, v in rows.items()], schema)
 
 
-def take_smallest(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: dict[tuple, int],
-                  key: str = "_key", id_col: str = "pair_id", margin_sd: float = MARGIN_SD,
-                  margin_rows: int = MARGIN_ROWS, no_threshold: set | None = None) -> DataFrame:
-    """Per group, the ``k[g]`` rows smallest by (key, id).  Groups absent from ``k`` or
-    with k = 0 are dropped; groups with k >= size pass through without ranking.
+def _keep_groups(df: DataFrame, group_cols: list[str], groups: set) -> DataFrame:
+    """Rows of the listed groups, whole (k >= group size): a broadcast semi join."""
+    if not group_cols:
+        return df
+    table = _group_table(df, group_cols, {g: () for g in groups}, [], [])
+    return _join_groups(df, table, group_cols, "left_semi", broadcast=True)
+
 
-    Group parameters reach the rows through a broadcast join with a small driver-built
-    table (not as literal CASE chains, which grow the generated code with the groups)."""
+def _take_small(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: dict[tuple, int],
+                key: str, id_col: str, margin_sd: float, margin_rows: int,
+                no_threshold: set | None = None) -> DataFrame:
+    """Top-k for k up to LARGE_K: drop rows above the group's key threshold map-side,
+    then rank what is left (about k + margin rows per group)."""
     no_threshold = no_threshold or set()
-    keep_all = {g: () for g, kk in k.items() if 0 < kk and kk >= n.get(g, 0)}
-    ranked = {g: kk for g, kk in k.items() if 0 < kk < n.get(g, 0)}
     params = {g: (kk, None if g in no_threshold else _threshold(kk, n[g], margin_sd, margin_rows))
-              for g, kk in ranked.items()}
-    parts = []
+              for g, kk in k.items()}
     if not group_cols:
-        if keep_all:
-            parts.append(df)
-        if ranked:
-            kk, thr = params[()]
-            d = df if thr is None else df.where(F.substring(F.col(key), 1, 8) < F.lit(thr))
-            parts.append(d.orderBy(F.col(key), F.col(id_col)).limit(kk))
-    else:
-        if keep_all:
-            whole = _group_table(df, group_cols, keep_all, [], [])
-            parts.append(_join_groups(df, whole, group_cols, "left_semi", broadcast=True))
-        if ranked:
-            table = _group_table(df, group_cols, params, ["_k", "_thr"], ["int", "string"])
-            d = _join_groups(df, table, group_cols, "inner", broadcast=True)
-            d = d.where(F.col("_thr").isNull() | (F.substring(F.col(key), 1, 8) < F.col("_thr")))
-            w = Window.partitionBy(*group_cols).orderBy(F.col(key), F.col(id_col))
-            d = (d.withColumn("_rn", F.row_number().over(w))
-                  .where(F.col("_rn") <= F.lit(max(ranked.values())))
-                  .where(F.col("_rn") <= F.col("_k"))
-                  .drop("_rn", "_k", "_thr"))
-            parts.append(d)
-    if not parts:
-        return df.where(F.lit(False))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        kk, thr = params[()]
+        d = df if thr is None else df.where(F.substring(F.col(key), 1, 8) < F.lit(thr))
+        return d.orderBy(F.col(key), F.col(id_col)).limit(kk)
+    table = _group_table(df, group_cols, params, ["_k", "_thr"], ["int", "string"])
+    d = _join_groups(df, table, group_cols, "inner", broadcast=True)
+    d = d.where(F.col("_thr").isNull() | (F.substring(F.col(key), 1, 8) < F.col("_thr")))
+    w = Window.partitionBy(*group_cols).orderBy(F.col(key), F.col(id_col))
+    return (d.withColumn("_rn", F.row_number().over(w))
+             .where(F.col("_rn") <= F.lit(max(k.values())))
+             .where(F.col("_rn") <= F.col("_k"))
+             .drop("_rn", "_k", "_thr"))
+
+
+def _bucket_digits(n: int) -> int:
+    """Hex digits of the key prefix that cut a group of n rows into buckets of about
+    BUCKET_ROWS rows (16**digits buckets)."""
+    return max(1, min(8, math.ceil(math.log(max(n, 2) / BUCKET_ROWS, 16))))
+
+
+def _take_large(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: dict[tuple, int],
+                key: str, id_col: str) -> DataFrame:
+    """Exact top-k for large k without ranking a whole group in one task.
+
+    Keys are uniform, so their hex prefix cuts each group into buckets of about
+    BUCKET_ROWS rows.  A histogram (hash aggregate, one row per group and bucket)
+    and a running sum over it find, per group, the bucket holding the k-th row and
+    how many rows of it are needed.  Rows in lower buckets are taken as they are;
+    only the boundary bucket is ranked.  Exact by construction."""
+    cols = list(group_cols)
+    if not cols:
+        df, cols = df.withColumn("_grp", F.lit(0)), ["_grp"]
+        k, n = {(0,): k[()]}, {(0,): n[()]}
+    digits = max(_bucket_digits(n[g]) for g in k)
+    table = _group_table(df, cols, {g: (kk,) for g, kk in k.items()}, ["_k"], ["long"])
+    x = (_join_groups(df, table, cols, "inner", broadcast=True)
+         .withColumn("_b", F.conv(F.substring(F.col(key), 1, digits), 16, 10).cast("long")))
+    hist = x.groupBy(*cols, "_k", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    below = F.coalesce(F.sum("_c").over(Window.partitionBy(*cols).orderBy("_b")
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = (hist.withColumn("_below", below)
+                .where((F.col("_below") < F.col("_k")) & (F.col("_below") + F.col("_c") >= F.col("_k")))
+                .select(*cols, F.col("_b").alias("_edge"), (F.col("_k") - F.col("_below")).alias("_need")))
+    rows = edge.collect()                       # one row per group listed in ``k``
+    bounds = _group_table(df, cols, {tuple(r[c] for c in cols): (r["_edge"], r["_need"]) for r in rows},
+                          ["_edge", "_need"], ["long", "long"])
+    y = _join_groups(x, bounds, cols, "inner", broadcast=True)
+    w = Window.partitionBy(*cols).orderBy(F.col(key), F.col(id_col))
+    ranked = (y.where(F.col("_b") == F.col("_edge")).withColumn("_rn", F.row_number().over(w))
+               .where(F.col("_rn") <= F.col("_need")).drop("_rn"))
+    out = y.where(F.col("_b") < F.col("_edge")).unionByName(ranked)
+    return out.drop("_k", "_b", "_edge", "_need", *(["_grp"] if not group_cols else []))
+
+
+def _split_groups(k: dict[tuple, int], n: dict[tuple, int], large_k: int):
+    whole = {g for g, kk in k.items() if 0 < kk and kk >= n.get(g, 0)}
+    small = {g: kk for g, kk in k.items() if 0 < kk < n.get(g, 0) and kk <= large_k}
+    large = {g: kk for g, kk in k.items() if large_k < kk < n.get(g, 0)}
+    return whole, small, large
+
+
+def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else empty.where(F.lit(False))
+
+
+def take_smallest(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: dict[tuple, int],
+                  key: str = "_key", id_col: str = "pair_id", margin_sd: float = MARGIN_SD,
+                  margin_rows: int = MARGIN_ROWS, no_threshold: set | None = None,
+                  large_k: int = LARGE_K) -> DataFrame:
+    """Per group, the ``k[g]`` rows smallest by (key, id).  Groups absent from ``k`` or
+    with k = 0 are dropped; groups with k >= size pass through without ranking; large
+    k goes through key buckets.  Group parameters reach the rows through broadcast
+    joins with small driver-built tables (not literal CASE chains, which grow the
+    generated code with the number of groups)."""
+    whole, small, large = _split_groups(k, n, large_k)
+    parts = []
+    if whole:
+        parts.append(_keep_groups(df, group_cols, whole))
+    if large:
+        parts.append(_take_large(df, group_cols, large, n, key, id_col))
+    if small:
+        parts.append(_take_small(df, group_cols, small, n, key, id_col, margin_sd, margin_rows, no_threshold))
+    return _union(parts, df)
 
 
 def sample_groups(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: dict[tuple, int],
                   seed: int, op: str, id_col: str = "pair_id", materialize: bool = True,
-                  margin_sd: float = MARGIN_SD, margin_rows: int = MARGIN_ROWS) -> DataFrame:
-    """Exact per-group sample (M1 core).  With ``materialize`` the (small) sample is
-    checkpointed and its group sizes verified, recomputing short groups exactly."""
+                  margin_sd: float = MARGIN_SD, margin_rows: int = MARGIN_ROWS,
+                  large_k: int = LARGE_K) -> DataFrame:
+    """Exact per-group sample (M1 core).
+
+    Whole groups and large-k groups are exact by construction and stay lazy.  With
+    ``materialize`` the threshold-pruned part (at most LARGE_K rows per group) is
+    checkpointed and its group sizes verified; a short group is recomputed without
+    the threshold."""
     keyed = df.withColumn("_key", sample_key(seed, op, F.col(id_col)))
-    out = take_smallest(keyed, group_cols, k, n, "_key", id_col, margin_sd, margin_rows)
-    if not materialize:
-        return out.drop("_key")
-    out = out.checkpoint(eager=True)
-    got = group_counts(out, group_cols) if group_cols else {(): out.count()}
-    short = {g: kk for g, kk in k.items() if kk > 0 and got.get(g, 0) < min(kk, n.get(g, 0))}
-    if short:
-        redo = take_smallest(keyed, group_cols, short, n, "_key", id_col, no_threshold=set(short))
-        keep = (_join_groups(out, _group_table(out, group_cols, {g: () for g in short}, [], []),
-                             group_cols, "left_anti", broadcast=True)
-                if group_cols else out.where(F.lit(False)))
-        out = keep.unionByName(redo).checkpoint(eager=True)
-    return out.drop("_key")
+    whole, small, large = _split_groups(k, n, large_k)
+    parts = []
+    if whole:
+        parts.append(_keep_groups(keyed, group_cols, whole))
+    if large:
+        parts.append(_take_large(keyed, group_cols, large, n, "_key", id_col))
+    if small:
+        out = _take_small(keyed, group_cols, small, n, "_key", id_col, margin_sd, margin_rows)
+        if materialize:
+            out = out.checkpoint(eager=True)
+            got = group_counts(out, group_cols) if group_cols else {(): out.count()}
+            short = {g: kk for g, kk in small.items() if got.get(g, 0) < kk}
+            if short:
+                redo = _take_small(keyed, group_cols, short, n, "_key", id_col, margin_sd, margin_rows,
+                                   no_threshold=set(short))
+                keep = (_join_groups(out, _group_table(out, group_cols, {g: () for g in short}, [], []),
+                                     group_cols, "left_anti", broadcast=True)
+                        if group_cols else out.where(F.lit(False)))
+                out = keep.unionByName(redo).checkpoint(eager=True)
+        parts.append(out)
+    return _union(parts, keyed).drop("_key")
 
 
 def _check_pool(need: int, have: int, what: str):
