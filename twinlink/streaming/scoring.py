@@ -14,7 +14,6 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from twinlink.operators.report import accuracy_expr, confusion_aggs, f1_expr
 from twinlink.schema import PAIR_SCHEMA
