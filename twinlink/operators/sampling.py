@@ -229,7 +229,7 @@ def _rng(seed: int, *parts) -> np.random.Generator:
 
 def sample_exact(df: DataFrame, n: int, seed: int, op: str = "sample", by: list[str] | None = None,
                  id_col: str = "pair_id", materialize: bool = True,
-                 max_driver_groups: int = MAX_DRIVER_GROUPS) -> DataFrame:
+                 max_driver_groups: int = MAX_DRIVER_GROUPS, large_k: int = LARGE_K) -> DataFrame:
     """M1: exactly ``n`` rows per group (uniform, deterministic); raises when a group has fewer."""
     by = list(by or [])
     try:
@@ -238,7 +238,8 @@ def sample_exact(df: DataFrame, n: int, seed: int, op: str = "sample", by: list[
         return _sample_exact_distributed(df, n, seed, op, by, id_col, materialize)
     for g, c in counts.items():
         _check_pool(n, c, f"group {g}")
-    return sample_groups(df, by, {g: n for g in counts}, counts, seed, op, id_col, materialize)
+    return sample_groups(df, by, {g: n for g in counts}, counts, seed, op, id_col, materialize,
+                         large_k=large_k)
 
 
 def _threshold_col(k: int, n: Column, margin_sd: float = MARGIN_SD, margin_rows: int = MARGIN_ROWS) -> Column:
@@ -346,7 +347,7 @@ def automl_filter(train: DataFrame, seed: int = 42, small_set: int = 1200, max_p
 
 
 def balance_attribute_pairs(attr_pairs: DataFrame, seed: int = 1, cap: int | None = 800,
-                            materialize: bool = True) -> DataFrame:
+                            materialize: bool = True, large_k: int = LARGE_K) -> DataFrame:
     """M5 (+ M6 when ``cap``): per split and attribute, across datasets, every label cut to
     the smallest label count present (a one-label group stays whole); then a uniform
     ``cap`` rows of the balanced group if it is larger."""
@@ -366,7 +367,7 @@ def balance_attribute_pairs(attr_pairs: DataFrame, seed: int = 1, cap: int | Non
         for lb in labels:
             k[sa + (lb,)] = take[lb]
     return sample_groups(attr_pairs, cols, k, counts, seed, "balance_attr", id_col="attr_pair_id",
-                         materialize=materialize)
+                         materialize=materialize, large_k=large_k)
 
 
 def validation_subsample(valid: DataFrame, epoch: int, n: int = 2000, base_seed: int = 42,

@@ -172,6 +172,14 @@ def q_sample_exact(spark, sf):
     return s.select("pair_id", "dataset", "split", "label")
 
 
+@register("m1_sample_exact_bucketed", ORACLES["m1_sample_exact"])
+def q_sample_exact_bucketed(spark, sf):
+    """M1 through the large-k path (key-prefix histogram, boundary bucket ranked), forced
+    with ``large_k=0`` so the branch that serves k above 100,000 is checked here."""
+    s = M.sample_exact(fixture_pairs(spark, sf), 50, seed=7, op="m1", by=["dataset", "split"], large_k=0)
+    return s.select("pair_id", "dataset", "split", "label")
+
+
 def _train(spark, sf):
     return fixture_pairs(spark, sf).where(F.col("split") == "train")
 
@@ -221,6 +229,13 @@ def q_balance(spark, sf):
         .select(*_AP)
 
 
+@register("m5_balance_bucketed", ORACLES["m5_balance_attribute_pairs"])
+def q_balance_bucketed(spark, sf):
+    """M5 with every ranked group through the key-bucket path (``large_k=0``)."""
+    return M.balance_attribute_pairs(attribute_pairs(fixture_pairs(spark, sf)), seed=1, cap=None, large_k=0) \
+        .select(*_AP)
+
+
 @register("m6_cap_attribute_pairs_sizes", O.with_fixture(
     *O.ATTR_PAIRS_CTES,
     "c AS (SELECT split, attribute, label, count(*) AS n FROM ap GROUP BY ALL)",
