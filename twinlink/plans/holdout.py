@@ -17,19 +17,29 @@ from twinlink.operators.classifier import fit_pair_classifier, predict_pairs
 from twinlink.operators.report import metrics_report
 
 
-def holdout_fold(pairs: DataFrame, held_out: str, sampler: str = "one_pos_two_neg",
-                 predictions: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    others = hold_out(pairs.where(F.col("split").isin("train", "valid")), held_out)
-    sampled = sample_train(others, sampler, predictions, seed)
-    model = fit_pair_classifier(sampled.where(F.col("split") == "train"),
-                                sampled.where(F.col("split") == "valid"), seed=seed)
+def _fold_report(sampled: DataFrame, pairs: DataFrame, held_out: str, seed: int) -> DataFrame:
+    others = hold_out(sampled, held_out)
+    model = fit_pair_classifier(others.where(F.col("split") == "train"),
+                                others.where(F.col("split") == "valid"), seed=seed)
     test = pairs.where(F.col("split") == "test")
     scored = predict_pairs(model, test).join(test.select("pair_id", "label"), "pair_id")
     return metrics_report(scored, held_out=held_out).withColumn("fold", F.lit(held_out))
 
 
+def _sampled(pairs: DataFrame, sampler: str, predictions, seed: int) -> DataFrame:
+    """Samplers work per dataset, so sampling once and then holding a dataset out equals
+    holding out first and sampling the rest: every fold reuses one (checkpointed) sample."""
+    return sample_train(pairs.where(F.col("split").isin("train", "valid")), sampler, predictions, seed)
+
+
+def holdout_fold(pairs: DataFrame, held_out: str, sampler: str = "one_pos_two_neg",
+                 predictions: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    return _fold_report(_sampled(pairs, sampler, predictions, seed), pairs, held_out, seed)
+
+
 def holdout_evaluation(pairs: DataFrame, datasets: list[str], sampler: str = "one_pos_two_neg",
                        predictions: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """All folds; each fold's fit is a distributed job, the reports are unioned."""
-    reports = [holdout_fold(pairs, d, sampler, predictions, seed) for d in datasets]
+    """All folds from one sample; each fold's fit is a distributed job, the reports are unioned."""
+    sampled = _sampled(pairs, sampler, predictions, seed)
+    reports = [_fold_report(sampled, pairs, d, seed) for d in datasets]
     return reduce(lambda a, b: a.unionByName(b), reports)
