@@ -154,8 +154,12 @@ def _take_large(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: di
 
 
 def _split_groups(k: dict[tuple, int], n: dict[tuple, int], large_k: int):
-    whole = {g for g, kk in k.items() if 0 < kk and kk >= n.get(g, 0)}
-    small = {g: kk for g, kk in k.items() if 0 < kk < n.get(g, 0) and kk <= large_k}
+    """Route groups: taken whole through a semi join when large; whole groups of at most
+    ``large_k`` rows join the ranked ones (k = n), so one pass over the input serves
+    both; ranked groups by the size of k."""
+    whole = {g for g, kk in k.items() if 0 < kk and kk >= n.get(g, 0) > large_k}
+    small = {g: min(kk, n.get(g, 0)) for g, kk in k.items()
+             if 0 < kk and min(kk, n.get(g, 0)) <= large_k and n.get(g, 0) > 0}
     large = {g: kk for g, kk in k.items() if large_k < kk < n.get(g, 0)}
     return whole, small, large
 
