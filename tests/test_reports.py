@@ -38,3 +38,8 @@ def test_attach_predictions_requires_each_pair(spark):
     preds = spark.createDataFrame([("p1", 1)], "pair_id string, prediction int")
     with pytest.raises(Exception, match="no prediction"):
         attach_predictions(pairs, preds).collect()
+    twice = spark.createDataFrame([("p1", 1), ("p2", 0), ("p2", 1)], "pair_id string, prediction int")
+    with pytest.raises(Exception, match="more than one prediction"):
+        attach_predictions(pairs, twice).collect()
+    ok = spark.createDataFrame([("p1", 1), ("p2", 0)], "pair_id string, prediction int")
+    assert sorted(tuple(r) for r in attach_predictions(pairs, ok).collect()) == [("p1", 1, 1), ("p2", 0, 0)]

@@ -94,15 +94,21 @@ def build_pairs(specs: Iterable[DatasetSpec], records, id_pairs) -> DataFrame:
 def attach_predictions(pairs: DataFrame, predictions: DataFrame, check: bool = True) -> DataFrame:
     """Key-aligned join of predictions (``pair_id, prediction, proba_0, proba_1``).
 
-    Every pair must have exactly one prediction.  With ``check`` a mismatch fails
-    the job (evaluated with the rows, no extra driver round trip).
+    Every pair must have exactly one prediction.  With ``check`` a missing or a
+    repeated prediction fails the job, evaluated with the rows: the predictions are
+    first reduced to one row per pair_id with its count (a hash aggregate whose
+    output is already partitioned on the join key), so no extra driver round trip.
     """
-    preds = predictions.select("pair_id", *[c for c in predictions.columns if c != "pair_id"])
-    joined = pairs.join(preds, "pair_id", "left")
+    rest = [c for c in predictions.columns if c != "pair_id"]
     if not check:
-        return joined
-    return joined.withColumn(
-        "prediction",
-        F.when(F.col("prediction").isNull(),
-               F.raise_error(F.concat(F.lit("no prediction for pair "), F.col("pair_id"))).cast("int"))
-         .otherwise(F.col("prediction").cast("int")))
+        return pairs.join(predictions.select("pair_id", *rest), "pair_id", "left")
+    one = predictions.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n"),
+                                             *[F.min(c).alias(c) for c in rest])
+    joined = pairs.join(one, "pair_id", "left")
+    pid = F.col("pair_id").cast("string")
+    checked = (F.when(F.col("_n").isNull(),
+                      F.raise_error(F.concat(F.lit("no prediction for pair "), pid)).cast("int"))
+                .when(F.col("_n") > 1,
+                      F.raise_error(F.concat(F.lit("more than one prediction for pair "), pid)).cast("int"))
+                .otherwise(F.col("prediction").cast("int")))
+    return joined.withColumn("prediction", checked).drop("_n")
