@@ -43,3 +43,20 @@ def test_streaming_similarity_equals_batch(spark):
     got = spark.read.parquet(out).select("pair_id", "prediction")
     ref = similarity_scores(fixture_pairs(spark, SF001)).select("pair_id", "prediction")
     assert _rows(got) == _rows(ref)
+
+
+def test_restarted_stream_resumes_from_its_checkpoint(spark):
+    pairs = fixture_pairs(spark, SF001)
+    src, report, ckpt = scratch_dir(spark, "src"), scratch_dir(spark, "rep"), scratch_dir(spark, "ck")
+    first, second = pairs.where(F.col("dataset") == "prod"), pairs.where(F.col("dataset") != "prod")
+    write_pairs(first, src)
+    q1 = ST.start_report(ST.score_stream(ST.read_pair_stream(spark, src), _rule_scorer), report, ckpt)
+    q1.awaitTermination()
+    assert {r.dataset for r in spark.read.parquet(report).collect()} == {"prod"}
+    write_pairs(second, src, mode="append")
+    q2 = ST.start_report(ST.score_stream(ST.read_pair_stream(spark, src), _rule_scorer), report, ckpt)
+    q2.awaitTermination()
+    seen = sum(p["numInputRows"] for p in q2.recentProgress)
+    assert seen == second.count()                     # only the new files are read
+    cols = ["dataset", "n_pairs", "tp", "fp", "fn", "tn"]
+    assert _rows(spark.read.parquet(report).select(*cols)) == _rows(metrics_report(_rule_scorer(pairs)).select(*cols))
