@@ -30,3 +30,15 @@ def test_prune_never_changes_prediction(spark):
         assert got[r.doc_id] == want, r.doc_id
     decided = pairs.select(similarity_decision(F.col("text_a"), F.col("text_b"), 0.5).alias("d")).collect()
     assert any(d.d is not None for d in decided)
+
+
+def test_exceeds_equals_ratio_comparison():
+    import random
+    from twinlink.functions.similarity import _exceeds
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 30)))
+        b = "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 30)))
+        t = rng.choice([0.3, 0.5, 0.7])
+        assert _exceeds(a, b, t) == (SequenceMatcher(None, a, b).ratio() > t)
+    assert _exceeds(None, "x", 0.5) is None

@@ -26,6 +26,23 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _exceeds(a, b, t):
+    if a is None or b is None:
+        return None
+    m = SequenceMatcher(None, a, b)
+    # quick_ratio (multiset overlap of characters) bounds ratio from above in O(n);
+    # the quadratic matcher only runs when the bound cannot decide.
+    if m.quick_ratio() <= t:
+        return False
+    return m.ratio() > t
+
+
+@F.pandas_udf(T.BooleanType())
+def ratio_exceeds(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
+    """``ratio(a, b) > t``, exactly as difflib decides it, with a cheap bound first."""
+    return pd.Series([_exceeds(x, y, z) for x, y, z in zip(a, b, t)], dtype="object")
+
+
 def ratio_upper_bound(a: Column, b: Column) -> Column:
     """2*min(len)/(len a + len b) >= ratio, since matches cannot exceed the shorter text."""
     la, lb = F.length(a), F.length(b)

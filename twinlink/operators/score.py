@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlink.functions.similarity import ratio_upper_bound, sequence_ratio
+from twinlink.functions.similarity import ratio_exceeds, ratio_upper_bound
 from twinlink.operators.serialise import record_text
 
 
@@ -31,8 +31,8 @@ def predict_by_similarity(df: DataFrame, a: str = "text_a", b: str = "text_b",
     ca, cb = F.col(a), F.col(b)
     native = similarity_decision(ca, cb, threshold)
     undecided = native.isNull()
-    score = sequence_ratio(F.when(undecided, ca), F.when(undecided, cb))
-    return df.withColumn(out, F.coalesce(native, (score > F.lit(threshold)).cast("int")))
+    above = ratio_exceeds(F.when(undecided, ca), F.when(undecided, cb), F.lit(float(threshold)))
+    return df.withColumn(out, F.coalesce(native, above.cast("int")))
 
 
 def similarity_inputs(pairs: DataFrame) -> DataFrame:
