@@ -780,3 +780,40 @@ def q_stream_similarity(spark, sf):
     out, ckpt = scratch_dir(spark, "stream-scores"), scratch_dir(spark, "stream-ckpt")
     ST.start_scored_sink(ST.score_stream(stream, scorer), out, ckpt).awaitTermination()
     return spark.read.parquet(out).select("pair_id", "dataset", "split", "label", "prediction")
+
+
+# --- Model inputs: targets, strip, per-split token limits (P11-P14) and the dropped report (R8) ---
+
+from twinlink.operators import examples as EX  # noqa: E402
+
+
+# Short records: a train/valid limit inside the fixture's range of description lengths
+# (prod descriptions have 34 or 35 whitespace tokens in mode 4), so both outcomes occur.
+_SHORT_LIMITS = {"train": 34, "valid": 34, "test": 10000}
+
+
+def _examples_sql(source: str, yes_no: bool, limits: dict[str, int] = EX.MAX_TOKENS) -> str:
+    yes, no = ("Yes", "No") if yes_no else ("True", "False")
+    limit = "CASE split " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in limits.items()) + " END"
+    return (f"ex AS (SELECT pair_id, dataset, split, {O.strip_sql('text')} AS text, "
+            f"CASE label WHEN 0 THEN '{no}' WHEN 1 THEN '{yes}' END AS target, "
+            f"{O.count_tokens_sql('text')} AS n_tokens, split AS sp FROM {source}), "
+            f"ex2 AS (SELECT *, CAST(coalesce(target IN ('True', 'Yes'), false) AS INTEGER) AS target_id, "
+            f"n_tokens <= {limit} AS kept FROM ex)")
+
+
+@register("p14_model_examples", O.with_fixture(
+    *_D2_CTES, _rows_sql("mode1"), _examples_sql("rows", True),
+    select="SELECT pair_id, dataset, split, text, target, target_id, n_tokens FROM ex2 WHERE kept"))
+def q_model_examples(spark, sf):
+    return EX.kept_examples(EX.model_examples(_rows(spark, sf, "mode1", "automl_filter")))
+
+
+@register("r8_dropped_model_examples", O.with_fixture(
+    *_D2_CTES, _rows_sql("mode4"), _examples_sql("rows", False, _SHORT_LIMITS),
+    select=("SELECT dataset, split, CAST(count(*) AS BIGINT) AS n_texts, "
+            "CAST(count(*) FILTER (WHERE NOT kept) AS BIGINT) AS n_dropped FROM ex2 GROUP BY dataset, split")))
+def q_dropped_examples(spark, sf):
+    ex = EX.model_examples(_rows(spark, sf, "mode4", "automl_filter"), yes_no=False,
+                           max_tokens=_SHORT_LIMITS)
+    return EX.dropped_examples(ex)
