@@ -43,3 +43,13 @@ def test_attach_predictions_requires_each_pair(spark):
         attach_predictions(pairs, twice).collect()
     ok = spark.createDataFrame([("p1", 1), ("p2", 0)], "pair_id string, prediction int")
     assert sorted(tuple(r) for r in attach_predictions(pairs, ok).collect()) == [("p1", 1, 1), ("p2", 0, 0)]
+
+
+def test_metrics_do_not_depend_on_row_order_or_partitioning(spark):
+    import random
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", "c"]), rng.randint(0, 1), rng.randint(0, 1), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "dataset string, prediction int, label int, i int")
+    base = sorted(tuple(r) for r in metrics_report(df).collect())
+    for other in (df.repartition(7), df.orderBy(F.col("i").desc()), df.coalesce(1)):
+        assert sorted(tuple(r) for r in metrics_report(other).collect()) == base
