@@ -37,7 +37,8 @@ def model_examples(texts: DataFrame, yes_no: bool = True, max_tokens: dict[str,
     max_tokens = max_tokens or MAX_TOKENS
     text = strip_all("text")
     target = strip_all(label_to_text("label", yes_no))
-    out = texts.select("pair_id", "dataset", "split", text.alias("text"), target.alias("target"))
+    keep = [c for c in ("fold", "phase") if c in texts.columns]
+    out = texts.select("pair_id", "dataset", "split", *keep, text.alias("text"), target.alias("target"))
     out = out.withColumn("target_id", text_to_label(F.col("target"))) \
              .withColumn("n_tokens", n_tokens(F.col("text")))
     return out.withColumn("kept", F.col("n_tokens") <= _limit(max_tokens))

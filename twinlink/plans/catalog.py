@@ -817,3 +817,21 @@ def q_dropped_examples(spark, sf):
     ex = EX.model_examples(_rows(spark, sf, "mode4", "automl_filter"), yes_no=False,
                            max_tokens=_SHORT_LIMITS)
     return EX.dropped_examples(ex)
+
+
+# --- E2: hold-out experiment inputs for all folds, written and read back ---
+
+from twinlink.plans import experiment as XP  # noqa: E402
+
+
+@register("e2_hold_out_inputs_sizes", O.with_fixture(
+    *_D2_CTES, _rows_sql("mode1"),
+    select=("SELECT fold, split, CAST(count(*) AS BIGINT) AS n_rows FROM rows, "
+            "(VALUES ('prod'), ('cust'), ('supp')) f(fold) WHERE dataset <> fold AND split <> 'test' "
+            "GROUP BY fold, split UNION ALL "
+            "SELECT 'all' AS fold, 'test' AS split, CAST(count(*) AS BIGINT) AS n_rows FROM rows WHERE split = 'test'")))
+def q_hold_out_inputs(spark, sf):
+    sets = XP.hold_out_sets(fixture_pairs(spark, sf), _FOLDS, "row", predictions=with_rule_prediction)
+    path = scratch_dir(spark, "hold-out-inputs")
+    XP.write_hold_out_inputs(sets, path)
+    return spark.read.parquet(path).groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n_rows"))
