@@ -566,8 +566,7 @@ def q_pred_roundtrip(spark, sf):
     preds = rule_predictions(pairs).join(pairs.select("pair_id", "dataset"), "pair_id")
     path = scratch_dir(spark, "predictions")
     FS.write_predictions(preds, path)
-    back = spark.read.parquet(path)
-    return back.select("pair_id", "dataset", "prediction", "proba_0", "proba_1")
+    return FS.read_predictions(spark, path, with_dataset=True)
 
 
 @register("k4_dump_predictions", O.with_fixture(select=(

@@ -80,10 +80,10 @@ def read_attribute_pairs(spark: SparkSession, root: str, dataset=None, split=Non
         "attr_pair_id", "dataset", "split", "attribute", "left_value", "right_value", "label")
 
 
-def read_predictions(spark: SparkSession, root: str, dataset=None) -> DataFrame:
-    """Stored predictions keyed by pair_id."""
+def read_predictions(spark: SparkSession, root: str, dataset=None, with_dataset: bool = False) -> DataFrame:
+    """Stored predictions keyed by pair_id (J3 attaches them by that key)."""
     return _prune(spark.read.parquet(root), dataset).select(
-        "pair_id", "prediction", "proba_0", "proba_1")
+        "pair_id", *(["dataset"] if with_dataset else []), "prediction", "proba_0", "proba_1")
 
 
 def write_pairs(df: DataFrame, root: str, mode: str = "overwrite") -> None:
