@@ -42,3 +42,22 @@ def test_exceeds_equals_ratio_comparison():
         t = rng.choice([0.3, 0.5, 0.7])
         assert _exceeds(a, b, t) == (SequenceMatcher(None, a, b).ratio() > t)
     assert _exceeds(None, "x", 0.5) is None
+
+
+def test_similarity_report_equals_brute_force_on_fixture(spark):
+    from conftest import SF001
+    from twinlink.operators.score import similarity_inputs
+    from twinlink.plans.baseline import similarity_report
+    from twinlink.plans.fixture_pairs import fixture_pairs
+    pairs = fixture_pairs(spark, SF001)
+    rows = similarity_inputs(pairs.where(F.col("split") == "test")).collect()
+    want = {}
+    for r in rows:
+        p = int(SequenceMatcher(None, r.text_a, r.text_b).ratio() > 0.5)
+        c = want.setdefault(r.dataset, [0, 0, 0, 0])
+        c[(p == 1) * 2 + (r.label == 1)] += 1          # tn, fn, fp, tp
+    got = {r.dataset: r for r in similarity_report(pairs).collect()}
+    assert set(got) == set(want)
+    for ds, (tn, fn, fp, tp) in want.items():
+        assert (got[ds].tp, got[ds].fp, got[ds].fn, got[ds].tn) == (tp, fp, fn, tn)
+        assert got[ds].f1 == (0.0 if 2 * tp + fp + fn == 0 else 2 * tp / (2 * tp + fp + fn))
