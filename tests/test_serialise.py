@@ -59,3 +59,11 @@ def test_prompts(pairs):
     # a '%' in a value survives (no format strings)
     odd = pairs.withColumn("attrs", F.transform("attrs", lambda a: a.withField("left", F.lit("50%"))))
     assert "50%\t50%" in S.render_prompt(odd, "solar").first().prompt
+
+
+def test_pack_pairs_pairs_sides_by_position(spark):
+    from twinlink.operators.pairs import pack_pairs
+    wide = spark.createDataFrame([("1", "2", "a", 1, "b")], "ltable_id string, rtable_id string, title_l string, "
+                                                            "label int, name_r string")
+    got = pack_pairs(wide, "d", split="test").first()
+    assert got.pair_id == "d|1|2" and [tuple(a) for a in got.attrs] == [("title", "a", "b", False)]

@@ -50,16 +50,19 @@ def pack_pairs(wide: DataFrame, dataset: str | Column, numeric: Iterable[str] |
     if both sides have a numeric Spark type.  Values become text.
     """
     names = side_columns(wide)
+    # The i-th left column pairs with the i-th right column; the name is the left one's.
+    rights = [c for c in wide.columns if c.endswith("_r")]
+    sides = [(n, f"{n}_l", r) for n, r in zip(names, rights)]
     types = {f.name: f.dataType for f in wide.schema.fields}
     num = set(numeric) if numeric is not None else {
-        n for n in names
-        if isinstance(types[f"{n}_l"], T.NumericType) and isinstance(types[f"{n}_r"], T.NumericType)}
+        n for n, lc, rc in sides
+        if isinstance(types[lc], T.NumericType) and isinstance(types[rc], T.NumericType)}
     attrs = F.array(*[
         F.struct(F.lit(n).alias("name"),
-                 _as_text(F.col(f"{n}_l"), types[f"{n}_l"]).alias("left"),
-                 _as_text(F.col(f"{n}_r"), types[f"{n}_r"]).alias("right"),
+                 _as_text(F.col(lc), types[lc]).alias("left"),
+                 _as_text(F.col(rc), types[rc]).alias("right"),
                  F.lit(n in num).alias("numeric"))
-        for n in names])
+        for n, lc, rc in sides])
     ds = F.lit(dataset) if isinstance(dataset, str) else dataset
     if "pair_id" in wide.columns:
         pid = F.col("pair_id")
