@@ -118,14 +118,14 @@ def predict_pairs(model, pairs: DataFrame) -> DataFrame:
                       p[0].alias("proba_0"), p[1].alias("proba_1"))
 
 
-def prepare_predictions(pairs: DataFrame, datasets: list[str], seed: int = 42) -> DataFrame:
+def prepare_predictions(pairs: DataFrame, datasets: list[str], seed: int = 42, max_iter: int = 40) -> DataFrame:
     """One model per dataset, fitted on its train split with valid for tuning;
     in-sample train and valid predictions (they feed the hard-positive filter)."""
     outs = []
     for ds in datasets:
         mine = pairs.where(F.col("dataset") == ds)
         train, valid = mine.where(F.col("split") == "train"), mine.where(F.col("split") == "valid")
-        model = fit_pair_classifier(train, valid, seed=seed)
+        model = fit_pair_classifier(train, valid, seed=seed, max_iter=max_iter)
         outs.append(predict_pairs(model, mine.where(F.col("split").isin("train", "valid"))))
     return reduce(lambda a, b: a.unionByName(b), outs)
 

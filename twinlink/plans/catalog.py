@@ -834,3 +834,15 @@ def q_hold_out_inputs(spark, sf):
     path = scratch_dir(spark, "hold-out-inputs")
     XP.write_hold_out_inputs(sets, path)
     return spark.read.parquet(path).groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("m4_with_classifier_predictions")
+def q_m4_classifier(spark, sf):
+    """M4 on a stored prediction table from the per-dataset classifiers (U5 -> K3 -> S6 -> J3)."""
+    pairs = fixture_pairs(spark, sf)
+    path = scratch_dir(spark, "u5-predictions")
+    preds = prepare_predictions(pairs, [d.name for d in _FD], max_iter=20)
+    FS.write_predictions(preds, path)
+    train = pairs.where(F.col("split") == "train")
+    scored = attach_predictions(train, FS.read_predictions(spark, path))
+    return M.automl_filter(scored).select("pair_id", "dataset", "split", "label", "prediction")
