@@ -31,9 +31,11 @@ from __future__ import annotations
 
 import math
 import zlib
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,6 +224,30 @@ def sample_groups(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n:
     return _union(parts, keyed).drop("_key")
 
 
+@contextmanager
+def _shared_input(df: DataFrame, materialize: bool):
+    """A sampler reads its input twice (group counts, then the sample).  When the input
+    is itself the result of a shuffle (a dedup, a join), keep it for those two passes
+    instead of recomputing the shuffle; a plain scan is re-read (column-pruned) instead.
+    Released once the sample is materialized; any lazy part of the output (groups kept
+    whole or taken through key buckets) recomputes from lineage when consumed."""
+    if not materialize or not _has_exchange(df):
+        yield df
+        return
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def _has_exchange(df: DataFrame) -> bool:
+    try:
+        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # noqa: BLE001 -- no plan access (e.g. a remote session): do not cache
+        return False
+
+
 def _check_pool(need: int, have: int, what: str):
     if need > have:
         raise ValueError(f"Cannot take a larger sample ({need}) than the population ({have}) of {what}")
@@ -236,14 +262,15 @@ def sample_exact(df: DataFrame, n: int, seed: int, op: str = "sample", by: list[
                  max_driver_groups: int = MAX_DRIVER_GROUPS, large_k: int = LARGE_K) -> DataFrame:
     """M1: exactly ``n`` rows per group (uniform, deterministic); raises when a group has fewer."""
     by = list(by or [])
-    try:
-        counts = group_counts(df, by, max_driver_groups) if by else {(): df.count()}
-    except TooManyGroups:
-        return _sample_exact_distributed(df, n, seed, op, by, id_col, materialize)
-    for g, c in counts.items():
-        _check_pool(n, c, f"group {g}")
-    return sample_groups(df, by, {g: n for g in counts}, counts, seed, op, id_col, materialize,
-                         large_k=large_k)
+    with _shared_input(df, materialize) as df:
+        try:
+            counts = group_counts(df, by, max_driver_groups) if by else {(): df.count()}
+        except TooManyGroups:
+            return _sample_exact_distributed(df, n, seed, op, by, id_col, materialize)
+        for g, c in counts.items():
+            _check_pool(n, c, f"group {g}")
+        return sample_groups(df, by, {g: n for g in counts}, counts, seed, op, id_col, materialize,
+                             large_k=large_k)
 
 
 def _threshold_col(k: int, n: Column, margin_sd: float = MARGIN_SD, margin_rows: int = MARGIN_ROWS) -> Column:
@@ -302,6 +329,11 @@ def one_pos_two_neg(train: DataFrame, seed: int = 42, small_set: int = 1200, cap
                     materialize: bool = True) -> DataFrame:
     """M2 + M3 per dataset: sets under ``small_set`` rows are kept whole; otherwise all
     positives and 2x as many negatives, then a uniform ``min(cap, 3*pos)`` of that union."""
+    with _shared_input(train, materialize) as train:
+        return _one_pos_two_neg(train, seed, small_set, cap, materialize)
+
+
+def _one_pos_two_neg(train, seed, small_set, cap, materialize):
     counts = group_counts(train, ["dataset", "label"])
     k: dict[tuple, int] = {}
     for ds in sorted({g[0] for g in counts}):
@@ -329,7 +361,11 @@ def automl_filter(train: DataFrame, seed: int = 42, small_set: int = 1200, max_p
     """
     sub = F.when(F.col("label") == 1, (F.col("prediction") == F.col("label")).cast("string")) \
            .otherwise(F.lit("any"))
-    d = train.withColumn("_sub", sub)
+    with _shared_input(train.withColumn("_sub", sub), materialize) as d:
+        return _automl_filter(d, seed, small_set, max_pos, materialize).drop("_sub")
+
+
+def _automl_filter(d, seed, small_set, max_pos, materialize):
     cols = ["dataset", "label", "_sub"]
     counts = group_counts(d, cols)
     k: dict[tuple, int] = {}
@@ -346,8 +382,7 @@ def automl_filter(train: DataFrame, seed: int = 42, small_set: int = 1200, max_p
         k[(ds, 1, "false")] = min(wrong, npos)
         k[(ds, 1, "true")] = npos - min(wrong, npos)
         k[(ds, 0, "any")] = 2 * npos
-    out = sample_groups(d, cols, k, counts, seed, "automl_filter", materialize=materialize)
-    return out.drop("_sub")
+    return sample_groups(d, cols, k, counts, seed, "automl_filter", materialize=materialize)
 
 
 def balance_attribute_pairs(attr_pairs: DataFrame, seed: int = 1, cap: int | None = 800,
@@ -355,6 +390,11 @@ def balance_attribute_pairs(attr_pairs: DataFrame, seed: int = 1, cap: int | Non
     """M5 (+ M6 when ``cap``): per split and attribute, across datasets, every label cut to
     the smallest label count present (a one-label group stays whole); then a uniform
     ``cap`` rows of the balanced group if it is larger."""
+    with _shared_input(attr_pairs, materialize) as attr_pairs:
+        return _balance(attr_pairs, seed, cap, materialize, large_k)
+
+
+def _balance(attr_pairs, seed, cap, materialize, large_k):
     cols = ["split", "attribute", "label"]
     counts = group_counts(attr_pairs.where(F.col("attribute").isNotNull()), cols)
     k: dict[tuple, int] = {}
