@@ -131,3 +131,12 @@ def test_large_k_bucket_path_equals_threshold_path(spark):
 def test_bucket_digits():
     assert M._bucket_digits(10) == 1
     assert 16 ** M._bucket_digits(10 ** 12) * M.BUCKET_ROWS >= 10 ** 12
+
+
+def test_sampler_leaves_a_callers_cache_alone(spark):
+    df = _pairs(spark, 700, 2000).groupBy("pair_id", "dataset", "split", "label").count().drop("count")
+    df.cache()
+    df.count()
+    M.one_pos_two_neg(df)
+    assert df.storageLevel.useMemory
+    df.unpersist()

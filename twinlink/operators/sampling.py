@@ -231,8 +231,9 @@ def _shared_input(df: DataFrame, materialize: bool):
     instead of recomputing the shuffle; a plain scan is re-read (column-pruned) instead.
     Released once the sample is materialized; any lazy part of the output (groups kept
     whole or taken through key buckets) recomputes from lineage when consumed."""
-    if not materialize or not _has_exchange(df):
-        yield df
+    level = df.storageLevel
+    if not materialize or level.useMemory or level.useDisk or not _has_exchange(df):
+        yield df                                    # already cached by the caller, or cheap to re-read
         return
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
