@@ -36,3 +36,14 @@ def test_written_inputs_and_report(spark):
     assert back.count() == total - dropped and dropped > 0
     assert back.where("fold = 'cust' AND dataset = 'cust'").count() == 0
     assert {r.split for r in back.where("fold = 'all'").select("split").distinct().collect()} == {"test"}
+
+
+def test_attribute_sets_are_balanced_per_fold(spark):
+    from twinlink.operators import assemble as D
+    pairs = fixture_pairs(spark, SF001)
+    ap = attribute_pairs(pairs)
+    per_fold = D.read_attribute_datasets(D.all_folds(ap, FOLDS), "mode1", cap=None, by=("fold",))
+    for f in FOLDS:
+        alone = D.read_attribute_datasets(ap.where(F.col("dataset") != f), "mode1", cap=None)
+        got = sorted(r.pair_id for r in per_fold.where(F.col("fold") == f).collect())
+        assert got == sorted(r.pair_id for r in alone.collect())

@@ -66,10 +66,11 @@ def read_datasets(pairs: DataFrame, mode: str = "mode1", sampler: str = "one_pos
 
 
 def read_attribute_datasets(attr_pairs: DataFrame, mode: str = "mode1", seed: int = 1,
-                            cap: int | None = 800) -> DataFrame:
+                            cap: int | None = 800, by=()) -> DataFrame:
     """D3: attribute pairs of all datasets, balanced and capped per split and attribute
-    (valid and test too), serialised as one-attribute records named 'value'."""
-    return serialise_attribute_pairs(M.balance_attribute_pairs(attr_pairs, seed=seed, cap=cap), mode)
+    (valid and test too), serialised as one-attribute records named 'value'.  ``by``
+    (e.g. ``fold``) balances each of its values separately."""
+    return serialise_attribute_pairs(M.balance_attribute_pairs(attr_pairs, seed=seed, cap=cap, by=by), mode)
 
 
 def hold_out(df: DataFrame, held_out: str) -> DataFrame:

@@ -387,20 +387,22 @@ def _automl_filter(d, seed, small_set, max_pos, materialize):
 
 
 def balance_attribute_pairs(attr_pairs: DataFrame, seed: int = 1, cap: int | None = 800,
-                            materialize: bool = True, large_k: int = LARGE_K) -> DataFrame:
+                            materialize: bool = True, large_k: int = LARGE_K, by=()) -> DataFrame:
     """M5 (+ M6 when ``cap``): per split and attribute, across datasets, every label cut to
     the smallest label count present (a one-label group stays whole); then a uniform
-    ``cap`` rows of the balanced group if it is larger."""
+    ``cap`` rows of the balanced group if it is larger.  ``by`` adds grouping columns
+    (``fold`` for hold-out sets: each fold balances over its own datasets)."""
     with _shared_input(attr_pairs, materialize) as attr_pairs:
-        return _balance(attr_pairs, seed, cap, materialize, large_k)
+        return _balance(attr_pairs, seed, cap, materialize, large_k, list(by))
 
 
-def _balance(attr_pairs, seed, cap, materialize, large_k):
-    cols = ["split", "attribute", "label"]
+def _balance(attr_pairs, seed, cap, materialize, large_k, by):
+    cols = [*by, "split", "attribute", "label"]
+    nb = len(by) + 2
     counts = group_counts(attr_pairs.where(F.col("attribute").isNotNull()), cols)
     k: dict[tuple, int] = {}
-    for sa in sorted({g[:2] for g in counts}):
-        labels = sorted(g[2] for g in counts if g[:2] == sa)
+    for sa in sorted({g[:nb] for g in counts}):
+        labels = sorted(g[nb] for g in counts if g[:nb] == sa)
         m = min(counts[sa + (lb,)] for lb in labels)
         take = {lb: m for lb in labels}
         if cap is not None and m * len(labels) > cap:

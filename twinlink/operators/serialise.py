@@ -78,7 +78,8 @@ def attribute_pairs_as_pairs(attr_pairs: DataFrame) -> DataFrame:
     """Attribute pair -> one-attribute canonical pair named 'value'."""
     attrs = F.array(F.struct(F.lit("value").alias("name"), F.col("left_value").alias("left"),
                              F.col("right_value").alias("right"), F.lit(False).alias("numeric")))
-    return attr_pairs.select(F.col("attr_pair_id").alias("pair_id"), "dataset", "split",
+    keep = [c for c in ("fold", "phase") if c in attr_pairs.columns]
+    return attr_pairs.select(F.col("attr_pair_id").alias("pair_id"), "dataset", "split", *keep,
                              "label", attrs.alias("attrs"))
 
 

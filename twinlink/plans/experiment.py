@@ -33,7 +33,9 @@ def hold_out_sets(pairs: DataFrame, datasets: list[str], mix: str = "row", attr_
     else:
         if attr_pairs is None:
             raise ValueError(f"mix {mix!r} needs attribute pairs")
-        attr_folds = D.all_folds(D.read_attribute_datasets(attr_pairs, mode), datasets)
+        # Balancing groups attributes across datasets, so each fold balances its own
+        # datasets: copies per fold first, then balance by fold.
+        attr_folds = D.read_attribute_datasets(D.all_folds(attr_pairs, datasets), mode, by=("fold",))
         tv = (D.mix_attr_plus_row(attr_folds, row_folds).withColumn("phase", F.lit(1)) if mix == "attr+row"
               else D.mix_attr_then_row(attr_folds, row_folds))
     cols = ["fold", "phase", "pair_id", "dataset", "split", "text", "label"]
