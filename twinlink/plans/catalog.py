@@ -846,3 +846,16 @@ def q_m4_classifier(spark, sf):
     train = pairs.where(F.col("split") == "train")
     scored = attach_predictions(train, FS.read_predictions(spark, path))
     return M.automl_filter(scored).select("pair_id", "dataset", "split", "label", "prediction")
+
+
+@register("d3_attribute_sets_per_fold_sizes", O.with_fixture(
+    *O.ATTR_PAIRS_CTES,
+    "fa AS (SELECT f.fold, ap.* FROM ap, (VALUES ('prod'), ('cust'), ('supp')) f(fold) WHERE ap.dataset <> f.fold)",
+    "c AS (SELECT fold, split, attribute, label, count(*) AS n FROM fa GROUP BY ALL)",
+    "s AS (SELECT fold, split, attribute, least(800, min(n) * count(*)) AS n_rows FROM c GROUP BY ALL)",
+    select="SELECT fold, split, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM s GROUP BY fold, split"))
+def q_attr_sets_per_fold(spark, sf):
+    """D3 inside hold-out folds: each fold balances and caps attributes over its own datasets."""
+    ap = attribute_pairs(fixture_pairs(spark, sf))
+    sets = D.read_attribute_datasets(D.all_folds(ap, _FOLDS), "mode1", by=("fold",))
+    return D.split_sizes(sets, by=("fold", "split"))
