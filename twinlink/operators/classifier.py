@@ -98,7 +98,7 @@ def pair_features(pairs: DataFrame) -> DataFrame:
 
 
 def fit_pair_classifier(train: DataFrame, valid: DataFrame | None = None, seed: int = 42,
-                        max_iter: int = 40, max_depth: int = 4):
+                        max_iter: int = 20, max_depth: int = 4):
     """GBT classifier on pair features; ``valid`` drives early stopping."""
     data = pair_features(train).withColumn("_is_valid", F.lit(False))
     if valid is not None:
@@ -118,7 +118,7 @@ def predict_pairs(model, pairs: DataFrame) -> DataFrame:
                       p[0].alias("proba_0"), p[1].alias("proba_1"))
 
 
-def prepare_predictions(pairs: DataFrame, datasets: list[str], seed: int = 42, max_iter: int = 40) -> DataFrame:
+def prepare_predictions(pairs: DataFrame, datasets: list[str], seed: int = 42, max_iter: int = 20) -> DataFrame:
     """One model per dataset, fitted on its train split with valid for tuning;
     in-sample train and valid predictions (they feed the hard-positive filter)."""
     outs = []
