@@ -43,3 +43,12 @@ def replace_field(column: pa.StructArray, at: int, values: pa.Array) -> pa.Struc
     kind = column.type
     own = [values if k == at else field_of(column, k) for k in range(kind.num_fields)]
     return pa.StructArray.from_arrays(own, fields=[kind.field(k) for k in range(kind.num_fields)])
+
+
+SMALL_ROWS = 2_000_000
+
+
+def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``df`` (a written table of narrow rows) marked for a broadcast join if its counted size is
+    small; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_ROWS * 32 else df

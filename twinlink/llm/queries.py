@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, near_dedup
 from .oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,11 +18,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"), min_docs=10)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(_table(spark, sf_dir, "documents"), percent=75)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op8_decontaminate": op8_decontaminate,
 }
