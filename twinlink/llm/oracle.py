@@ -50,8 +50,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
+OP9 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+      FROM d, range(1, len(w) - 48) AS r(i) WHERE len(w) >= 50),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+g AS (SELECT DISTINCT doc_id, p FROM x JOIN f USING (h), range(i, i + 50) AS r(p) WHERE doc_id > first),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+t AS (SELECT k.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY k.p) FILTER (WHERE g.p IS NULL) AS kept
+      FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op2_near_dedup": OP2,
     "op8_decontaminate": OP8,
+    "op9_substring_dedup": OP9,
 }
