@@ -42,15 +42,18 @@ MORE = {
     "jwt": ("eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]", "{8,}", "", 0),
 }
 RULES = {**BASE, **MORE}
-# Least repeats of the last part with which a match can be long enough.
-_DETECT = {"assign": "{6,}", "access": "{16,}", "hex": "{24,}"}
+# What the combined automaton looks for: every match holds its kind's part.  Counted repeats of
+# classes that hold their own prefix would blow up the subset construction, so the lengths are left
+# to the rules' own automata.
+DETECT = {kind: rule for kind, (rule, _, _, _) in RULES.items()}
+DETECT |= {"hex": "[0-9a-f]{24,}", "jwt": "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]"}
 _FEW = 64
 
 
 @lru_cache(maxsize=1)
 def _scanner():
     """Arrays of the combined automaton, and (kind, match, prefix match, least length) of every rule."""
-    dfa = compile_rules([r[0] + _DETECT.get(k, r[1]) for k, r in RULES.items()], search=True)
+    dfa = compile_rules(list(DETECT.values()), search=True)
     kinds = [(k, longest(compile_rules([rule + last])), longest(compile_rules([prefix])) if prefix else None, least)
              for k, (rule, last, prefix, least) in RULES.items()]
     return dfa, ~dfa.synchronising(), dfa.shortest(), kinds
