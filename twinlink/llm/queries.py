@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dedup, secret_scan, substring_dedup, token_counts
+from . import bpe, decontaminate, line_dedup, near_dedup, quality, secret_scan, substring_dedup, token_counts
 from .oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -43,6 +43,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"), window=50)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -51,4 +55,5 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
