@@ -1,22 +1,48 @@
 """The training-data pipeline over ``documents``: stages read what their predecessor kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a
-DataFrame, written as Parquet and read again as the next stage's docs."""
+DataFrame, written as Parquet and read again as the next stage's docs.  Rows without a
+language leave, lines found in many documents leave, one document of each near-duplicate group
+stays, contaminated documents leave, and the rest is encoded.  Null ids form no group and stay."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinlink.llm import decontaminate
+from twinlink.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
 from twinlink.llm.frames import written
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.identified(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(docs, min_docs=10).select("doc.*")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # An id that is repeated leaves only if none of its rows stands for its group.
+    gone = (near_dedup.report(docs, percent=75).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+            .where("not kept").select(F.col("doc_id").alias("gone_id")))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
 
 
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.report(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
     ("decontaminate", decontaminate_stage),
+    ("encode", encode_stage),
 ]
 
 # Trained and learned stages have no SQL form; tests hold the stages against brute force.

@@ -90,14 +90,16 @@ def histograms(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
         left = rest
     classes.append(F.length(left))
 
+    cut = _BLANK + CLASSES["stop"]
+
     def common(own: Column) -> Column:
         return F.array(*[F.size(own) - F.size(F.array_remove(own, w)) for w in WORDS])
 
     def measures(words: Column) -> Column:
-        low = F.filter(F.transform(words, lambda w: F.rtrim(F.lower(w), F.lit(CLASSES["stop"]))), lambda w: w.isin(*WORDS))
+        low = F.filter(F.split(F.translate(F.lower("text"), cut, " " * len(cut)), " "), lambda w: w.isin(*WORDS))
         return F.struct(F.size(words).cast("bigint").alias("n_words"),
                         repeat_words(words).cast("bigint").alias("n_repeat_words"),
-                        _let(low, lambda own: F.concat(common(own), F.array(F.size(words) - F.size(own)))).alias("common"))
+                        _let(low, lambda own: F.concat(common(own), F.array(F.greatest(F.size(words) - F.size(own), F.lit(0))))).alias("common"))
 
     return base.select(
         "id", "lang", _let(split_words(F.col("text")), measures).alias("m"),
