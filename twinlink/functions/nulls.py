@@ -14,10 +14,10 @@ ATTRIBUTE_NULL_TOKENS = (
 )
 
 # The default missing-value strings of pandas.read_csv
-# (pandas documentation, ``na_values``), applied when record files are read.
+# before version 2 (pandas documentation, ``na_values``; the text None stays), applied when record files are read.
 CSV_NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
-    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
     "n/a", "nan", "null",
 )
 

@@ -841,7 +841,7 @@ def q_m4_classifier(spark, sf):
     """M4 on a stored prediction table from the per-dataset classifiers (U5 -> K3 -> S6 -> J3)."""
     pairs = fixture_pairs(spark, sf)
     path = scratch_dir(spark, "u5-predictions")
-    preds = prepare_predictions(pairs, [d.name for d in _FD], max_iter=20)
+    preds = prepare_predictions(pairs, [d.name for d in _FD], max_iter=40)
     FS.write_predictions(preds, path)
     train = pairs.where(F.col("split") == "train")
     scored = attach_predictions(train, FS.read_predictions(spark, path))
