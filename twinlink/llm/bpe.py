@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary file.
 
 Slices come from ``pretokens`` (no regex).  A slice that is in the vocabulary is its rank;
-any other is merged pair by pair, lowest rank first, leftmost on ties, and kept in a
+any other is merged pair by pair, lowest rank first, leftmost on ties; both are kept in a
 cache of bounded size in the worker.  Long slices are merged with a heap, so that their cost
 grows as n log n.  The byte offset of every token is kept: ``offsets`` gives each token's end in
 the text's UTF-8 bytes.  Decoding joins the vocabulary's bytes.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import pretokens, textops as T
-from .frames import as_struct, batch_of, field_of, with_fields
+from .frames import as_struct, batch_of, field_of, pieces_of, with_fields
 
 _CACHED = 500_000
 _LONG = 48
@@ -36,14 +37,20 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, bytes]]:
 
 
 def _merge_short(token: bytes, ranks) -> list[int]:
+    none, get = 1 << 40, ranks.get
     parts = [token[k:k + 1] for k in range(len(token))]
-    while len(parts) > 1:
-        scores = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
+    scores = [get(token[k:k + 2], none) for k in range(len(token) - 1)]
+    while scores:
         best = min(scores)
-        if best == 1 << 40:
+        if best == none:
             break
         k = scores.index(best)
-        parts[k:k + 2] = [parts[k] + parts[k + 1]]
+        del scores[k]
+        parts[k] += parts.pop(k + 1)
+        if k:
+            scores[k - 1] = get(parts[k - 1] + parts[k], none)
+        if k < len(scores):
+            scores[k] = get(parts[k] + parts[k + 1], none)
     return [ranks[p] for p in parts]
 
 
@@ -77,40 +84,64 @@ def _merge_long(token: bytes, ranks) -> list[int]:
     return out
 
 
-class Encoder:
-    """Ids of slices, with a cache of merged ones."""
+class _Numbers(dict):
+    """Number of every known slice; an unknown one is merged, and its ids join one flat array."""
 
-    def __init__(self, path: str):
-        self.ranks, self.tokens = vocabulary(path)
-        self.cache: dict[bytes, list[int]] = {}
+    def __init__(self, ranks):
+        super().__init__()
+        self.ranks, self.flat, self.starts = ranks, array("i"), array("q", [0])
 
-    def slice_ids(self, token: bytes) -> list[int]:
+    def __missing__(self, token: bytes) -> int:
         rank = self.ranks.get(token)
         if rank is not None:
-            return [rank]
-        ids = self.cache.get(token)
-        if ids is None:
-            ids = (_merge_long if len(token) > _LONG else _merge_short)(token, self.ranks)
-            if len(self.cache) >= _CACHED:
-                self.cache.clear()
-            if len(token) <= 256:
-                self.cache[token] = ids
-        return ids
-
-    def encode(self, column):
-        """Ids and token ends of every row (both None for a null), row by row."""
-        valid = column.is_valid().to_pylist()
-        for first, _, buf, bounds in T.text_chunks(column):
+            self.flat.append(rank)
+        else:
+            self.flat.extend((_merge_long if len(token) > _LONG else _merge_short)(token, self.ranks))
+        self.starts.append(len(self.flat))
+        self[token] = number = len(self.starts) - 2
+        return number
+
+
+class Encoder:
+    """Ids of texts, with a cache of slices; between chunks a cache that is full begins anew."""
+
+    def __init__(self, path: str):
+        self.ranks, self.tokens = vocabulary(path)
+        self.lengths = np.zeros(max(self.tokens) + 1, dtype=np.int64)
+        for rank, token in self.tokens.items():
+            self.lengths[rank] = len(token)
+        self.numbers = _Numbers(self.ranks)
+
+    def chunks(self, column):
+        """``(ids, counts)`` chunk by chunk: flat ids and their number in each row (null: 0)."""
+        for _, _, buf, bounds in T.text_chunks(column):
             cuts, per_row = pretokens.slices(buf, bounds)
-            raw, at, of = buf.tobytes(), cuts.tolist(), self.slice_ids
-            for r in range(len(bounds) - 1):
-                if not valid[first + r]:
-                    yield None, None
-                    continue
-                ids: list[int] = []
-                for k in range(per_row[r], per_row[r + 1]):
-                    ids += of(raw[at[k]:at[k + 1]])
-                yield ids, np.cumsum([len(self.tokens[i]) for i in ids], dtype=np.int64)
+            raw, at = buf.tobytes(), cuts.tolist()
+            if len(self.numbers) > _CACHED or len(self.numbers.flat) > 8 * _CACHED:
+                self.numbers = _Numbers(self.ranks)
+            found = map(self.numbers.__getitem__, map(raw.__getitem__, map(slice, at, at[1:])))
+            found = np.fromiter(found, dtype=np.int32, count=len(at) - 1)
+            starts, flat = np.array(self.numbers.starts), np.array(self.numbers.flat)
+            sizes = (starts[1:] - starts[:-1])[found]
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            ids = flat[np.repeat(starts[found] - ends[:-1], sizes) + np.arange(ends[-1])]
+            yield ids, np.diff(ends[per_row])
+
+    def encode(self, column) -> tuple[pa.ListArray, pa.ListArray]:
+        """Ids and token ends of every row (both null for a null)."""
+        parts = list(self.chunks(column))
+        ids = np.concatenate([np.zeros(0, np.int32), *(own for own, _ in parts)])
+        rows = np.concatenate([[0], *(own for _, own in parts)]).cumsum()
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))
+        offsets = ends[1:] - np.repeat(ends[rows[:-1]], np.diff(rows))
+        return tuple(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(own), mask=column.is_null())
+                     for own in (ids.astype(np.int32), offsets))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """This worker's encoder; its cache lives as long as the worker."""
+    return Encoder(path)
 
 
 ENCODED = "ids array<int>, offsets array<bigint>"
@@ -121,11 +152,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        encoder = Encoder(path)
         for batch in batches:
-            found = list(encoder.encode(field_of(batch.column(0), at)))
-            yield batch_of([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())),
-                            pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc", "ids", "offsets"])
+            for part in pieces_of(batch, at):
+                ids, offsets = encoder(path).encode(field_of(part.column(0), at))
+                yield batch_of([part.column(0), ids, offsets], ["doc", "ids", "offsets"])
     return as_struct(docs).mapInArrow(run, with_fields(docs, ENCODED))
 
 
@@ -136,8 +166,9 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         tokens = vocabulary(path)[1]
         for batch in batches:
-            rows = [None if ids is None else b"".join([tokens[i] for i in ids])
-                    for ids in field_of(batch.column(0), at).to_pylist()]
+            lists = field_of(batch.column(0), at)
+            rows = [None if not ids.is_valid else b"".join([tokens[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()])
+                    for ids in lists]
             yield batch_of([batch.column(0), pa.array(rows, pa.binary())], ["doc", "decoded"])
     return as_struct(encoded).mapInArrow(run, with_fields(encoded, "decoded binary"))
 

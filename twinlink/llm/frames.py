@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
@@ -38,6 +39,17 @@ def batch_of(arrays: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def pieces_of(batch: pa.RecordBatch, at: int, limit: int = 16 << 20):
+    """``batch`` cut into runs of rows with at most ``limit`` bytes (or one row) in string field ``at`` of its struct."""
+    sizes = field_of(batch.column(0), at).cast(pa.large_binary())
+    ends = np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset:sizes.offset + len(sizes) + 1] if len(sizes) else ()
+    first = 0
+    while first < len(sizes):
+        last = max(int(np.searchsorted(ends, ends[first] + limit, side="right")) - 1, first + 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def replace_field(column: pa.StructArray, at: int, values: pa.Array) -> pa.StructArray:
     """The struct array with field ``at`` replaced."""
     kind = column.type

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-BLOCK = 64
+BLOCK = 128
 SEGMENT = 1 << 20
 
 # Symbols; a text's first code point has its symbol + FIRST.
@@ -72,31 +72,56 @@ def tables():
     return state, here, before
 
 
+@lru_cache(maxsize=1)
+def functions() -> tuple[np.ndarray, np.ndarray]:
+    """All compositions of the symbols' functions, as ``(values, composed)``.
+
+    Row f of ``values`` is function f by state (0 is the identity, symbol s is s + 1);
+    ``composed[f, g]`` is the number of g after f.  The closure is small, so that composing two
+    functions is one look-up instead of one for every state."""
+    step = tables()[0]
+    rows = [tuple(range(10))] + [tuple(own) for own in step.tolist()]
+    number: dict[tuple, int] = {}
+    for k, own in enumerate(rows):
+        number.setdefault(own, k)
+    at = 0
+    while at < len(rows):
+        for own in step.tolist():
+            new = tuple(own[s] for s in rows[at])
+            if new not in number:
+                number[new] = len(rows)
+                rows.append(new)
+        at += 1
+    composed = [[number[tuple(g[s] for s in f)] for g in rows] for f in rows]
+    return np.array(rows, dtype=np.uint8), np.array(composed, dtype=np.uint16)
+
+
 def states_before(read: np.ndarray, start: int) -> tuple[np.ndarray, int]:
     """State before every symbol of ``read`` when the first is met in ``start``, and the state after all."""
-    step = tables()[0]
-    n = len(read)
+    values, composed = functions()
+    n, kinds = len(read), len(values)
+    if not n:
+        return np.zeros(0, np.uint8), start
     blocks = -(-n // BLOCK)
     padded = np.zeros(blocks * BLOCK, dtype=np.uint8)
     padded[:n] = read
-    padded = padded.reshape(blocks, BLOCK)
-    whole = np.broadcast_to(np.arange(10, dtype=np.uint8), (blocks, 10)).copy()
+    padded[:n] += 1
+    columns = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T)
+    flat = composed.ravel()
+    prefix = np.empty((BLOCK, blocks), dtype=np.uint16)
+    whole = np.zeros(blocks, dtype=np.uint16)
     for k in range(BLOCK):
-        whole = step[padded[:, k, None], whole]
+        prefix[k] = whole
+        whole = flat[whole.astype(np.int32) * kinds + columns[k]]
     # Inclusive scan of the blocks' functions by doubling: later after earlier.
     hop = 1
     while hop < blocks:
-        whole[hop:] = np.take_along_axis(whole[hop:], whole[:-hop], axis=1)
+        whole[hop:] = composed[whole[:-hop], whole[hop:]]
         hop *= 2
-    now = np.empty(blocks, dtype=np.uint8)
-    now[0], now[1:] = start, whole[:-1, start]
-    out = np.empty((blocks, BLOCK), dtype=np.uint8)
-    for k in range(BLOCK):
-        out[:, k] = now
-        now = step[padded[:, k], now]
-    out = out.reshape(-1)
-    last = int(step[read[n - 1], out[n - 1]]) if n else start
-    return out[:n], last
+    now = np.empty(blocks, dtype=np.int32)
+    now[0], now[1:] = start, values[whole[:-1], start]
+    out = values.ravel()[prefix.astype(np.int32) * 10 + now].T.reshape(-1)[:n]
+    return out, int(values[composed[prefix[(n - 1) % BLOCK, -1], columns[(n - 1) % BLOCK, -1]], now[-1]])
 
 
 def slices(buf: np.ndarray, bounds: np.ndarray):
@@ -115,8 +140,9 @@ def slices(buf: np.ndarray, bounds: np.ndarray):
     for a in range(0, len(read), SEGMENT):
         part = read[a:a + SEGMENT]
         own, state = states_before(part, state)
-        cut[a:a + len(part)] |= here[part, own]
-        early = np.flatnonzero(before[part, own]) + a - 1
+        both = part.astype(np.int16) * 10 + own
+        cut[a:a + len(part)] |= here.ravel()[both]
+        early = np.flatnonzero(before.ravel()[both]) + a - 1
         cut[early] = True
     if state in (_QRV, _QL):
         cut[len(read) - 1] = True

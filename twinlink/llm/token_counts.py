@@ -1,11 +1,12 @@
 """Token counts by a two-tier lookup inside the map tasks; no pre-token is shuffled one by one.
 
 Tier one is a broadcast table of frequent pre-tokens (their bytes joined in one buffer, with
-offsets and token lengths), at most ``max_frequent`` entries.  It is gathered from all texts:
-every task keeps counts of at most ``_HELD`` pre-tokens (the smaller ones are given up when it is
-full) and sends its ``max_frequent`` largest; their sums choose the table.  The table only
-decides where a length is looked up, never which.  Tier two is a cache in each worker; what it
-lacks is encoded by the library in one batch.  Strings of the file's added tokens inside texts
+offsets and token lengths): those that make up at least 1 / ``max_frequent`` of all, so there are at
+most ``max_frequent``, each of at most ``_LONGEST`` bytes.  It is gathered from all texts: every task keeps counts
+of at most ``_HELD`` pre-tokens (the smaller ones are given up when it is full) and sends those with
+that share of its own, as any with that share of all has it in some task.  The table only
+decides where a length is looked up, never which.  Tier two is a cache in each worker, which outlives tasks;
+what it lacks is encoded by the library in one batch.  Strings of the file's added tokens inside texts
 count as one token each, as the library does by default, and cut the texts.
 
 Edge cases: a null or empty text has no tokens and 0 bytes; a text of any length is cut and
@@ -15,7 +16,7 @@ empty tables give no rows.
 
 from __future__ import annotations
 
-from collections import Counter, OrderedDict
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +25,11 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import pretokens, textops as T
-from .frames import as_struct, batch_of, field_of, with_fields
+from .frames import as_struct, batch_of, field_of, with_fields, written
 
 _HELD = 400_000
 _CACHED = 1_000_000
+_LONGEST = 256
 
 
 @lru_cache(maxsize=4)
@@ -59,18 +61,20 @@ def _slices(column):
 
 
 def frequent_lengths(narrow: DataFrame, path: str, max_frequent: int) -> DataFrame:
-    """``token, n_tokens`` of the (approximately) most frequent pre-tokens of a one-column frame."""
+    """``token, n_tokens`` of the (approximately) frequent pre-tokens of a one-column frame."""
     def held(batches):
         _, added = _library(path)
-        counts = Counter()
+        counts, total = Counter(), 0
         for batch in batches:
             for _, own, _ in _slices(_pieces(batch.column(0), added)[0]):
                 counts.update(own)
+                total += len(own)
                 if len(counts) > _HELD:
                     counts = Counter(dict(counts.most_common(_HELD // 2)))
-        top = counts.most_common(max_frequent)
-        yield batch_of([pa.array([t for t, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())],
-                       ["token", "n"])
+        least = max(2, total // max_frequent)
+        top = [(t, n) for t, n in counts.items() if n >= least and len(t) <= _LONGEST]
+        yield batch_of([pa.array([None] + [t for t, _ in top], pa.binary()),
+                        pa.array([total] + [n for _, n in top], pa.int64())], ["token", "n"])
 
     def lengths(batches):
         tokenizer, _ = _library(path)
@@ -78,11 +82,19 @@ def frequent_lengths(narrow: DataFrame, path: str, max_frequent: int) -> DataFra
             texts = [t.decode() for t in batch.column(0).to_pylist()]
             found = [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             yield batch_of([batch.column(0), pa.array(found, pa.int32())], ["token", "n_tokens"])
-    top = narrow.mapInArrow(held, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = top.orderBy(F.desc("n"), "token").limit(max_frequent).select("token")
+    sums = narrow.mapInArrow(held, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = written(sums, "pre-token-counts")
+    total = sums.where("token is null").agg(F.sum("n")).first()[0] or 0
+    top = sums.where(F.col("token").isNotNull() & (F.col("n") * max_frequent >= total)).select("token")
     return top.mapInArrow(lengths, "token binary, n_tokens int")
 
 
+@lru_cache(maxsize=1)
+def _worker_cache(path: str) -> dict[bytes, int]:
+    """Lengths that this worker had the library find; lives as long as the worker."""
+    return {}
+
+
 class Lengths:
     """Token lengths of pre-tokens: the broadcast table, this worker's cache, then the library."""
 
@@ -91,22 +103,25 @@ class Lengths:
         blob, offsets, lengths = packed
         at = offsets.tolist()
         self.frequent = {blob[a:b]: n for a, b, n in zip(at, at[1:], lengths.tolist())}
-        self.cache: OrderedDict = OrderedDict()
+        self.cache = _worker_cache(path)
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
-        known, cache = self.frequent.get, self.cache
-        found = [known(t) for t in tokens]
-        missing = {tokens[k] for k, n in enumerate(found) if n is None}
-        new = [t for t in missing if t not in cache]
-        fresh = self.tokenizer.encode_batch_fast([t.decode() for t in new], add_special_tokens=False)
-        cache.update((t, len(e)) for t, e in zip(new, fresh))
-        out = np.array([cache[t] if n is None else n for t, n in zip(tokens, found)], dtype=np.int64)
-        while len(cache) > _CACHED:
-            cache.popitem(last=False)
-        return out
-
-
-def count_tokens(docs: DataFrame, path: str, text_col: str = "text", max_frequent: int = 50_000) -> DataFrame:
+        cache = self.cache
+        if len(cache) > _CACHED:
+            cache.clear()
+        found = list(map(self.frequent.get, tokens))
+        missing = [k for k, n in enumerate(found) if n is None]
+        new = list({tokens[k] for k in missing} - cache.keys())
+        # What is long is not kept after this call.
+        fresh = dict(zip(new, map(len, self.tokenizer.encode_batch_fast([t.decode() for t in new], add_special_tokens=False))))
+        cache.update((t, n) for t, n in fresh.items() if len(t) <= _LONGEST)
+        for k in missing:
+            n = cache.get(tokens[k])
+            found[k] = fresh[tokens[k]] if n is None else n
+        return np.array(found, dtype=np.int64)
+
+
+def count_tokens(docs: DataFrame, path: str, text_col: str = "text", max_frequent: int = 200_000) -> DataFrame:
     """Every row of ``docs`` as struct ``doc`` with ``n_bytes`` and ``n_tokens`` of its text."""
     sc = docs.sparkSession.sparkContext
     rows = frequent_lengths(docs.select(text_col), path, max_frequent).collect()  # at most max_frequent rows
