@@ -144,19 +144,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-ENCODED = "ids array<int>, offsets array<bigint>"
+IDS = "ids array<int>"
+ENCODED = f"{IDS}, offsets array<bigint>"
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` as struct ``doc`` with the ``ids`` of its text and each token's end, ``offsets``."""
+def encode(docs: DataFrame, path: str, text_col: str = "text", offsets: bool = True) -> DataFrame:
+    """Every row of ``docs`` as struct ``doc`` with the ``ids`` of its text and, if asked for, each token's end, ``offsets``."""
     at = docs.columns.index(text_col)
+    names = ["doc", "ids", "offsets"] if offsets else ["doc", "ids"]
 
     def run(batches):
         for batch in batches:
             for part in pieces_of(batch, at):
-                ids, offsets = encoder(path).encode(field_of(part.column(0), at))
-                yield batch_of([part.column(0), ids, offsets], ["doc", "ids", "offsets"])
-    return as_struct(docs).mapInArrow(run, with_fields(docs, ENCODED))
+                ids, ends = encoder(path).encode(field_of(part.column(0), at))
+                yield batch_of([part.column(0), ids, ends] if offsets else [part.column(0), ids], names)
+    return as_struct(docs).mapInArrow(run, with_fields(docs, ENCODED if offsets else IDS))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -175,7 +177,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``n_tokens, ids_sha256, decoded_sha256``."""
-    encoded = encode(docs.select(id_col, text_col), path, text_col)
+    encoded = encode(docs.select(id_col, text_col), path, text_col, offsets=False)
     encoded = encoded.select(F.col("doc")[id_col].alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     out = decode(encoded, path)
     ids = F.col("doc.ids")
