@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, written as Parquet and read again as the next stage's docs.  Rows without a
-language leave, lines found in many documents leave, one document of each near-duplicate group
+language leave, a line found in many documents stays in the first of them only and documents that lose
+all their text by it leave, one document of each near-duplicate group
 stays, contaminated documents leave, and the rest is encoded.  Null ids form no group and stay."""
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(docs, min_docs=10).select("doc.*")
+    out = line_dedup.line_dedup(docs, min_docs=10, keep="first")
+    # Copies whose every line stands in an earlier document are left without a word; the first copy has its text.
+    emptied = (F.col("n_dropped") > 0) & (F.translate(F.col("doc")["text"], line_dedup.SPACE, "") == "")
+    return out.where(~F.coalesce(emptied, F.lit(False))).select("doc.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
 
@@ -25,6 +27,23 @@ def test_stages_and_result(spark, tmp_path):
         assert got[k].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_one_of_a_large_group_of_copies_keeps_its_text(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = docs.agg({"doc_id": "max"}).first()[0] + 1
+    text = "\n".join(" ".join(f"plain{chr(97 + i)}{chr(97 + j)} is the word that people say" for j in range(12)) for i in range(4))
+    like = docs.where("lang = 'en'").limit(1)
+    copies = spark.range(first, first + 25).select(F.col("id").alias("new_id")).crossJoin(like)
+    own = docs.unionByName(copies.withColumn("doc_id", F.col("new_id")).withColumn("text", F.lit(text)).select(docs.columns))
+    for name, stage in corpus_pipeline.STAGES:
+        last = own
+        stage(spark, own, sf).write.parquet(str(tmp_path / name))
+        own = spark.read.parquet(str(tmp_path / name))
+    assert [(r.doc_id, r.text) for r in last.where(F.col("doc_id") >= first).collect()] == [(first, text)]
+    out = own.where(F.col("doc_id") >= first).collect()
+    assert [r.doc_id for r in out] == [first] and out[0].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names

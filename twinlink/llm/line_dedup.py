@@ -29,6 +29,7 @@ from . import bloom
 from .frames import as_struct, batch_of, field_of, replace_field, with_fields, written
 
 BROADCAST_BYTES = 64 << 20
+SPACE = " \t\n\x0b\x0c\r"
 _FLUSH = 200_000
 
 
