@@ -153,6 +153,30 @@ def test_quality_counts_and_verdict(docs, texts):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_bound_follows_the_table(spark):
+    rnd = random.Random(3)
+    other = ["".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(3, 9))) for _ in range(400)]
+    common = quality.COMMON["en"].split()
+
+    def plain(n):
+        return [rnd.choice(common if rnd.random() < 0.4 else other) for _ in range(n)]
+    texts = [" ".join(plain(200)) for _ in range(60)]
+    signs = [" ".join(w + "%%%" if i % 4 == 0 else w for i, w in enumerate(plain(200))) for _ in range(3)]
+    few = [" ".join(rnd.choice(other) for _ in range(200)) for _ in range(3)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts + signs + few)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.rate(docs).collect()}
+    assert all(r.distance < 0.33 and not r.base_failed for r in got.values())
+    assert [k for k in range(60, 66) if got[k].kept] == []
+    assert sum(got[k].kept for k in range(60)) >= 57
+
+
+def test_quality_error_rates_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality.rate(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    assert n[0, True] / (n[0, True] + n[0, False]) < 0.1 and n[1, False] / (n[1, True] + n[1, False]) < 0.1
+
+
 def test_js_distance_against_the_formula(spark):
     from pyspark.sql import functions as F
     p, q = [3, 0, 5, 2], [0.1, 0.4, 0.5, 0.0]

@@ -4,12 +4,15 @@ Each document has a histogram of character classes and one of common words (plus
 words).  References are the same histograms summed over all documents of a language with a
 list of common words; a document's distance to a reference is the mean of the two Jensen-Shannon
 distances (square roots of the divergence to base 2), and only the nearest reference counts, so
-a document's own language label is not used.  Documents of fewer than ``min_words`` words are not
-judged by distance (short histograms diverge by chance).  Base rules: too few words, or too
+a document's own language label is not used.  Each of the two distances is judged by itself, against
+a bound from the whole table: median plus ``spread`` times the scaled median absolute deviation among the
+documents of the same nearest reference and octave of length (short histograms diverge more by chance).  Equal
+documents count once there, and a group of fewer than ``LEAST`` takes the bound of its reference at all lengths.
+Documents of fewer than ``min_words`` words are not judged by distance.  Base rules: too few words, or too
 many words in repeated 5-word windows.
 
-The histograms are written once (numbers only); the references are one aggregate of at most one row per
-listed language.  Repeated windows are found within each row: equal hashes first decide whether
+The histograms and the distances are each written once (numbers only); the references are one aggregate of at
+most one row per listed language, the bounds one row per language and octave.  Repeated windows are found within each row: equal hashes first decide whether
 there can be any, and only then the windows' words are sorted and compared.
 
 Edge cases: a null text counts as empty and fails the base rule; null or unlisted languages add to no
@@ -41,6 +44,8 @@ CLASSES = {
 }
 _BLANK = "\t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
+# Distances are counted in steps of 1 / STEPS; LEAST documents give a bound of their own.
+STEPS, LEAST = 2000, 30
 
 
 def _let(value: Column, use) -> Column:
@@ -136,17 +141,50 @@ def js_distance(counts: Column, share: list[float]) -> Column:
     return F.when(total > 0, _let(total, distance))
 
 
+def bounds(judged: DataFrame, spread: float) -> dict[tuple[str, int | None], tuple[float, float]]:
+    """Largest usual character and word distance by nearest reference and octave (None: all lengths)."""
+    own = judged.select("nearest", "octave", "n_words", "char_distance", "word_distance").distinct()
+    steps = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.round(F.col(c) * STEPS).cast("int").alias("step"))
+                               for k, c in enumerate(("char_distance", "word_distance"))]))
+    cells = own.select("nearest", "octave", steps).groupBy("nearest", "octave", "kind", "step").agg(F.count("*").alias("n"))
+    cells = written(cells, "distance-counts")
+    found: dict[tuple[str, int | None], list] = {}
+    for keys in (["nearest", "kind"], ["nearest", "octave", "kind"]):
+        middle = cells.groupBy(*keys).agg(F.percentile("step", 0.5, F.col("n")).alias("median"), F.sum("n").alias("size"))
+        off = cells.join(F.broadcast(middle), keys).groupBy(*keys, "median", "size").agg(
+            F.percentile(F.abs(F.col("step") - F.col("median")), 0.5, F.col("n")).alias("mad"))
+        for r in off.collect():
+            key = (r["nearest"], r["octave"] if "octave" in keys else None)
+            if key[1] is None or r["size"] >= LEAST:
+                found.setdefault(key, [0.0, 0.0])[r["kind"]] = (r["median"] + spread * 1.4826 * max(r["mad"], 1.0)) / STEPS
+    return {k: tuple(v) for k, v in sorted(found.items(), key=str)}
+
+
 def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-         min_words: int = 50, max_distance: float = 0.33) -> DataFrame:
+         min_words: int = 50, spread: float = 3.5) -> DataFrame:
     """One row per document: counts, ``base_failed``, ``kept``, ``nearest`` language and its ``distance``."""
     table = written(histograms(docs, id_col, text_col, lang_col), "histograms")
-    found = [F.struct(((js_distance(F.col("chars"), a) + js_distance(F.col("common"), b)) / 2).alias("distance"),
-                      F.lit(lang).alias("nearest")) for lang, (a, b) in references(table).items()]
-    none = F.struct(F.lit(None).cast("double").alias("distance"), F.lit(None).cast("string").alias("nearest"))
+    found = [_let(F.struct(js_distance(F.col("chars"), a).alias("c"), js_distance(F.col("common"), b).alias("w")),
+                  lambda d, lang=lang: F.struct(((d["c"] + d["w"]) / 2).alias("distance"), F.lit(lang).alias("nearest"),
+                                                d["c"].alias("char_distance"), d["w"].alias("word_distance")))
+             for lang, (a, b) in references(table).items()]
+    none = F.struct(F.lit(None).cast("double").alias("distance"), F.lit(None).cast("string").alias("nearest"),
+                    F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("double").alias("word_distance"))
     nearest = F.array_min(F.array(*found)) if found else none
+    table = written(table.withColumn("near", nearest).select(
+        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "near.*",
+        F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int").alias("octave")), "distances")
+    most = bounds(table.where((F.col("n_words") >= min_words) & F.col("distance").isNotNull()), spread)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    diverges = (F.col("n_words") >= min_words) & F.coalesce(F.col("near.distance") > max_distance, F.lit(False))
-    return (table.withColumn("near", nearest)
-            .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    failed.alias("base_failed"), (~failed & ~diverges).alias("kept"),
-                    F.col("near.nearest").alias("nearest"), F.col("near.distance").alias("distance")))
+
+    def beyond(c: float, w: float) -> Column:
+        return (F.col("char_distance") > c) | (F.col("word_distance") > w)
+
+    far = F.lit(False)
+    # Octaves with a bound of their own go before the bound of the reference.
+    for lang, octave in sorted(most, key=lambda k: (k[1] is not None, str(k))):
+        same = F.col("nearest") == lang
+        far = F.when(same if octave is None else same & (F.col("octave") == octave), beyond(*most[lang, octave])).otherwise(far)
+    diverges = (F.col("n_words") >= min_words) & F.coalesce(far, F.lit(False))
+    return table.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        failed.alias("base_failed"), (~failed & ~diverges).alias("kept"), "nearest", "distance")
