@@ -1,5 +1,7 @@
 """M1-M7: exact sizes, branches, determinism, bounded plans."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,24 @@ def test_sampler_leaves_a_callers_cache_alone(spark):
     M.one_pos_two_neg(df)
     assert df.storageLevel.useMemory
     df.unpersist()
+
+
+def test_large_pool_draws(monkeypatch):
+    rng = M._rng(1, "t")
+    for sizes in ([10 ** 12, 2 * 10 ** 12], [10 ** 12] * 3):
+        means = [sum(x) / 200 for x in zip(*(M._draw(rng, sizes, 1200, many=True) for _ in range(200)))]
+        assert sum(means) == pytest.approx(1200)
+        assert all(abs(m - 1200 * s / sum(sizes)) < 6 for m, s in zip(means, sizes))
+    monkeypatch.setattr(M, "NUMPY_POOL", 0)
+    draws = [M._draw(rng, [6, 4], 5) for _ in range(4000)]
+    assert all(a <= 6 and b <= 4 and a + b == 5 for a, b in draws)
+    exact = {a: math.comb(6, a) * math.comb(4, 5 - a) / math.comb(10, 5) for a in range(1, 6)}
+    assert all(abs(sum(d[0] == a for d in draws) / 4000 - p) < 0.04 for a, p in exact.items())
+
+
+def test_evaluation_rows_are_capped_only_on_request(spark):
+    train = _attrs(spark, {("c", 0): 900, ("c", 1): 1000})
+    df = train.unionByName(train.withColumn("split", F.lit("valid")).withColumn("attr_pair_id", F.concat(F.lit("v"), "attr_pair_id")))
+    for options, most in (({}, 1800), ({"eval_cap": 500}, 500)):
+        out = M.balance_attribute_pairs(df, **options).groupBy("split").count().collect()
+        assert {r.split: r["count"] for r in out} == {"train": 800, "valid": most}

@@ -2,7 +2,8 @@
 
 The label becomes the target text ('Yes'/'No', or 'True'/'False' for
 text-to-text models), description and target are stripped, descriptions longer
-than the split's token limit are dropped and counted.  Token counts come from
+than the split's token limit and null texts are dropped and counted, and a split without
+a limit fails the job, so kept and dropped texts are all texts.  Token counts come from
 the native whitespace counter unless a tokenizer UDF is passed
 (``functions.tokens.token_counter_udf``).
 """
@@ -25,7 +26,8 @@ def _limit(max_tokens: dict[str, int]) -> Column:
     for split, n in max_tokens.items():
         cond = F.col("split") == F.lit(split)
         expr = F.when(cond, F.lit(n)) if expr is None else expr.when(cond, F.lit(n))
-    return expr
+    unknown = F.raise_error(F.concat(F.lit("no token limit for split "), F.coalesce(F.col("split"), F.lit("null"))))
+    return expr.otherwise(unknown.cast("int"))
 
 
 def model_examples(texts: DataFrame, yes_no: bool = True, max_tokens: dict[str, int] | None = None,
@@ -41,7 +43,8 @@ def model_examples(texts: DataFrame, yes_no: bool = True, max_tokens: dict[str,
     out = texts.select("pair_id", "dataset", "split", *keep, text.alias("text"), target.alias("target"))
     out = out.withColumn("target_id", text_to_label(F.col("target"))) \
              .withColumn("n_tokens", n_tokens(F.col("text")))
-    return out.withColumn("kept", F.col("n_tokens") <= _limit(max_tokens))
+    # The limit comes first: a comparison reads its right side only if the left one is not null.
+    return out.withColumn("kept", F.coalesce(_limit(max_tokens) >= F.col("n_tokens"), F.lit(False)))
 
 
 def kept_examples(examples: DataFrame) -> DataFrame:
@@ -49,6 +52,6 @@ def kept_examples(examples: DataFrame) -> DataFrame:
 
 
 def dropped_examples(examples: DataFrame, by=("dataset", "split")) -> DataFrame:
-    """R8 for model inputs: texts per group and how many the length limit drops."""
+    """R8 for model inputs: texts per group and how many are dropped (too long, or null)."""
     return examples.groupBy(*by).agg(F.count(F.lit(1)).alias("n_texts"),
                                      F.count_if(~F.col("kept")).alias("n_dropped"))

@@ -81,7 +81,7 @@ def length_filter(texts: DataFrame, n_tokens: Column, max_len: int) -> DataFrame
 
 
 def dropped_for_length(texts: DataFrame, n_tokens: Column, max_len: int, by=("dataset", "split")) -> DataFrame:
-    """How many texts P14 drops per group, next to the group size."""
+    """How many texts P14 drops per group (too long, or null), next to the group size."""
     return (texts.groupBy(*by)
                  .agg(F.count(F.lit(1)).alias("n_texts"),
-                      F.count_if(n_tokens > F.lit(max_len)).alias("n_dropped")))
+                      F.count_if(F.coalesce(n_tokens > F.lit(max_len), F.lit(True))).alias("n_dropped")))

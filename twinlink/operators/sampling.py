@@ -23,7 +23,7 @@ compute alike.  Plans stay bounded at any input size:
 
 Two-stage draws (all positives plus 2x negatives, then a cap; balance then cap)
 split the cap between labels with a seeded hypergeometric draw on the driver
-from the counts, then take per-label top-k: same distribution as sampling the
+from the counts (of any size), then take per-label top-k: same distribution as sampling the
 union, never sorting a large class.
 """
 
@@ -326,6 +326,32 @@ def _join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "i
     return out if how in ("left_anti", "left_semi") else out.drop(*[f"_g_{c}" for c in by])
 
 
+# NumPy's hypergeometric draws refuse pools of this many rows.
+NUMPY_POOL = 10 ** 9
+
+
+def _draw(rng: np.random.Generator, sizes: list[int], k: int, many: bool = False) -> list[int]:
+    """How many of ``k`` rows drawn without replacement fall into each class of ``sizes`` rows
+    (two classes, or any number when ``many``).
+
+    From ``NUMPY_POOL`` rows on, the rows are drawn one after the other in whole numbers: the same
+    distribution at any pool size, in k steps."""
+    if sum(sizes) < NUMPY_POOL:
+        if not many:
+            first = int(rng.hypergeometric(*sizes, k))
+            return [first, k - first]
+        return [int(x) for x in rng.multivariate_hypergeometric(sizes, k)]
+    left, total = list(sizes), sum(sizes)
+    for step in range(k):
+        at = int(rng.integers(total - step))
+        for c, n in enumerate(left):
+            if at < n:
+                left[c] -= 1
+                break
+            at -= n
+    return [n - m for n, m in zip(sizes, left)]
+
+
 def one_pos_two_neg(train: DataFrame, seed: int = 42, small_set: int = 1200, cap: int = 1200,
                     materialize: bool = True) -> DataFrame:
     """M2 + M3 per dataset: sets under ``small_set`` rows are kept whole; otherwise all
@@ -346,8 +372,7 @@ def _one_pos_two_neg(train, seed, small_set, cap, materialize):
         if 3 * pos <= cap:
             k[(ds, 1)], k[(ds, 0)] = pos, 2 * pos
         else:
-            kp = int(_rng(seed, "one_pos_two_neg", ds).hypergeometric(pos, 2 * pos, cap))
-            k[(ds, 1)], k[(ds, 0)] = kp, cap - kp
+            k[(ds, 1)], k[(ds, 0)] = _draw(_rng(seed, "one_pos_two_neg", ds), [pos, 2 * pos], cap)
     return sample_groups(train, ["dataset", "label"], k, counts, seed, "one_pos_two_neg",
                          materialize=materialize)
 
@@ -387,16 +412,18 @@ def _automl_filter(d, seed, small_set, max_pos, materialize):
 
 
 def balance_attribute_pairs(attr_pairs: DataFrame, seed: int = 1, cap: int | None = 800,
-                            materialize: bool = True, large_k: int = LARGE_K, by=()) -> DataFrame:
+                            materialize: bool = True, large_k: int = LARGE_K, by=(),
+                            eval_cap: int | None = None) -> DataFrame:
     """M5 (+ M6 when ``cap``): per split and attribute, across datasets, every label cut to
     the smallest label count present (a one-label group stays whole); then a uniform
-    ``cap`` rows of the balanced group if it is larger.  ``by`` adds grouping columns
+    ``cap`` rows of the balanced group if it is larger.  ``cap`` holds for the train split;
+    the other splits are evaluation rows and cut only to an ``eval_cap``.  ``by`` adds grouping columns
     (``fold`` for hold-out sets: each fold balances over its own datasets)."""
     with _shared_input(attr_pairs, materialize) as attr_pairs:
-        return _balance(attr_pairs, seed, cap, materialize, large_k, list(by))
+        return _balance(attr_pairs, seed, cap, materialize, large_k, list(by), eval_cap)
 
 
-def _balance(attr_pairs, seed, cap, materialize, large_k, by):
+def _balance(attr_pairs, seed, train_cap, materialize, large_k, by, eval_cap):
     cols = [*by, "split", "attribute", "label"]
     nb = len(by) + 2
     counts = group_counts(attr_pairs.where(F.col("attribute").isNotNull()), cols)
@@ -405,12 +432,12 @@ def _balance(attr_pairs, seed, cap, materialize, large_k, by):
         labels = sorted(g[nb] for g in counts if g[:nb] == sa)
         m = min(counts[sa + (lb,)] for lb in labels)
         take = {lb: m for lb in labels}
+        cap = train_cap if sa[-2] == "train" else eval_cap
         if cap is not None and m * len(labels) > cap:
             if len(labels) == 1:
                 take = {labels[0]: cap}
             else:
-                drawn = _rng(seed, "balance_cap", sa).multivariate_hypergeometric([m] * len(labels), cap)
-                take = {lb: int(x) for lb, x in zip(labels, drawn)}
+                take = dict(zip(labels, _draw(_rng(seed, "balance_cap", sa), [m] * len(labels), cap, many=True)))
         for lb in labels:
             k[sa + (lb,)] = take[lb]
     return sample_groups(attr_pairs, cols, k, counts, seed, "balance_attr", id_col="attr_pair_id",

@@ -242,7 +242,7 @@ def q_balance_bucketed(spark, sf):
     select=("SELECT split, attribute, CAST(least(800, min(n) * count(*)) AS BIGINT) AS n_rows "
             "FROM c GROUP BY split, attribute")))
 def q_cap_sizes(spark, sf):
-    s = M.balance_attribute_pairs(attribute_pairs(fixture_pairs(spark, sf)), seed=1, cap=800)
+    s = M.balance_attribute_pairs(attribute_pairs(fixture_pairs(spark, sf)), seed=1, cap=800, eval_cap=800)
     return s.groupBy("split", "attribute").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -348,7 +348,7 @@ def q_all_folds(spark, sf):
 
 
 def _attr_texts(spark, sf, cap=800, mode="mode1"):
-    return D.read_attribute_datasets(attribute_pairs(fixture_pairs(spark, sf)), mode, cap=cap)
+    return D.read_attribute_datasets(attribute_pairs(fixture_pairs(spark, sf)), mode, cap=cap, eval_cap=cap)
 
 
 _BAL_CTES = (*O.ATTR_PAIRS_CTES,
@@ -857,5 +857,5 @@ def q_m4_classifier(spark, sf):
 def q_attr_sets_per_fold(spark, sf):
     """D3 inside hold-out folds: each fold balances and caps attributes over its own datasets."""
     ap = attribute_pairs(fixture_pairs(spark, sf))
-    sets = D.read_attribute_datasets(D.all_folds(ap, _FOLDS), "mode1", by=("fold",))
+    sets = D.read_attribute_datasets(D.all_folds(ap, _FOLDS), "mode1", by=("fold",), eval_cap=800)
     return D.split_sizes(sets, by=("fold", "split"))
