@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 from twinlink.session import ensure_checkpoint_dir, scratch_dir
 
@@ -57,10 +57,21 @@ def replace_field(column: pa.StructArray, at: int, values: pa.Array) -> pa.Struc
     return pa.StructArray.from_arrays(own, fields=[kind.field(k) for k in range(kind.num_fields)])
 
 
-SMALL_ROWS = 2_000_000
+SMALL_BYTES = 64 << 20
 
 
-def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """``df`` (a written table of narrow rows) marked for a broadcast join if its counted size is
-    small; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.count() * row_bytes <= SMALL_ROWS * 32 else df
+def _width(field: StructField) -> Column:
+    """Bytes of a column's value: the length of texts, eight for numbers, the JSON text of what is nested."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """``df`` (a written table) marked for a broadcast join if its measured bytes are at most
+    ``limit``; else as it is, for a shuffle join."""
+    size = df.select(sum((_width(f) for f in df.schema.fields), F.lit(16)).alias("bytes")).agg(F.sum("bytes")).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df

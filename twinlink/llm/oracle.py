@@ -64,9 +64,64 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
+OP11 = f"""
+WITH RECURSIVE
+enc AS (SELECT doc_id, source, lang, n_chars, text, translate(text, '{_UPPER}', '{_LOWER}') AS low FROM documents),
+f AS (SELECT doc_id, source,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+          || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+          || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS own, coalesce(strlen(low) || ':' || low, '-') AS other FROM enc),
+-- CRC-32 of the decimal text, bit by bit.
+bits AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS t, 0 AS pos, CAST(4294967295 AS BIGINT) AS c FROM documents
+         UNION ALL
+         SELECT doc_id, t, pos + 1,
+                list_reduce(list_concat([xor(c, CAST(ascii(substr(t, pos + 1, 1)) AS BIGINT))], CAST([0,0,0,0,0,0,0,0] AS BIGINT[])),
+                            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+         FROM bits WHERE pos < length(t)),
+hit AS (SELECT doc_id FROM bits WHERE pos = length(t) AND xor(c, 4294967295) % 5 = 0),
+leaf AS (SELECT doc_id, source, sha256(head || own) AS leaf, sha256(head || other) AS other,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r,
+                count(*) OVER (PARTITION BY source) AS n FROM f),
+up AS (SELECT 0 AS l, source, r AS i, n, leaf AS h FROM leaf
+       UNION ALL
+       SELECT l + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i))
+       FROM up WHERE n > 1 GROUP BY l, source, i // 16, n),
+top AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n
+        FROM up WHERE n = 1),
+high AS (SELECT 0 AS l, r AS i, n, subroot AS h FROM top
+         UNION ALL
+         SELECT l + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY l, i // 16, n),
+-- The runs of 16: each node's siblings to the left and to the right.
+step AS (SELECT l, source, i, coalesce(string_agg(h, '') OVER a, '') AS lf, coalesce(string_agg(h, '') OVER b, '') AS rt
+         FROM up WHERE n > 1
+         WINDOW a AS (PARTITION BY l, source, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                b AS (PARTITION BY l, source, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+high_step AS (SELECT l, i, coalesce(string_agg(h, '') OVER a, '') AS lf, coalesce(string_agg(h, '') OVER b, '') AS rt
+         FROM high WHERE n > 1
+         WINDOW a AS (PARTITION BY l, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                b AS (PARTITION BY l, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+steps AS (SELECT leaf.source, leaf.r, step.l AS l, lf, rt FROM leaf JOIN step
+            ON step.source IS NOT DISTINCT FROM leaf.source AND step.i = leaf.r >> CAST(4 * step.l AS INTEGER)
+          UNION ALL
+          SELECT leaf.source, leaf.r, 1000 + s.l, lf, rt FROM leaf JOIN top ON top.source IS NOT DISTINCT FROM leaf.source
+            JOIN high_step s ON s.i = top.r >> CAST(4 * s.l AS INTEGER)),
+path AS (SELECT source, r, list(lf || '|' || rt ORDER BY l) AS p, string_agg(lf || rt, '' ORDER BY l) AS siblings
+         FROM steps GROUP BY source, r),
+done AS (SELECT leaf.doc_id, leaf.leaf, top.subroot, (SELECT h FROM high WHERE n = 1) AS root,
+                sha256(coalesce(siblings, '')) AS proof_sha256,
+                list_reduce(list_concat([CASE WHEN leaf.doc_id IN (SELECT doc_id FROM hit) THEN leaf.other ELSE leaf.leaf END],
+                                        coalesce(p, CAST([] AS VARCHAR[]))),
+                            lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+         FROM leaf JOIN top ON top.source IS NOT DISTINCT FROM leaf.source
+              LEFT JOIN path ON path.source IS NOT DISTINCT FROM leaf.source AND path.r = leaf.r)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
+"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op2_near_dedup": OP2,
     "op8_decontaminate": OP8,
     "op9_substring_dedup": OP9,
+    "op11_merkle_manifest": OP11,
 }

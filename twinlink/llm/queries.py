@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, secret_scan, substring_dedup, token_counts
+from . import bpe, decontaminate, language_id, line_dedup, lm_score, merkle, near_dedup, quality, secret_scan, substring_dedup, token_counts
 from .oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -55,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -66,4 +70,5 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }

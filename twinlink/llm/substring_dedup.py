@@ -258,7 +258,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stays null), with ``n_words`` and ``n_removed``."""
     if window <= PHRASE:
         raise ValueError(f"a window has more than {PHRASE} words")
-    ranges = small(written(removed_ranges(docs, id_col, text_col, window), "passage-ranges"), row_bytes=100)
+    ranges = small(written(removed_ranges(docs, id_col, text_col, window), "passage-ranges"))
     at = docs.columns.index(text_col)
     doc = as_struct(docs)
     key = (F.col("doc")[id_col] == F.col("id")) & (F.xxhash64(F.col("doc")[text_col]) == F.col("th"))
