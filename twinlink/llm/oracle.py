@@ -118,6 +118,33 @@ done AS (SELECT leaf.doc_id, leaf.leaf, top.subroot, (SELECT h FROM high WHERE n
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
 """
 
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM o JOIN v USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+gv AS (SELECT lang, count(*) AS v FROM v GROUP BY lang),
+gn AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c,
+             1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 1)) // (coalesce(gn.n, 0) + gv.v) AS p
+      FROM g JOIN v USING (lang) JOIN gv USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+lc AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term),
+ln AS (SELECT lang, sum(c) AS n FROM lc GROUP BY lang),
+lp AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (lc.c + 1)) // (ln.n + gv.v) AS q FROM lc JOIN ln USING (lang) JOIN gv USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+over AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN lp USING (lang, term) WHERE c > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+      UNION ALL
+      SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM over)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
 OP13 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS x FROM p),
@@ -137,5 +164,6 @@ ORACLES = {
     "op8_decontaminate": OP8,
     "op9_substring_dedup": OP9,
     "op11_merkle_manifest": OP11,
+    "op12_source_divergence": OP12,
     "op13_warc": OP13,
 }

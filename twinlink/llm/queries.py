@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, line_dedup, lm_score, merkle, near_dedup, quality, secret_scan, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, divergence, language_id, line_dedup, lm_score, merkle, near_dedup, quality, secret_scan, substring_dedup, token_counts, warc
 from .oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -59,6 +59,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(_table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -75,5 +79,6 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_divergence": op12_source_divergence,
     "op13_warc": op13_warc,
 }
