@@ -66,12 +66,13 @@ def read_datasets(pairs: DataFrame, mode: str = "mode1", sampler: str = "one_pos
 
 
 def read_attribute_datasets(attr_pairs: DataFrame, mode: str = "mode1", seed: int = 1,
-                            cap: int | None = 800, by=(), eval_cap: int | None = None) -> DataFrame:
+                            cap: int | None = 800, by=(), eval_cap: int | None = None,
+                            folds: list[str] | None = None) -> DataFrame:
     """D3: attribute pairs of all datasets, balanced per split and attribute and capped (train by
     ``cap``; valid and test only by an ``eval_cap``), serialised as one-attribute records named 'value'.  ``by``
-    (e.g. ``fold``) balances each of its values separately."""
+    balances each of its values separately; ``folds`` (D6) each hold-out fold, and adds ``fold``."""
     return serialise_attribute_pairs(M.balance_attribute_pairs(attr_pairs, seed=seed, cap=cap, by=by,
-                                                               eval_cap=eval_cap), mode)
+                                                               eval_cap=eval_cap, folds=folds), mode)
 
 
 def hold_out(df: DataFrame, held_out: str) -> DataFrame:

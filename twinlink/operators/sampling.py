@@ -2,7 +2,8 @@
 
 Every sample takes, per group, the k rows with the smallest
 ``md5(seed|op|id)`` (ties broken by id): a uniform k-subset that Spark and SQL
-compute alike.  Plans stay bounded at any input size:
+compute alike.  M2-M6 take sizes from a counts table of any number of groups
+(``group_sampling``).  M1 and M7 take a given size:
 
 * group sizes come from one hash aggregate collected to the driver (a handful
   of rows: datasets x labels, or attributes x labels).  The collect is bounded
@@ -22,8 +23,8 @@ compute alike.  Plans stay bounded at any input size:
 * groups taken whole (k >= size) pass through a broadcast semi join.
 
 Two-stage draws (all positives plus 2x negatives, then a cap; balance then cap)
-split the cap between labels with a seeded hypergeometric draw on the driver
-from the counts (of any size), then take per-label top-k: same distribution as sampling the
+split the cap between labels with a hypergeometric draw seeded by the group
+(of any size), made on the counts table; then they take per-label top-k: same distribution as sampling the
 union, never sorting a large class.
 """
 
@@ -31,15 +32,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlink.functions.keys import sample_key
+from twinlink.operators.group_sampling import (MARGIN, checked, counted, counted_by_fold, planned,
+                                               sample_sizes)
+from twinlink.tables import join_groups, written
 
 MARGIN_SD = 8.0
 MARGIN_ROWS = 64
@@ -90,7 +92,7 @@ def _keep_groups(df: DataFrame, group_cols: list[str], groups: set) -> DataFrame
     if not group_cols:
         return df
     table = _group_table(df, group_cols, {g: () for g in groups}, [], [])
-    return _join_groups(df, table, group_cols, "left_semi", broadcast=True)
+    return join_groups(df, table, group_cols, "left_semi", broadcast=True)
 
 
 def _take_small(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: dict[tuple, int],
@@ -106,7 +108,7 @@ def _take_small(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: di
         d = df if thr is None else df.where(F.substring(F.col(key), 1, 8) < F.lit(thr))
         return d.orderBy(F.col(key), F.col(id_col)).limit(kk)
     table = _group_table(df, group_cols, params, ["_k", "_thr"], ["int", "string"])
-    d = _join_groups(df, table, group_cols, "inner", broadcast=True)
+    d = join_groups(df, table, group_cols, "inner", broadcast=True)
     d = d.where(F.col("_thr").isNull() | (F.substring(F.col(key), 1, 8) < F.col("_thr")))
     w = Window.partitionBy(*group_cols).orderBy(F.col(key), F.col(id_col))
     return (d.withColumn("_rn", F.row_number().over(w))
@@ -136,7 +138,7 @@ def _take_large(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: di
         k, n = {(0,): k[()]}, {(0,): n[()]}
     digits = max(_bucket_digits(n[g]) for g in k)
     table = _group_table(df, cols, {g: (kk,) for g, kk in k.items()}, ["_k"], ["long"])
-    x = (_join_groups(df, table, cols, "inner", broadcast=True)
+    x = (join_groups(df, table, cols, "inner", broadcast=True)
          .withColumn("_b", F.conv(F.substring(F.col(key), 1, digits), 16, 10).cast("long")))
     hist = x.groupBy(*cols, "_k", "_b").agg(F.count(F.lit(1)).alias("_c"))
     below = F.coalesce(F.sum("_c").over(Window.partitionBy(*cols).orderBy("_b")
@@ -147,7 +149,7 @@ def _take_large(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n: di
     rows = edge.collect()                       # one row per group listed in ``k``
     bounds = _group_table(df, cols, {tuple(r[c] for c in cols): (r["_edge"], r["_need"]) for r in rows},
                           ["_edge", "_need"], ["long", "long"])
-    y = _join_groups(x, bounds, cols, "inner", broadcast=True)
+    y = join_groups(x, bounds, cols, "inner", broadcast=True)
     w = Window.partitionBy(*cols).orderBy(F.col(key), F.col(id_col))
     ranked = (y.where(F.col("_b") == F.col("_edge")).withColumn("_rn", F.row_number().over(w))
                .where(F.col("_rn") <= F.col("_need")).drop("_rn"))
@@ -216,7 +218,7 @@ def sample_groups(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n:
             if short:
                 redo = _take_small(keyed, group_cols, short, n, "_key", id_col, margin_sd, margin_rows,
                                    no_threshold=set(short))
-                keep = (_join_groups(out, _group_table(out, group_cols, {g: () for g in short}, [], []),
+                keep = (join_groups(out, _group_table(out, group_cols, {g: () for g in short}, [], []),
                                      group_cols, "left_anti", broadcast=True)
                         if group_cols else out.where(F.lit(False)))
                 out = keep.unionByName(redo).checkpoint(eager=True)
@@ -224,31 +226,6 @@ def sample_groups(df: DataFrame, group_cols: list[str], k: dict[tuple, int], n:
     return _union(parts, keyed).drop("_key")
 
 
-@contextmanager
-def _shared_input(df: DataFrame, materialize: bool):
-    """A sampler reads its input twice (group counts, then the sample).  When the input
-    is itself the result of a shuffle (a dedup, a join), keep it for those two passes
-    instead of recomputing the shuffle; a plain scan is re-read (column-pruned) instead.
-    Released once the sample is materialized; any lazy part of the output (groups kept
-    whole or taken through key buckets) recomputes from lineage when consumed."""
-    level = df.storageLevel
-    if not materialize or level.useMemory or level.useDisk or not _has_exchange(df):
-        yield df                                    # already cached by the caller, or cheap to re-read
-        return
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
-
-
-def _has_exchange(df: DataFrame) -> bool:
-    try:
-        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
-    except Exception:  # noqa: BLE001 -- no plan access (e.g. a remote session): do not cache
-        return False
-
-
 def _check_pool(need: int, have: int, what: str):
     if need > have:
         raise ValueError(f"Cannot take a larger sample ({need}) than the population ({have}) of {what}")
@@ -263,15 +240,14 @@ def sample_exact(df: DataFrame, n: int, seed: int, op: str = "sample", by: list[
                  max_driver_groups: int = MAX_DRIVER_GROUPS, large_k: int = LARGE_K) -> DataFrame:
     """M1: exactly ``n`` rows per group (uniform, deterministic); raises when a group has fewer."""
     by = list(by or [])
-    with _shared_input(df, materialize) as df:
-        try:
-            counts = group_counts(df, by, max_driver_groups) if by else {(): df.count()}
-        except TooManyGroups:
-            return _sample_exact_distributed(df, n, seed, op, by, id_col, materialize)
-        for g, c in counts.items():
-            _check_pool(n, c, f"group {g}")
-        return sample_groups(df, by, {g: n for g in counts}, counts, seed, op, id_col, materialize,
-                             large_k=large_k)
+    try:
+        counts = group_counts(df, by, max_driver_groups) if by else {(): df.count()}
+    except TooManyGroups:
+        return _sample_exact_distributed(df, n, seed, op, by, id_col, materialize)
+    for g, c in counts.items():
+        _check_pool(n, c, f"group {g}")
+    return sample_groups(df, by, {g: n for g in counts}, counts, seed, op, id_col, materialize,
+                         large_k=large_k)
 
 
 def _threshold_col(k: int, n: Column, margin_sd: float = MARGIN_SD, margin_rows: int = MARGIN_ROWS) -> Column:
@@ -294,7 +270,7 @@ def _sample_exact_distributed(df: DataFrame, n: int, seed: int, op: str, by: lis
     keyed = df.withColumn("_key", sample_key(seed, op, F.col(id_col)))
 
     def ranked(params: DataFrame, use_threshold: bool) -> DataFrame:
-        d = _join_groups(keyed, params, by)
+        d = join_groups(keyed, params, by)
         if use_threshold:
             d = d.where(F.col("_thr").isNull() | (F.substring("_key", 1, 8) < F.col("_thr")))
         w = Window.partitionBy(*by).orderBy(F.col("_key"), F.col(id_col))
@@ -306,26 +282,15 @@ def _sample_exact_distributed(df: DataFrame, n: int, seed: int, op: str, by: lis
         return out.drop("_key")
     out = out.checkpoint(eager=True)
     got = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_got"))
-    short = _join_groups(counts, got, by, "left").where(F.coalesce(F.col("_got"), F.lit(0)) < F.lit(n)) \
+    short = join_groups(counts, got, by, "left").where(F.coalesce(F.col("_got"), F.lit(0)) < F.lit(n)) \
         .select(*by, "_n").withColumn("_thr", F.lit(None).cast("string"))
     if short.limit(1).count():
         short = short.checkpoint(eager=True)
         redo = ranked(short, False)
-        out = _join_groups(out, short.select(*by), by, "left_anti").unionByName(redo).checkpoint(eager=True)
+        out = join_groups(out, short.select(*by), by, "left_anti").unionByName(redo).checkpoint(eager=True)
     return out.drop("_key")
 
 
-def _join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner",
-                 broadcast: bool = False) -> DataFrame:
-    """Equi-join on group keys where null keys match (groupBy treats null as a group).
-    ``broadcast`` only for a right side of proven small size (a driver-built table)."""
-    r = right.select(*[F.col(c).alias(f"_g_{c}") for c in by], *[c for c in right.columns if c not in by])
-    r = F.broadcast(r) if broadcast else r
-    cond = [left[c].eqNullSafe(r[f"_g_{c}"]) for c in by]
-    out = left.join(r, cond, how)
-    return out if how in ("left_anti", "left_semi") else out.drop(*[f"_g_{c}" for c in by])
-
-
 # NumPy's hypergeometric draws refuse pools of this many rows.
 NUMPY_POOL = 10 ** 9
 
@@ -352,96 +317,81 @@ def _draw(rng: np.random.Generator, sizes: list[int], k: int, many: bool = False
     return [n - m for n, m in zip(sizes, left)]
 
 
-def one_pos_two_neg(train: DataFrame, seed: int = 42, small_set: int = 1200, cap: int = 1200,
-                    materialize: bool = True) -> DataFrame:
+def one_pos_two_neg(train: DataFrame, seed: int = 42, small_set: int = 1200, cap: int = 1200) -> DataFrame:
     """M2 + M3 per dataset: sets under ``small_set`` rows are kept whole; otherwise all
     positives and 2x as many negatives, then a uniform ``min(cap, 3*pos)`` of that union."""
-    with _shared_input(train, materialize) as train:
-        return _one_pos_two_neg(train, seed, small_set, cap, materialize)
-
-
-def _one_pos_two_neg(train, seed, small_set, cap, materialize):
-    counts = group_counts(train, ["dataset", "label"])
-    k: dict[tuple, int] = {}
-    for ds in sorted({g[0] for g in counts}):
-        pos, neg = counts.get((ds, 1), 0), counts.get((ds, 0), 0)
-        if pos + neg < small_set:
-            k[(ds, 1)], k[(ds, 0)] = pos, neg
-            continue
-        _check_pool(2 * pos, neg, f"negatives of {ds}")
-        if 3 * pos <= cap:
-            k[(ds, 1)], k[(ds, 0)] = pos, 2 * pos
-        else:
-            k[(ds, 1)], k[(ds, 0)] = _draw(_rng(seed, "one_pos_two_neg", ds), [pos, 2 * pos], cap)
-    return sample_groups(train, ["dataset", "label"], k, counts, seed, "one_pos_two_neg",
-                         materialize=materialize)
-
-
-def automl_filter(train: DataFrame, seed: int = 42, small_set: int = 1200, max_pos: int = 400,
-                  materialize: bool = True) -> DataFrame:
+    def plan(parent, groups):
+        n = {g["label"]: g["_n"] for g in groups}
+        pos, neg = n.get(1, 0), n.get(0, 0)
+        k, want = {1: pos, 0: neg}, 0
+        if pos + neg >= small_set:
+            want = 2 * pos
+            k[0] = want
+            if want <= neg and 3 * pos > cap:
+                k[1], k[0] = _draw(_rng(seed, "one_pos_two_neg", parent["dataset"]), [pos, 2 * pos], cap)
+        return [(k.get(g["label"], 0), want, neg) for g in groups]
+    cols = ["dataset", "label"]
+    sizes = checked(planned(counted(train, cols), ["dataset"], plan), "negatives of")
+    return sample_sizes(train, cols, sizes, seed, "one_pos_two_neg")
+
+
+def automl_filter(train: DataFrame, seed: int = 42, small_set: int = 1200, max_pos: int = 400) -> DataFrame:
     """M4: hard-positive selection.  ``train`` carries ``prediction``.
 
     Per dataset of at least ``small_set`` rows: n = min(max_pos, #positives);
-    misclassified positives first (a uniform n of them if there are more), topped
-    up with correctly predicted ones; 2n negatives uniform over all negatives.
+    misclassified positives first (a uniform n of them if there are more; a null prediction counts
+    as wrong), topped up with correctly predicted ones; 2n negatives uniform over all negatives.
     """
-    sub = F.when(F.col("label") == 1, (F.col("prediction") == F.col("label")).cast("string")) \
-           .otherwise(F.lit("any"))
-    with _shared_input(train.withColumn("_sub", sub), materialize) as d:
-        return _automl_filter(d, seed, small_set, max_pos, materialize).drop("_sub")
-
-
-def _automl_filter(d, seed, small_set, max_pos, materialize):
+    right = F.coalesce(F.col("prediction") == F.col("label"), F.lit(False)).cast("string")
+    d = train.withColumn("_sub", F.when(F.col("label") == 1, right).otherwise(F.lit("any")))
     cols = ["dataset", "label", "_sub"]
-    counts = group_counts(d, cols)
-    k: dict[tuple, int] = {}
-    for ds in sorted({g[0] for g in counts}):
-        groups = [g for g in counts if g[0] == ds]
-        total = sum(counts[g] for g in groups)
-        if total < small_set:
-            k.update({g: counts[g] for g in groups})
-            continue
-        wrong, right = counts.get((ds, 1, "false"), 0), counts.get((ds, 1, "true"), 0)
-        neg = counts.get((ds, 0, "any"), 0)
-        npos = min(max_pos, wrong + right)
-        _check_pool(2 * npos, neg, f"negatives of {ds}")
-        k[(ds, 1, "false")] = min(wrong, npos)
-        k[(ds, 1, "true")] = npos - min(wrong, npos)
-        k[(ds, 0, "any")] = 2 * npos
-    return sample_groups(d, cols, k, counts, seed, "automl_filter", materialize=materialize)
-
-
-def balance_attribute_pairs(attr_pairs: DataFrame, seed: int = 1, cap: int | None = 800,
-                            materialize: bool = True, large_k: int = LARGE_K, by=(),
-                            eval_cap: int | None = None) -> DataFrame:
+    own = Window.partitionBy("dataset")
+
+    def rows_of(sub, label):
+        return F.coalesce(F.sum(F.when((F.col("_sub") == sub) & (F.col("label") == label), F.col("_n"))).over(own), F.lit(0))
+    wrong, good, neg = rows_of("false", 1), rows_of("true", 1), rows_of("any", 0)
+    sampled = F.sum("_n").over(own) >= small_set
+    most = F.least(F.lit(max_pos), wrong + good)
+    k = (F.when(~sampled, F.col("_n")).when(F.col("_sub") == "false", F.least(wrong, most))
+         .when(F.col("_sub") == "true", most - F.least(wrong, most)).when(F.col("label") == 0, 2 * most).otherwise(F.lit(0)))
+    sizes = counted(d, cols).select(*cols, "_n", k.cast("long").alias("_k"),
+                                    F.when(sampled, 2 * most).otherwise(F.lit(0)).cast("long").alias("_want"), neg.alias("_have"))
+    return sample_sizes(d, cols, checked(sizes, "negatives of"), seed, "automl_filter").drop("_sub")
+
+
+def balance_attribute_pairs(attr_pairs: DataFrame, seed: int = 1, cap: int | None = 800, by=(),
+                            eval_cap: int | None = None, folds: list[str] | None = None,
+                            margin: tuple[float, float] = MARGIN) -> DataFrame:
     """M5 (+ M6 when ``cap``): per split and attribute, across datasets, every label cut to
     the smallest label count present (a one-label group stays whole); then a uniform
     ``cap`` rows of the balanced group if it is larger.  ``cap`` holds for the train split;
-    the other splits are evaluation rows and cut only to an ``eval_cap``.  ``by`` adds grouping columns
-    (``fold`` for hold-out sets: each fold balances over its own datasets)."""
-    with _shared_input(attr_pairs, materialize) as attr_pairs:
-        return _balance(attr_pairs, seed, cap, materialize, large_k, list(by), eval_cap)
-
-
-def _balance(attr_pairs, seed, train_cap, materialize, large_k, by, eval_cap):
-    cols = [*by, "split", "attribute", "label"]
-    nb = len(by) + 2
-    counts = group_counts(attr_pairs.where(F.col("attribute").isNotNull()), cols)
-    k: dict[tuple, int] = {}
-    for sa in sorted({g[:nb] for g in counts}):
-        labels = sorted(g[nb] for g in counts if g[:nb] == sa)
-        m = min(counts[sa + (lb,)] for lb in labels)
-        take = {lb: m for lb in labels}
-        cap = train_cap if sa[-2] == "train" else eval_cap
-        if cap is not None and m * len(labels) > cap:
-            if len(labels) == 1:
-                take = {labels[0]: cap}
-            else:
-                take = dict(zip(labels, _draw(_rng(seed, "balance_cap", sa), [m] * len(labels), cap, many=True)))
-        for lb in labels:
-            k[sa + (lb,)] = take[lb]
-    return sample_groups(attr_pairs, cols, k, counts, seed, "balance_attr", id_col="attr_pair_id",
-                         materialize=materialize, large_k=large_k)
+    the other splits are evaluation rows and cut only to an ``eval_cap``.  Rows without an attribute leave.
+    ``by`` adds grouping columns; ``folds`` balances every hold-out fold over its own datasets and
+    adds ``fold`` (rows are copied only into the folds that keep them).  ``margin`` (standard deviations, rows)
+    is the width of the sampler's band; it changes no result."""
+    known = attr_pairs.where(F.col("attribute").isNotNull())
+    own = [*by, "split", "attribute"]
+    parents = (["fold"] if folds else []) + own
+    counts = counted_by_fold(known, [*own, "label"], folds) if folds else counted(known, [*own, "label"])
+    least = F.min("_n").over(Window.partitionBy(*parents))
+    if cap is None and eval_cap is None:
+        sizes = written(counts.withColumn("_k", least), "sample-sizes")
+    else:
+        def plan(parent, groups):
+            order = sorted(range(len(groups)), key=lambda i: (groups[i]["label"] is None, groups[i]["label"]))
+            m = min(g["_n"] for g in groups)
+            most = cap if parent["split"] == "train" else eval_cap
+            k = [m] * len(groups)
+            if most is not None and m * len(groups) > most:
+                # The draw's seed names the group by its own columns; folds draw apart.
+                rng = _rng(seed, "balance_cap", tuple(parent[c] for c in parents))
+                draws = [most] if len(groups) == 1 else _draw(rng, k, most, many=True)
+                for i, n in zip(order, draws):
+                    k[i] = n
+            return [(n, 0, 0) for n in k]
+        sizes = written(planned(counts, parents, plan).drop("_want", "_have"), "sample-sizes")
+    return sample_sizes(known, [*parents, "label"], sizes, seed, "balance_attr", id_col="attr_pair_id",
+                        margin=margin, held="dataset" if folds else None)
 
 
 def validation_subsample(valid: DataFrame, epoch: int, n: int = 2000, base_seed: int = 42,

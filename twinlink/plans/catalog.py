@@ -231,8 +231,8 @@ def q_balance(spark, sf):
 
 @register("m5_balance_bucketed", ORACLES["m5_balance_attribute_pairs"])
 def q_balance_bucketed(spark, sf):
-    """M5 with every ranked group through the key-bucket path (``large_k=0``)."""
-    return M.balance_attribute_pairs(attribute_pairs(fixture_pairs(spark, sf)), seed=1, cap=None, large_k=0) \
+    """M5 with a band that misses every cutoff, so that all groups are drawn again from wider ones."""
+    return M.balance_attribute_pairs(attribute_pairs(fixture_pairs(spark, sf)), seed=1, cap=None, margin=(-4.0, -16)) \
         .select(*_AP)
 
 
@@ -857,5 +857,52 @@ def q_m4_classifier(spark, sf):
 def q_attr_sets_per_fold(spark, sf):
     """D3 inside hold-out folds: each fold balances and caps attributes over its own datasets."""
     ap = attribute_pairs(fixture_pairs(spark, sf))
-    sets = D.read_attribute_datasets(D.all_folds(ap, _FOLDS), "mode1", by=("fold",), eval_cap=800)
+    sets = D.read_attribute_datasets(ap, "mode1", folds=_FOLDS, eval_cap=800)
     return D.split_sizes(sets, by=("fold", "split"))
+
+
+_FOLD_VALUES = "(VALUES ('prod'), ('cust'), ('supp')) f(fold)"
+_FOLD_BAL_CTES = (
+    *O.ATTR_PAIRS_CTES,
+    f"fa AS (SELECT f.fold, ap.* FROM ap, {_FOLD_VALUES} WHERE ap.dataset <> f.fold)",
+    "fc AS (SELECT fold, split, attribute, label, count(*) AS n FROM fa GROUP BY ALL)",
+    "fm AS (SELECT fold, split, attribute, min(n) AS m FROM fc GROUP BY ALL)",
+    f"fr AS (SELECT fa.*, row_number() OVER (PARTITION BY fold, split, attribute, label ORDER BY "
+    f"{O.key_sql(1, 'balance_attr', 'attr_pair_id')}, attr_pair_id) AS rn FROM fa)",
+    "fbal AS (SELECT fr.* FROM fr JOIN fm USING (fold, split, attribute) WHERE fr.rn <= fm.m)",
+    f"fattr AS (SELECT fold, attr_pair_id AS pair_id, dataset, split, "
+    f"{O.serialise_sql('mode1', O.ATTR_AS_PAIR)} AS text, label FROM fbal)")
+_FOLD_ROWS = (*_D2_CTES, _rows_sql("mode1"),
+              f"frows AS (SELECT fold, rows.* FROM rows, {_FOLD_VALUES} WHERE dataset <> fold AND split <> 'test')")
+_FOLD_TESTS = "SELECT 'all' AS fold, 1 AS phase, pair_id, dataset, split, text, label FROM rows WHERE split = 'test'"
+
+
+@register("d3_attribute_sets_per_fold", O.with_fixture(*_FOLD_BAL_CTES, select="SELECT * FROM fattr"))
+def q_attr_sets_per_fold_members(spark, sf):
+    """D3 + D6: the balanced attribute pairs of every fold, rows copied only into the folds that keep them."""
+    ap = attribute_pairs(fixture_pairs(spark, sf))
+    return D.read_attribute_datasets(ap, "mode1", cap=None, folds=_FOLDS) \
+        .select("fold", "pair_id", "dataset", "split", "text", "label")
+
+
+@register("e2_hold_out_attr_plus_row", O.with_fixture(
+    *_FOLD_BAL_CTES, *_FOLD_ROWS,
+    select=("SELECT fold, 1 AS phase, min(pair_id) AS pair_id, arg_min(dataset, pair_id) AS dataset, 'train' AS split, text, label "
+            "FROM (SELECT * FROM fattr WHERE split = 'train' UNION ALL SELECT * FROM frows WHERE split = 'train') "
+            "GROUP BY fold, text, label UNION ALL SELECT fold, 1 AS phase, pair_id, dataset, split, text, label FROM frows "
+            f"WHERE split = 'valid' UNION ALL {_FOLD_TESTS}")))
+def q_hold_out_attr_plus_row(spark, sf):
+    """E2, mix attr+row: all folds' sets, attribute pairs balanced per fold (no cap)."""
+    pairs = fixture_pairs(spark, sf)
+    return XP.hold_out_sets(pairs, _FOLDS, "attr+row", attribute_pairs(pairs), predictions=with_rule_prediction, cap=None)
+
+
+@register("e2_hold_out_attr_then_row", O.with_fixture(
+    *_FOLD_BAL_CTES, *_FOLD_ROWS,
+    select=("SELECT fold, 1 AS phase, pair_id, dataset, split, text, label FROM fattr WHERE split IN ('train', 'valid') "
+            "UNION ALL SELECT fold, 2 AS phase, pair_id, dataset, split, text, label FROM frows "
+            f"UNION ALL {_FOLD_TESTS}")))
+def q_hold_out_attr_then_row(spark, sf):
+    """E2, mix attr-row: phase 1 on attribute pairs, phase 2 on rows (no cap)."""
+    pairs = fixture_pairs(spark, sf)
+    return XP.hold_out_sets(pairs, _FOLDS, "attr-row", attribute_pairs(pairs), predictions=with_rule_prediction, cap=None)

@@ -21,8 +21,9 @@ MIXES = ("row", "attr+row", "attr-row")
 
 def hold_out_sets(pairs: DataFrame, datasets: list[str], mix: str = "row", attr_pairs: DataFrame | None = None,
                   sampler: str = "automl_filter", predictions=None, mode: str = "mode1",
-                  seed: int = 42) -> DataFrame:
-    """Serialised ``fold, phase, pair_id, dataset, split, text, label`` for all folds."""
+                  seed: int = 42, cap: int | None = 800) -> DataFrame:
+    """Serialised ``fold, phase, pair_id, dataset, split, text, label`` for all folds; ``cap``: M6, of
+    the attribute pairs of the train split."""
     if mix not in MIXES:
         raise ValueError(f"unknown mix {mix!r}; known: {MIXES}")
     rows = D.read_datasets(pairs, mode, sampler, predictions, seed)
@@ -33,9 +34,8 @@ def hold_out_sets(pairs: DataFrame, datasets: list[str], mix: str = "row", attr_
     else:
         if attr_pairs is None:
             raise ValueError(f"mix {mix!r} needs attribute pairs")
-        # Balancing groups attributes across datasets, so each fold balances its own
-        # datasets: copies per fold first, then balance by fold.
-        attr_folds = D.read_attribute_datasets(D.all_folds(attr_pairs, datasets), mode, by=("fold",))
+        # Balancing groups attributes across datasets, so each fold balances its own datasets.
+        attr_folds = D.read_attribute_datasets(attr_pairs, mode, cap=cap, folds=datasets)
         tv = (D.mix_attr_plus_row(attr_folds, row_folds).withColumn("phase", F.lit(1)) if mix == "attr+row"
               else D.mix_attr_then_row(attr_folds, row_folds))
     cols = ["fold", "phase", "pair_id", "dataset", "split", "text", "label"]
