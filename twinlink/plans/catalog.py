@@ -694,17 +694,28 @@ def _prejoined_sql():
         return (f"CASE split WHEN 'test' THEN coalesce({name}, 'nan') "
                 f"WHEN 'train' THEN coalesce({name}, 'nan') || ', ' || coalesce({strict}, 'nan') "
                 f"ELSE coalesce({name}, 'nan') || ', ' || {lenient} END")
-    return O.with_fixture(select=(
-        f"SELECT dataset, split, label, {rec(name_l, price_l, cur_l)} AS record_l, "
-        f"{rec(name_r, price_r, cur_r)} AS record_r FROM pairs WHERE dataset = 'prod'"))
+    def value(x):
+        return f"coalesce(length({x}) || ':' || {x}, '-')"
+
+    def price(p, c):
+        return (f"CASE split WHEN 'train' THEN CASE WHEN {p} IS NOT NULL AND {c} IS NOT NULL THEN {c} || {p} END "
+                f"ELSE coalesce({p}, 'nan') || coalesce({c}, 'nan') END")
+    return O.with_fixture(
+        "e AS (SELECT * FROM pairs WHERE dataset = 'prod' UNION ALL SELECT * FROM pairs WHERE dataset = 'prod' AND label = 1)",
+        f"x AS (SELECT dataset, split, label, {rec(name_l, price_l, cur_l)} AS record_l, {rec(name_r, price_r, cur_r)} AS record_r, "
+        f"md5('1:' || label || {value(name_l)} || {value(name_r)} || CASE WHEN split = 'test' THEN '' ELSE "
+        f"{value(price(price_l, cur_l))} || {value(price(price_r, cur_r))} END) AS h FROM e)",
+        select=("SELECT dataset || '|' || split || '|' || h || '|' || row_number() OVER (PARTITION BY split, h) AS pair_id, "
+                "dataset, split, label, record_l, record_r FROM x"))
 
 
 @register("s3_prejoined_exports", _prejoined_sql())
 def q_prejoined(spark, sf):
-    """Pre-joined labelled-pair exports (one per split, no ids) ingested with the
-    per-split price rules; prod's brand plays the currency."""
+    """Pre-joined labelled-pair exports (one per split, no ids, matches listed twice) ingested with the
+    per-split price rules; prod's brand plays the currency.  Ids are content hashes and occurrence numbers."""
     root = scratch_dir(spark, "prejoined")
     wide = unpack_pairs(fixture_pairs(spark, sf, [FIXTURE_BY_NAME["prod"]]), ["name", "brand", "ptype", "price"])
+    wide = wide.unionByName(wide.where("label = 1"))
     paths = {}
     for split in ("train", "valid", "test"):
         paths[split] = f"{root}/{split}"
@@ -713,8 +724,7 @@ def q_prejoined(spark, sf):
             F.col("brand_l").alias("priceCurrency_left"), "label",
             F.col("name_r").alias("title_right"), F.col("price_r").alias("price_right"),
             F.col("brand_r").alias("priceCurrency_right")).write.parquet(paths[split])
-    pairs = IN.prejoined_pairs(spark, "prod", paths)
-    return _record_texts(pairs).drop("pair_id")
+    return _record_texts(IN.prejoined_pairs(spark, "prod", paths))
 
 
 @register("s7_test_split_pruned", O.with_fixture(select=_J2_SELECT + " WHERE split = 'test'"))
@@ -906,3 +916,77 @@ def q_hold_out_attr_then_row(spark, sf):
     """E2, mix attr-row: phase 1 on attribute pairs, phase 2 on rows (no cap)."""
     pairs = fixture_pairs(spark, sf)
     return XP.hold_out_sets(pairs, _FOLDS, "attr-row", attribute_pairs(pairs), predictions=with_rule_prediction, cap=None)
+
+
+# --- K1, S4, S7: partitions replaced one by one; dataset names stay text ---
+
+_NUMBERED = "CASE dataset WHEN 'prod' THEN '2024' WHEN 'cust' THEN '007' ELSE dataset END"
+
+
+@register("k1_partitions_replaced", O.with_fixture(select=(
+    f"SELECT CASE WHEN dataset = 'cust' AND split = 'valid' THEN 'again|' || pair_id ELSE pair_id END AS pair_id, "
+    f"{_NUMBERED} AS dataset, split, label, {O.record_text_sql('left', ', ')} AS record_l, "
+    f"{O.record_text_sql('right', ', ')} AS record_r FROM pairs")))
+def q_partitions_replaced(spark, sf):
+    """Datasets named '2024' and '007' stored and read back; one partition is written again, the others stay."""
+    name = F.expr(_NUMBERED)
+    pairs = fixture_pairs(spark, sf).withColumn("dataset", name)
+    path = scratch_dir(spark, "pairs-replaced")
+    FS.write_pairs(pairs, path)
+    again = FS.read_pairs(spark, path, dataset="007", split="valid")
+    FS.write_pairs(again.withColumn("pair_id", F.concat(F.lit("again|"), F.col("pair_id"))), path)
+    return _record_texts(FS.read_pairs(spark, path))
+
+
+# --- P3, S3, S7: exports of any schema, shared test splits ---
+
+from twinlink.plans import exports as XT  # noqa: E402
+
+_SHARED = {"prod": XT.ExportSpec((("title", "name"), ("maker", "brand"))),
+           "cust": XT.ExportSpec((("name", "name"), ("price", "price")), price="price", currency="brand"),
+           "supp": XT.ExportSpec((("name", "name"),), id_col="key")}
+
+
+def _shared_sql():
+    def v(side, name):
+        return f"list_filter(attrs, lambda a: a.name = '{name}')[1].{side}"
+
+    def text(x):
+        return f"coalesce({x}, 'nan')"
+
+    def price(side):
+        p, c = v(side, "price"), v(side, "brand")
+        return f"CASE WHEN {p} IS NOT NULL AND {c} IS NOT NULL THEN {c} || {p} END"
+
+    def enc(x):
+        return f"coalesce(length({x}) || ':' || {x}, '-')"
+
+    def rec(side):
+        return (f"CASE dataset WHEN 'prod' THEN {text(v(side, 'name'))} || ', ' || {text(v(side, 'brand'))} "
+                f"WHEN 'cust' THEN {text(v(side, 'name'))} || ', ' || {text(price(side))} ELSE {text(v(side, 'name'))} END")
+    content = ("CASE dataset WHEN 'prod' THEN '1:' || label || " + " || ".join(
+        enc(v(s, n)) for n in ("brand", "name") for s in ("left", "right"))
+        + " ELSE '1:' || label || " + " || ".join(enc(v(s, "name")) for s in ("left", "right"))
+        + " || " + " || ".join(enc(price(s)) for s in ("left", "right")) + " END")
+    return O.with_fixture(
+        f"t AS (SELECT *, md5({content}) AS h, {rec('left')} AS record_l, {rec('right')} AS record_r FROM pairs WHERE split = 'test')",
+        select=("SELECT dataset || '|test|' || CASE dataset WHEN 'supp' THEN pair_id ELSE h || '|' || "
+                "row_number() OVER (PARTITION BY dataset, h) END AS pair_id, dataset, split, label, record_l, record_r FROM t "
+                "UNION ALL SELECT pair_id, dataset, split, label, " + O.record_text_sql("left", ", ") + " AS record_l, "
+                + O.record_text_sql("right", ", ") + " AS record_r FROM pairs WHERE split <> 'test'"))
+
+
+@register("p3_shared_test_splits", _shared_sql())
+def q_shared_tests(spark, sf):
+    """Stored pairs whose test splits are replaced by exports with columns of their own."""
+    path, root = scratch_dir(spark, "pairs-shared"), scratch_dir(spark, "exports")
+    FS.write_pairs(fixture_pairs(spark, sf), path)
+    exports = {}
+    for d in _FD:
+        wide = unpack_pairs(fixture_pairs(spark, sf, [d]).where("split = 'test'"), d.attr_names)
+        spec, exports[d.name] = _SHARED[d.name], (f"{root}/{d.name}", _SHARED[d.name])
+        stems = [s for _, s in spec.attrs] + ([spec.currency] if spec.currency else [])
+        wide.select(*[F.col(f"{s}_{short}").alias(f"{s}_{side}") for s in stems for side, short in XT.SIDES],
+                    "label", F.col("pair_id").alias("key"), F.lit("unused").alias("url_left")).write.parquet(f"{root}/{d.name}")
+    XT.replace_splits(spark, path, exports)
+    return _record_texts(FS.read_pairs(spark, path))

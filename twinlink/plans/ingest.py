@@ -13,12 +13,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from twinlink.functions.text import merge_price_currency
 from twinlink.operators.pairs import materialise_pairs, pack_pairs
+from twinlink.plans.exports import ExportSpec, export_pairs
 from twinlink.schema import DatasetSpec
-from twinlink.sources.files import read_id_pairs, read_prejoined, read_record_table
+from twinlink.sources.files import read_id_pairs, read_record_table
 
 
 def csv_pairs(spark: SparkSession, spec: DatasetSpec, table_a: str, table_b: str,
@@ -36,33 +35,18 @@ def csv_pairs(spark: SparkSession, spec: DatasetSpec, table_a: str, table_b: str
 def prejoined_pairs(spark: SparkSession, dataset: str, paths: dict[str, str],
                     titles: tuple[str, str] = ("title", "name"), id_col: str | None = None,
                     fmt: str = "parquet") -> DataFrame:
-    """Pre-joined exports with columns ``<a>_left``, ``label``, ``<a>_right`` for
+    """Product-offer exports with columns ``<a>_left``, ``label``, ``<a>_right`` for
     ``a`` in (title, price, priceCurrency), one path per split.
 
     train: price and currency merged strictly (currency first, null if either is);
     valid: merged leniently (price first, missing parts print 'nan'); test: title only.
-    ``titles`` renames the title attribute.  Without ``id_col`` the pair id is the
-    content hash plus a unique tag assigned when the export is read; ingest output is
-    meant to be written once (K1) and read back, which fixes the ids.
+    ``titles`` renames the title attribute.  Without ``id_col`` a pair's id is its content
+    hash and its number among equal rows (``plans.exports``, which takes any other schema too).
     """
     out = []
     for split, path in paths.items():
-        sides = ("left", "right")
-        used = [f"{titles[0]}_{s}" for s in sides]
-        if split != "test":
-            used += [f"price_{s}" for s in sides] + [f"priceCurrency_{s}" for s in sides]
-        used += ["label"] + ([id_col] if id_col else [])
-        renamed = [u.replace(titles[0] + "_", titles[1] + "_").replace("_left", "_l").replace("_right", "_r")
-                   for u in used]
-        d = read_prejoined(spark, path, used, renamed, fmt)
-        if split != "test":
-            lenient = split == "valid"
-            d = d.select(*[c for c in d.columns if not c.startswith(("price", "priceCurrency"))],
-                         *[merge_price_currency(F.col(f"price_{s}"), F.col(f"priceCurrency_{s}"),
-                                                lenient=lenient).alias(f"price_{s}") for s in ("l", "r")])
-        values = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(d.columns)]
-        pid = (F.concat_ws("|", F.lit(dataset), F.lit(split), F.col(id_col).cast("string")) if id_col else
-               F.concat_ws("|", F.lit(dataset), F.lit(split), F.md5(F.concat_ws("\u0001", *values)),
-                           F.monotonically_increasing_id().cast("string")))
-        out.append(pack_pairs(d.withColumn("pair_id", pid), dataset, numeric=(), split=split))
+        title = (titles[1], titles[0])
+        spec = (ExportSpec((title,), id_col=id_col) if split == "test" else
+                ExportSpec((title, ("price", "price")), "price", "priceCurrency", split == "valid", id_col=id_col))
+        out.append(export_pairs(spark, dataset, split, path, spec, fmt))
     return reduce(lambda x, y: x.unionByName(y), out)

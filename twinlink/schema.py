@@ -21,6 +21,15 @@ PAIR_SCHEMA = T.StructType([
     T.StructField("attrs", T.ArrayType(ATTR_TYPE)),
 ])
 
+# Stored tables; dataset and split are folder names and stay text ('2024', '007').
+ATTR_PAIR_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in (
+    "attr_pair_id", "attribute", "left_value", "right_value")] + [T.StructField("label", T.IntegerType())] + [
+    T.StructField(n, T.StringType()) for n in ("dataset", "split")])
+PREDICTION_SCHEMA = T.StructType([
+    T.StructField("pair_id", T.StringType()), T.StructField("prediction", T.IntegerType()),
+    T.StructField("proba_0", T.DoubleType()), T.StructField("proba_1", T.DoubleType()),
+    T.StructField("dataset", T.StringType())])
+
 ATTR_PAIR_COLUMNS = ["attr_pair_id", "dataset", "split", "attribute",
                      "left_value", "right_value", "label"]
 
