@@ -61,3 +61,30 @@ def test_similarity_report_equals_brute_force_on_fixture(spark):
     for ds, (tn, fn, fp, tp) in want.items():
         assert (got[ds].tp, got[ds].fp, got[ds].fn, got[ds].tn) == (tp, fp, fn, tn)
         assert got[ds].f1 == (0.0 if 2 * tp + fp + fn == 0 else 2 * tp / (2 * tp + fp + fn))
+
+
+def test_native_bounds_never_contradict_the_matcher(spark):
+    """Every decision of the bounds equals difflib's, over texts of all kinds (long ones too)."""
+    import random
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import functions as F
+    from twinlink.operators.score import native_decision, predict_by_similarity
+    rnd = random.Random(11)
+    pieces = ["abc", "Acme 12", " - ", "née", "日本", "x", "price", "#9", "\n", "new"]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randint(0, 12))) for _ in range(60)]
+    texts += ["".join(rnd.choices("ab ", k=rnd.randint(150, 400))) for _ in range(12)] + ["", "a" * 199, "a" * 200, "a" * 260 + "b"]
+    rows = [(a, b) for a in texts for b in rnd.sample(texts, 25)]
+    rows += [(a, a[len(a) // 3:] + "zz") for a in texts] + [(a, "q" + a[: 2 * len(a) // 3]) for a in texts] + [(None, "a")]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(4)
+    for t in (0.5, 0.3, 0.8):
+        out = predict_by_similarity(df, "a", "b", t).withColumn("native", native_decision(F.col("a"), F.col("b"), t))
+        kinds = {None: 0, 0: 0, 1: 0}
+        for r in out.collect():
+            if r.a is None:
+                assert r.native is None
+                continue
+            want = int(SequenceMatcher(None, r.a, r.b).ratio() > t)
+            assert r.prediction == want and r.native in (None, want)
+            kinds[r.native] += 1
+        assert kinds[0] and kinds[1]

@@ -49,3 +49,42 @@ def ratio_upper_bound(a: Column, b: Column) -> Column:
     total = la + lb
     return F.when(total == 0, F.lit(1.0)).otherwise(
         (F.least(la, lb) * 2).cast("double") / total.cast("double"))
+
+
+# Characters counted one by one; all others form one class.
+COUNTED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ,.-#"
+# From this length of the second text on, difflib leaves frequent characters out of its blocks.
+AUTOJUNK = 200
+
+
+def overlap_upper_bound(a: Column, b: Column) -> Column:
+    """A bound of the ratio from above by the multiset of characters: matched characters are common ones,
+    and of a class of characters no more than the smaller count of both texts can match."""
+    def rest(x):
+        return F.length(F.translate(x, COUNTED, ""))
+
+    def count(x, c):
+        return F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    chars = F.array(*[F.lit(c) for c in COUNTED])
+    common = F.aggregate(chars, F.least(rest(a), rest(b)), lambda n, c: n + F.least(count(a, c), count(b, c)))
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise((common * 2).cast("double") / total.cast("double"))
+
+
+def block_proves(a: Column, b: Column, threshold: float) -> Column:
+    """True where one common block proves ``ratio > threshold``: the first or last k characters of one text
+    stand in the other, k the fewest matches that exceed the threshold.  Not for texts that
+    difflib thins out (``AUTOJUNK``)."""
+    la, lb = F.length(a), F.length(b)
+    total = (la + lb).cast("double")
+    k = (F.floor(total * F.lit(threshold) / 2) + 1).cast("int")
+    enough = (k.cast("double") * 2 / total > F.lit(threshold)) & (k <= F.least(la, lb)) & (lb < AUTOJUNK)
+    blocks = [F.contains(x, F.substring(y, F.lit(1), k)) | F.contains(x, F.substring(y, F.length(y) - k + 1, k))
+              for x, y in ((a, b), (b, a))]
+    return enough & (blocks[0] | blocks[1])
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / length of the longer text; 1 for two empty texts.  Native."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b).cast("double") / longest.cast("double"))

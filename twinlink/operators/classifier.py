@@ -97,25 +97,55 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     return d.select("*", *[v.alias(k) for k, v in feats.items()]).drop("_s")
 
 
+def feature_table(pairs: DataFrame, *keep: str) -> DataFrame:
+    """``pair_id, dataset, split, label, content``, the columns ``keep`` and the features: what fits and scores
+    read, stored once for any number of models.  ``content`` tells equal records apart from others."""
+    d = pair_features(pairs).withColumn("content", F.md5(F.to_json("attrs")))
+    return d.select("pair_id", "dataset", "split", "label", "content", *keep, *FEATURES)
+
+
+def attribute_examples(attr_pairs: DataFrame) -> DataFrame:
+    """Attribute pairs as canonical pairs of one attribute (other columns stay)."""
+    own = ("attr_pair_id", "attribute", "left_value", "right_value")
+    attr = F.struct(F.col("attribute").alias("name"), F.col("left_value").alias("left"),
+                    F.col("right_value").alias("right"), F.lit(False).alias("numeric"))
+    return attr_pairs.select(F.col("attr_pair_id").alias("pair_id"), *[c for c in attr_pairs.columns if c not in own],
+                             F.array(attr).alias("attrs"))
+
+
+def fit_features(train: DataFrame, valid: DataFrame | None = None, seed: int = 42, max_iter: int = 40,
+                 max_depth: int = 4, features: list[str] = FEATURES):
+    """U3 on a feature table: a GBT classifier; ``valid`` drives early stopping."""
+    cols = ["label", *features]
+    data = train.select(*cols, F.lit(False).alias("_is_valid"))
+    if valid is not None:
+        data = data.unionByName(valid.select(*cols, F.lit(True).alias("_is_valid")))
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxIter=max_iter, maxDepth=max_depth)
+    if valid is not None:
+        gbt = gbt.setValidationIndicatorCol("_is_valid")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt])
+    return pipe.fit(data.withColumn("label", F.col("label").cast("double")))
+
+
+def score_features(model, table: DataFrame, out: str) -> DataFrame:
+    """``table`` plus ``out``: a struct of prediction, proba_0, proba_1.  A projection, so the models of many
+    folds are applied to a row in one pass."""
+    p = vector_to_array("probability")
+    scored = model.transform(table).withColumn(out, F.struct(
+        F.col("prediction").cast("int").alias("prediction"), p[0].alias("proba_0"), p[1].alias("proba_1")))
+    return scored.drop("features", "rawPrediction", "probability", "prediction")
+
+
 def fit_pair_classifier(train: DataFrame, valid: DataFrame | None = None, seed: int = 42,
                         max_iter: int = 40, max_depth: int = 4):
     """GBT classifier on pair features; ``valid`` drives early stopping."""
-    data = pair_features(train).withColumn("_is_valid", F.lit(False))
-    if valid is not None:
-        data = data.unionByName(pair_features(valid).withColumn("_is_valid", F.lit(True)))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxIter=max_iter,
-                        maxDepth=max_depth,
-                        validationIndicatorCol="_is_valid" if valid is not None else None)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt])
-    return pipe.fit(data.withColumn("label", F.col("label").cast("double")))
+    return fit_features(pair_features(train), pair_features(valid) if valid is not None else None, seed, max_iter, max_depth)
 
 
 def predict_pairs(model, pairs: DataFrame) -> DataFrame:
-    """U4: ``pair_id, prediction, proba_0, proba_1`` (plus dataset, split)."""
-    out = model.transform(pair_features(pairs))
-    p = vector_to_array("probability")
-    return out.select("pair_id", "dataset", "split", F.col("prediction").cast("int").alias("prediction"),
-                      p[0].alias("proba_0"), p[1].alias("proba_1"))
+    """U4: ``pair_id, dataset, split, label, prediction, proba_0, proba_1``."""
+    out = score_features(model, pair_features(pairs), "_p")
+    return out.select("pair_id", "dataset", "split", "label", "_p.*")
 
 
 def prepare_predictions(pairs: DataFrame, datasets: list[str], seed: int = 42, max_iter: int = 40) -> DataFrame:
@@ -126,7 +156,7 @@ def prepare_predictions(pairs: DataFrame, datasets: list[str], seed: int = 42, m
         mine = pairs.where(F.col("dataset") == ds)
         train, valid = mine.where(F.col("split") == "train"), mine.where(F.col("split") == "valid")
         model = fit_pair_classifier(train, valid, seed=seed, max_iter=max_iter)
-        outs.append(predict_pairs(model, mine.where(F.col("split").isin("train", "valid"))))
+        outs.append(predict_pairs(model, mine.where(F.col("split").isin("train", "valid"))).drop("label"))
     return reduce(lambda a, b: a.unionByName(b), outs)
 
 

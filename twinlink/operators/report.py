@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def confusion_aggs(prediction: str = "prediction", truth: str = "label") -> list[Column]:
-    p, t = F.col(prediction) == 1, F.col(truth) == 1
+    """Counts of the four cells; a row without a prediction or a label would be in none, so it fails the job."""
+    p, t = (F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a row without {c}")).cast("boolean")).otherwise(F.col(c) == 1)
+            for c in (prediction, truth))
     return [F.count(F.lit(1)).alias("n_pairs"),
             F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"),
             F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn")]

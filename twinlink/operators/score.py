@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlink.functions.similarity import ratio_exceeds, ratio_upper_bound
+from twinlink.functions.similarity import (block_proves, edit_similarity, overlap_upper_bound, ratio_exceeds,
+                                           ratio_upper_bound)
 from twinlink.operators.serialise import record_text
 
 
@@ -21,15 +22,31 @@ def similarity_decision(a: Column, b: Column, threshold: float) -> Column:
              .when(ratio_upper_bound(a, b) <= F.lit(threshold), F.lit(0)))
 
 
+def native_decision(a: Column, b: Column, threshold: float) -> Column:
+    """``similarity_decision``, and where that is silent the character-overlap bound (-> 0) and the
+    common-block bound (-> 1); null where only the matcher itself can tell."""
+    return (F.when(a.isNull() | b.isNull(), F.lit(None).cast("int"))
+             .when(a == b, F.lit(int(1.0 > threshold)))
+             .when(ratio_upper_bound(a, b) <= F.lit(threshold), F.lit(0))
+             .when(block_proves(a, b, threshold), F.lit(1))
+             .when(overlap_upper_bound(a, b) <= F.lit(threshold), F.lit(0)))
+
+
+def predict_by_edits(df: DataFrame, a: str = "text_a", b: str = "text_b",
+                     threshold: float = 0.5, out: str = "prediction") -> DataFrame:
+    """U2 with the native scorer: ``edit_similarity(a, b) > threshold`` -> 1."""
+    return df.withColumn(out, (edit_similarity(F.col(a), F.col(b)) > F.lit(threshold)).cast("int"))
+
+
 def predict_by_similarity(df: DataFrame, a: str = "text_a", b: str = "text_b",
                           threshold: float = 0.5, out: str = "prediction") -> DataFrame:
     """``ratio(a, b) > threshold`` -> 1, in one pass.
 
-    The UDF's inputs are masked to null on rows the native bound decides, so only
+    The UDF's inputs are masked to null on rows the native bounds decide, so only
     undecided rows are compared in Python.
     """
     ca, cb = F.col(a), F.col(b)
-    native = similarity_decision(ca, cb, threshold)
+    native = native_decision(ca, cb, threshold)
     undecided = native.isNull()
     above = ratio_exceeds(F.when(undecided, ca), F.when(undecided, cb), F.lit(float(threshold)))
     return df.withColumn(out, F.coalesce(native, above.cast("int")))

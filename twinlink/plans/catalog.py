@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from twinlink.operators.classifier import rule_predictions, with_rule_prediction
 from twinlink.operators.pairs import attach_predictions
 from twinlink.operators.report import mean_f1, metrics_report
-from twinlink.operators.score import similarity_decision, similarity_inputs
+from twinlink.functions.similarity import AUTOJUNK, COUNTED
+from twinlink.operators.score import native_decision, similarity_decision, similarity_inputs
 from twinlink.operators.serialise import (PROMPT_TEMPLATES, record_text, render_prompt,
                                           serialise)
 from twinlink.plans import oracle as O
@@ -65,6 +66,54 @@ def q_native_decisions(spark, sf):
                     similarity_decision(F.col("text_a"), F.col("text_b"), 0.5).alias("decision"))
 
 
+_ALL_TEXTS = ("t AS (SELECT pair_id, dataset, label, " + O.record_text_sql("left", ", ") + " AS a, "
+              + O.record_text_sql("right", ", ") + " AS b FROM pairs)")
+
+
+def _overlap_bound_sql():
+    chars = "[" + ", ".join(_q(c) for c in COUNTED) + "]"
+    common = (f"list_sum(list_transform({chars}, lambda c: least(length(a) - length(replace(a, c, '')), "
+              "length(b) - length(replace(b, c, '')))))"
+              f" + least(length(translate(a, {_q(COUNTED)}, '')), length(translate(b, {_q(COUNTED)}, '')))")
+    return f"CAST(2 * ({common}) AS DOUBLE) / (length(a) + length(b))"
+
+
+def _block_sql():
+    k = "CAST(floor((length(a) + length(b)) * 0.5 / 2) + 1 AS INTEGER)"
+    tests = " OR ".join(f"contains({x}, substr({y}, 1, {k})) OR contains({x}, substr({y}, length({y}) - {k} + 1, {k}))"
+                        for x, y in (("a", "b"), ("b", "a")))
+    return f"({k} <= least(length(a), length(b)) AND length(b) < {AUTOJUNK} AND ({tests}))"
+
+
+@register("u2_native_bounds", O.with_fixture(_ALL_TEXTS, select=f"""SELECT pair_id, dataset, label,
+  CASE WHEN a = b THEN 1
+       WHEN CAST(2 * least(length(a), length(b)) AS DOUBLE) / (length(a) + length(b)) <= 0.5 THEN 0
+       WHEN {_block_sql()} THEN 1
+       WHEN {_overlap_bound_sql()} <= 0.5 THEN 0 END AS decision FROM t"""))
+def q_native_bounds(spark, sf):
+    """What length, common-block and character-overlap bounds decide of U2, over all splits."""
+    t = similarity_inputs(fixture_pairs(spark, sf))
+    return t.select("pair_id", "dataset", "label", native_decision(F.col("text_a"), F.col("text_b"), 0.5).alias("decision"))
+
+
+_EDITS_SQL = (_ALL_TEXTS.replace("FROM pairs)", "FROM pairs WHERE split = 'test')"),
+              "scored AS (SELECT dataset, label, CAST(CASE WHEN greatest(length(a), length(b)) = 0 THEN true ELSE "
+              "1.0::DOUBLE - CAST(levenshtein(a, b) AS DOUBLE) / CAST(greatest(length(a), length(b)) AS DOUBLE) > 0.5 END "
+              "AS INTEGER) AS prediction FROM t)")
+
+
+@register("e3_edit_report", O.with_fixture(*_EDITS_SQL, select=O.metrics_select_sql("scored")))
+def q_edit_report(spark, sf):
+    return similarity_report(fixture_pairs(spark, sf), scorer="edits")
+
+
+@register("e3_edit_mean_f1", O.with_fixture(
+    *_EDITS_SQL, "rep AS (" + O.metrics_select_sql("scored") + ")",
+    select="SELECT CAST(count(*) AS BIGINT) AS n_datasets, round(avg(f1), 12) AS mean_f1 FROM rep"))
+def q_edit_mean(spark, sf):
+    return similarity_mean_f1(fixture_pairs(spark, sf), scorer="edits")
+
+
 # --- J1/J2/P5 + T9: materialised row pairs ---
 
 @register("j2_row_pairs", O.with_fixture(select=(
@@ -582,7 +631,7 @@ def q_dump(spark, sf):
 # --- U3-U6, R6: classifier, batch scorer and hold-out evaluation (no SQL oracle) ---
 
 from twinlink.operators.classifier import predict_pairs, fit_pair_classifier, score_with  # noqa: E402
-from twinlink.plans.holdout import holdout_evaluation  # noqa: E402
+from twinlink.plans.holdout import holdout_evaluation, holdout_predictions  # noqa: E402
 from twinlink.sources.fixtures import FIXTURE_DATASETS as _FD  # noqa: E402
 
 
@@ -591,13 +640,43 @@ def q_classifier(spark, sf):
     pairs = fixture_pairs(spark, sf)
     model = fit_pair_classifier(pairs.where(F.col("split") == "train"), pairs.where(F.col("split") == "valid"))
     test = pairs.where(F.col("split") == "test")
-    scored = predict_pairs(model, test).join(test.select("pair_id", "label"), "pair_id")
-    return metrics_report(scored)
+    return metrics_report(predict_pairs(model, test))
 
 
 @register("r6_holdout_evaluation")
 def q_holdout(spark, sf):
-    return holdout_evaluation(fixture_pairs(spark, sf), [d.name for d in _FD], sampler="one_pos_two_neg")
+    return holdout_evaluation(fixture_pairs(spark, sf), [d.name for d in _FD], predictions=with_rule_prediction)
+
+
+def _holdout_sizes_sql(phases):
+    return O.with_fixture(select=(
+        "SELECT fold, CAST(phase AS INTEGER) AS phase, dataset, CAST(count(*) AS BIGINT) AS n_pairs, "
+        "CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS n_positive, dataset = fold AS zero_shot, "
+        "CAST(0 AS BIGINT) AS n_off FROM pairs, (VALUES ('prod'), ('cust'), ('supp')) f(fold), "
+        f"(VALUES {', '.join(f'({p})' for p in phases)}) p(phase) WHERE split = 'test' GROUP BY fold, phase, dataset"))
+
+
+def _holdout_sizes(spark, sf, mix):
+    """Every test row is scored once by each fold and phase, with its label; n_off: rows whose
+    probabilities do not add up to 1 or contradict the prediction."""
+    pairs = fixture_pairs(spark, sf)
+    scored = holdout_predictions(pairs, [d.name for d in _FD], predictions=with_rule_prediction, mix=mix,
+                                 attr_pairs=attribute_pairs(pairs), max_iter=10)
+    off = ((F.abs(F.col("proba_0") + F.col("proba_1") - 1) > 1e-9)
+           | (F.col("prediction") != (F.col("proba_1") > F.col("proba_0")).cast("int")))
+    return scored.groupBy("fold", "phase", "dataset").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("label") == 1).alias("n_positive"), F.count_if(off).alias("n_off")
+    ).withColumn("zero_shot", F.col("dataset") == F.col("fold"))
+
+
+@register("r6_holdout_sizes_attr_plus_row", _holdout_sizes_sql([1]))
+def q_holdout_attr_plus_row(spark, sf):
+    return _holdout_sizes(spark, sf, "attr+row")
+
+
+@register("r6_holdout_sizes_attr_then_row", _holdout_sizes_sql([1, 2]))
+def q_holdout_attr_then_row(spark, sf):
+    return _holdout_sizes(spark, sf, "attr-row")
 
 
 def _overlap_scorer():
