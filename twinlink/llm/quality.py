@@ -8,7 +8,8 @@ a document's own language label is not used.  Each of the two distances is judge
 a bound from the whole table: median plus ``spread`` times the scaled median absolute deviation among the
 documents of the same nearest reference and octave of length (short histograms diverge more by chance).  Equal
 documents count once there, and a group of fewer than ``LEAST`` takes the bound of its reference at all lengths.
-Documents of fewer than ``min_words`` words are not judged by distance.  Base rules: too few words, or too
+Documents of fewer than ``min_words`` words are not judged by distance, nor are those labelled with a
+language that has no reference (they would be held against foreign ones).  Base rules: too few words, or too
 many words in repeated 5-word windows.
 
 The histograms and the distances are each written once (numbers only); the references are one aggregate of at
@@ -16,7 +17,7 @@ most one row per listed language, the bounds one row per language and octave.  R
 there can be any, and only then the windows' words are sorted and compared.
 
 Edge cases: a null text counts as empty and fails the base rule; null or unlisted languages add to no
-reference; without any reference no distance is judged; repeated rows and null ids are rated row by row;
+reference (null ones are judged by the nearest); without any reference no distance is judged; repeated rows and null ids are rated row by row;
 other columns are not read; an empty table gives no rows.
 """
 
@@ -34,6 +35,8 @@ COMMON = {
     "es": "el la los las de y en que un una del por con para es se al lo su más",
 }
 WORDS = sorted({w for own in COMMON.values() for w in own.split()})
+# One character for each listed word, so that a text's listed words are one string that native counts read.
+MARKS = {w: chr(0x4E00 + k) for k, w in enumerate(WORDS)}
 CLASSES = {
     "lower": "abcdefghijklmnopqrstuvwxyz",
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -64,19 +67,25 @@ def repeat_words(words: Column, width: int = 5) -> Column:
                             .otherwise(width))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    def positions(sorted_windows: Column) -> Column:
-        same = F.filter(sorted_windows, lambda x, k: F.coalesce(F.get(sorted_windows, k - 1)["w"] == x["w"], F.lit(False))
-                        | F.coalesce(F.get(sorted_windows, k + 1)["w"] == x["w"], F.lit(False)))
+    def near(own: Column, k: Column, field: str) -> Column:
+        return (F.coalesce(F.get(own, k - 1)[field] == F.get(own, k)[field], F.lit(False))
+                | F.coalesce(F.get(own, k + 1)[field] == F.get(own, k)[field], F.lit(False)))
+
+    def positions(windows: Column) -> Column:
+        same = F.filter(windows, lambda x, k: near(windows, k, "w"))
         return F.array_sort(F.transform(same, lambda x: x["p"]))
 
-    def window(i: Column) -> Column:
-        return F.slice(words, i, width)
+    def exact(hashes: Column) -> Column:
+        placed = F.array_sort(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), (k + 1).alias("p"))))
+        suspects = _let(placed, lambda own: F.filter(own, lambda x, k: near(own, k, "h")))
+        windows = F.array_sort(F.transform(suspects, lambda x: F.struct(
+            F.array_join(F.slice(words, x["p"], width), " ").alias("w"), x["p"].alias("p"))))
+        return _let(_let(windows, positions), covered)
 
-    starts = F.sequence(F.lit(1), F.size(words) - (width - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(window(i)))
-    exact = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(window(i), " ").alias("w"), i.alias("p"))))
-    some = _let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when((F.size(words) > width) & some, _let(exact, lambda s: _let(positions(s), covered))).otherwise(0)
+    starts = F.sequence(F.lit(0), F.size(words) - width)
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+    found = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact(h)).otherwise(0))
+    return F.when(F.size(words) > width, found).otherwise(0)
 
 
 def histograms(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -97,14 +106,17 @@ def histograms(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
 
     cut = _BLANK + CLASSES["stop"]
 
+    marks = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
+
     def common(own: Column) -> Column:
-        return F.array(*[F.size(own) - F.size(F.array_remove(own, w)) for w in WORDS])
+        return F.array(*[F.length(own) - F.length(F.replace(own, F.lit(c), F.lit(""))) for c in MARKS.values()])
 
     def measures(words: Column) -> Column:
         low = F.filter(F.split(F.translate(F.lower("text"), cut, " " * len(cut)), " "), lambda w: w.isin(*WORDS))
+        marked = F.array_join(F.transform(low, lambda w: F.element_at(marks, w)), "")
         return F.struct(F.size(words).cast("bigint").alias("n_words"),
                         repeat_words(words).cast("bigint").alias("n_repeat_words"),
-                        _let(low, lambda own: F.concat(common(own), F.array(F.greatest(F.size(words) - F.size(own), F.lit(0))))).alias("common"))
+                        _let(marked, lambda own: F.concat(common(own), F.array(F.greatest(F.size(words) - F.length(own), F.lit(0))))).alias("common"))
 
     return base.select(
         "id", "lang", _let(split_words(F.col("text")), measures).alias("m"),
@@ -164,17 +176,19 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
          min_words: int = 50, spread: float = 3.5) -> DataFrame:
     """One row per document: counts, ``base_failed``, ``kept``, ``nearest`` language and its ``distance``."""
     table = written(histograms(docs, id_col, text_col, lang_col), "histograms")
+    languages = references(table)
     found = [_let(F.struct(js_distance(F.col("chars"), a).alias("c"), js_distance(F.col("common"), b).alias("w")),
                   lambda d, lang=lang: F.struct(((d["c"] + d["w"]) / 2).alias("distance"), F.lit(lang).alias("nearest"),
                                                 d["c"].alias("char_distance"), d["w"].alias("word_distance")))
-             for lang, (a, b) in references(table).items()]
+             for lang, (a, b) in languages.items()]
     none = F.struct(F.lit(None).cast("double").alias("distance"), F.lit(None).cast("string").alias("nearest"),
                     F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("double").alias("word_distance"))
     nearest = F.array_min(F.array(*found)) if found else none
     table = written(table.withColumn("near", nearest).select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "near.*",
+        (F.col("lang").isNull() | F.col("lang").isin(*languages)).alias("known"),
         F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int").alias("octave")), "distances")
-    most = bounds(table.where((F.col("n_words") >= min_words) & F.col("distance").isNotNull()), spread)
+    most = bounds(table.where((F.col("n_words") >= min_words) & F.col("distance").isNotNull() & F.col("known")), spread)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
     def beyond(c: float, w: float) -> Column:
@@ -185,6 +199,6 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     for lang, octave in sorted(most, key=lambda k: (k[1] is not None, str(k))):
         same = F.col("nearest") == lang
         far = F.when(same if octave is None else same & (F.col("octave") == octave), beyond(*most[lang, octave])).otherwise(far)
-    diverges = (F.col("n_words") >= min_words) & F.coalesce(far, F.lit(False))
+    diverges = (F.col("n_words") >= min_words) & F.col("known") & F.coalesce(far, F.lit(False))
     return table.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         failed.alias("base_failed"), (~failed & ~diverges).alias("kept"), "nearest", "distance")
