@@ -97,12 +97,15 @@ def histograms(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
         return F.size(lines) - F.size(F.array_distinct(lines))
 
     lines = F.filter(F.split("text", "\n"), lambda s: F.translate(s, CLASSES["space"], "") != "")
-    n, left, classes = F.length("text"), F.col("text"), []
-    for signs in CLASSES.values():
+    # Each class is counted on what the classes before it left over, symbols on the short rest with the signs.
+    left, classes = F.col("text"), {}
+    for name, signs in CLASSES.items():
+        if name == "sign":
+            n_symbols = F.length(left) - F.length(F.translate(left, _SYMBOLS, ""))
         rest = F.translate(left, signs, "")
-        classes.append(F.length(left) - F.length(rest))
+        classes[name] = F.length(left) - F.length(rest)
         left = rest
-    classes.append(F.length(left))
+    n_chars = F.length("text") - classes["space"]
 
     cut = _BLANK + CLASSES["stop"]
 
@@ -120,9 +123,9 @@ def histograms(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
 
     return base.select(
         "id", "lang", _let(split_words(F.col("text")), measures).alias("m"),
-        F.length(F.translate("text", CLASSES["space"], "")).cast("bigint").alias("word_chars"),
-        (n - F.length(F.translate("text", _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        _let(lines, line_repeats).cast("bigint").alias("n_dup_lines"), F.array(*classes).alias("chars"),
+        n_chars.cast("bigint").alias("word_chars"), n_symbols.cast("bigint").alias("n_symbols"),
+        _let(lines, line_repeats).cast("bigint").alias("n_dup_lines"),
+        F.array(*classes.values(), F.length(left)).alias("chars"),
     ).select("id", "lang", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "chars", "m.common")
 
 
