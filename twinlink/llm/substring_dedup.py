@@ -16,7 +16,9 @@ also starts in a document with a smaller id; all windows are judged on the input
 3. Exact check.  Windows next to each other with the same smallest located phrase make a
    segment.  A segment whose words also are a segment of a smaller document is removed whole;
    windows of the other segments (the first of their kind) are compared one by one, by
-   a 128-bit hash.  Both take one minimum per hash, pre-aggregated by task.
+   a 128-bit hash; two Bloom filters keep those of a single segment out of the shuffle.  Both take
+   one minimum per hash, pre-aggregated by task, and join it map-side while it is small, so that a
+   window of a third of all documents meets in no task.
 
 Edge cases: a null or empty text has no words; a text shorter than the window keeps all
 its words; a null id is no smaller id and loses nothing; rows that repeat an id do not
@@ -209,6 +211,41 @@ def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
             .where("first < last").select(*keys, "first"))
 
 
+def _suspect_windows(segments: DataFrame) -> DataFrame:
+    """``id, th, start, h1, h2`` of the windows in ``segments`` whose hash may occur in a second segment; two
+    Bloom filters drop the others before any shuffle."""
+    def flat(batch, at):
+        column = batch.column(at)
+        return column.flatten().to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy())
+
+    def hashes(batch):
+        h1, sizes = flat(batch, 3)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((h1, row))
+        h1, row = h1[order], row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (row[1:] != row[:-1])
+        yield h1[new]
+
+    sc = segments.sparkSession.sparkContext
+    n = segments.agg(F.sum(F.size("h1"))).first()[0] or 0
+    narrow = segments.select("id", "th", "start", "h1", "h2")
+    packed = sc.broadcast(bloom.twice_seen(narrow, hashes, bloom.filter_bits(n)))
+
+    def suspects(batches):
+        for batch in batches:
+            (h1, sizes), (h2, _) = flat(batch, 3), flat(batch, 4)
+            ok = np.flatnonzero(bloom.contains(packed.value, h1))
+            row = np.repeat(np.arange(len(sizes)), sizes)[ok]
+            place = ok - (np.cumsum(sizes) - sizes)[row]
+            at = pa.array(row)
+            start = batch.column(2).to_numpy()[row] + place
+            yield batch_of([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()),
+                            pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64))], ["id", "th", "start", "h1", "h2"])
+    kind = segments.schema["id"].dataType.simpleString()
+    return narrow.mapInArrow(suspects, f"id {kind}, th bigint, start bigint, h1 bigint, h2 bigint")
+
+
 def removed_ranges(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """``id, th, starts[], ends[]``: word ranges to remove of documents (id, hash of the text)."""
     text = F.col(text_col)
@@ -219,14 +256,13 @@ def removed_ranges(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     segments = written(_segments(some.dropDuplicates(["id", "th"]).join(own, ["id", "th"])
                                  .select("id", "th", "text", "phrases"), window), "passage-segments")
     whole = written(segments.select("id", "th", "start", F.size("h1").alias("n"), "s1", "s2")
-                    .join(_later(segments.select("id", "s1", "s2"), ["s1", "s2"]), ["s1", "s2"], "left")
+                    .join(small(written(_later(segments.select("id", "s1", "s2"), ["s1", "s2"]), "passage-first")), ["s1", "s2"], "left")
                     .select("id", "th", "start", "n", (F.col("id") > F.coalesce("first", "id")).alias("later")),
                     "passage-whole")
     fresh = segments.join(whole.where("not later").select("id", "th", "start"), ["id", "th", "start"], "left_semi")
-    windows = fresh.select("id", "th", "start", F.posexplode(F.arrays_zip("h1", "h2")).alias("k", "h")).select(
-        "id", "th", (F.col("start") + F.col("k")).alias("start"), "h.h1", "h.h2")
-    windows = written(windows, "passage-windows")
-    single = (windows.join(_later(windows, ["h1", "h2"]), ["h1", "h2"]).where("id > first")
+    windows = written(_suspect_windows(fresh), "passage-windows")
+    first = small(written(_later(windows, ["h1", "h2"]), "passage-first"))
+    single = (windows.join(first, ["h1", "h2"]).where("id > first")
               .select("id", "th", "start", F.lit(1).alias("n")))
     ranges = whole.where("later").select("id", "th", "start", "n").union(single)
     by_doc = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + window - 1)
