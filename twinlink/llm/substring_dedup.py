@@ -255,16 +255,15 @@ def removed_ranges(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     some = narrow.join(small(own.select("id", "th")), ["id", "th"], "left_semi")
     segments = written(_segments(some.dropDuplicates(["id", "th"]).join(own, ["id", "th"])
                                  .select("id", "th", "text", "phrases"), window), "passage-segments")
-    whole = written(segments.select("id", "th", "start", F.size("h1").alias("n"), "s1", "s2")
-                    .join(small(written(_later(segments.select("id", "s1", "s2"), ["s1", "s2"]), "passage-first")), ["s1", "s2"], "left")
-                    .select("id", "th", "start", "n", (F.col("id") > F.coalesce("first", "id")).alias("later")),
-                    "passage-whole")
-    fresh = segments.join(whole.where("not later").select("id", "th", "start"), ["id", "th", "start"], "left_semi")
+    first = small(written(_later(segments.select("id", "s1", "s2"), ["s1", "s2"]), "passage-first"))
+    judged = segments.join(first, ["s1", "s2"], "left").withColumn("later", F.col("id") > F.coalesce("first", "id"))
+    whole = judged.where("later").select("id", "th", "start", F.size("h1").alias("n"))
+    fresh = judged.where("not later")
     windows = written(_suspect_windows(fresh), "passage-windows")
     first = small(written(_later(windows, ["h1", "h2"]), "passage-first"))
     single = (windows.join(first, ["h1", "h2"]).where("id > first")
               .select("id", "th", "start", F.lit(1).alias("n")))
-    ranges = whole.where("later").select("id", "th", "start", "n").union(single)
+    ranges = whole.union(single)
     by_doc = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + window - 1)
                                                                     .alias("end"))).alias("r"))
     kind = narrow.schema["id"].dataType.simpleString()
