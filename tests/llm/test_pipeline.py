@@ -49,3 +49,29 @@ def test_every_operator_is_registered():
     assert "pipeline" in names
     for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
+
+
+def test_language_stage_rejects_by_score(spark, monkeypatch):
+    from twinlink.llm import language_id
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = language_id.identified(docs).count()
+    assert kept >= 0.99 * docs.where(F.col("text").rlike("\\p{L}")).count()
+    net = language_id.train_fold(docs)
+    net.out[:] = 0
+    net.out_bias[:] = 0  # every language scores as chance does
+    monkeypatch.setattr(language_id, "train_fold", lambda *a, **k: net)
+    assert language_id.identified(docs).count() == 0
+
+
+def test_stages_on_an_empty_table_and_on_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "the same words of a text", None, None, 5),
+                                 (1, "the same words of a text", None, None, 5)], docs.schema)
+    for own in (docs.limit(0), docs.limit(40).unionByName(odd)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, own, sf)
+            if name != "encode":
+                assert out.columns == docs.columns and out.count() <= own.count()
+            else:
+                assert out.count() == own.count()

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import batch_of
+from .frames import batch_of, give_back
 
 BLOCK_BITS = 1 << 20
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
@@ -64,6 +64,7 @@ def twice_seen(docs: DataFrame, hashes_of, bits: int) -> np.ndarray:
                     held, n = [], 0
         if n:
             yield _partial(np.concatenate(held), bits)
+        give_back()
 
     def merge(batches):
         seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import pretokens, textops as T
-from .frames import as_struct, batch_of, field_of, pieces_of, with_fields
+from .frames import as_struct, batch_of, field_of, bounded, with_fields
 
 _CACHED = 500_000
 _LONG = 48
@@ -154,11 +154,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", offsets: bool = T
     names = ["doc", "ids", "offsets"] if offsets else ["doc", "ids"]
 
     def run(batches):
-        for batch in batches:
-            for part in pieces_of(batch, at):
-                ids, ends = encoder(path).encode(field_of(part.column(0), at))
-                yield batch_of([part.column(0), ids, ends] if offsets else [part.column(0), ids], names)
-    return as_struct(docs).mapInArrow(run, with_fields(docs, ENCODED if offsets else IDS))
+        for part in batches:
+            ids, ends = encoder(path).encode(field_of(part.column(0), at))
+            yield batch_of([part.column(0), ids, ends] if offsets else [part.column(0), ids], names)
+    return as_struct(docs).mapInArrow(bounded(run, lambda batch: field_of(batch.column(0), at)), with_fields(docs, ENCODED if offsets else IDS))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textops as T
-from .frames import as_struct, batch_of, field_of, replace_field, with_fields, written
+from .frames import as_struct, batch_of, bounded, field_of, replace_field, with_fields, written
 
 # Windows broadcast at once: at most this many (window, item) rows of about 120 bytes.
 BLOCK_WINDOWS = 200_000
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                 doc = batch.column(0)
                 marked = _mark(field_of(doc, at), batch.column(3), batch.column(4), table)
                 yield batch_of([doc, *marked], ["doc", "n_words", "n_hit", "hits", "items"])
-        state = state.mapInArrow(one_pass, with_fields(docs, added))
+        state = state.mapInArrow(bounded(one_pass, lambda batch: field_of(batch.column(0), at)), with_fields(docs, added))
         if k + 1 < blocks:
             state = written(state, "decontaminate-block")
     return state

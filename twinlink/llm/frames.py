@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,9 +41,12 @@ def batch_of(arrays: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def pieces_of(batch: pa.RecordBatch, at: int, limit: int = 16 << 20):
-    """``batch`` cut into runs of rows with at most ``limit`` bytes (or one row) in string field ``at`` of its struct."""
-    sizes = field_of(batch.column(0), at).cast(pa.large_binary())
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, texts: pa.Array, limit: int = PIECE_BYTES):
+    """``batch`` cut into runs of rows with at most ``limit`` bytes (or one row) of its string column ``texts``."""
+    sizes = texts.cast(pa.large_binary())
     ends = np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset:sizes.offset + len(sizes) + 1] if len(sizes) else ()
     first = 0
     while first < len(sizes):
@@ -50,6 +55,33 @@ def pieces_of(batch: pa.RecordBatch, at: int, limit: int = 16 << 20):
         first = last
 
 
+def pieces_of(batch: pa.RecordBatch, at: int, limit: int = PIECE_BYTES):
+    """``pieces`` by string field ``at`` of the batch's struct."""
+    return pieces(batch, field_of(batch.column(0), at), limit)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers outlive their tasks, and what the tasks of
+    several stages leave behind would add up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def bounded(work, texts_of, limit: int = PIECE_BYTES):
+    """``work`` (for mapInArrow) fed with batches of at most ``limit`` bytes of text, so that what it holds in Python
+    does not depend on rows a batch; freed memory goes back at the end of the task."""
+    def run(batches):
+        try:
+            yield from work(piece for batch in batches for piece in pieces(batch, texts_of(batch), limit))
+        finally:
+            give_back()
+    return run
+
+
 def replace_field(column: pa.StructArray, at: int, values: pa.Array) -> pa.StructArray:
     """The struct array with field ``at`` replaced."""
     kind = column.type

@@ -15,14 +15,15 @@ any labelled row every text is ``und``; repeated rows, null ids and other column
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .frames import as_struct, batch_of, field_of, with_fields
+from .frames import as_struct, batch_of, bounded, field_of, with_fields
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -125,29 +126,44 @@ def _spread(raw: bytes, most: int) -> list[bytes]:
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = 300, per_text: int = 6,
           max_langs: int = 500) -> Net | None:
-    """Net trained on at most ``per_lang * per_text`` windows of each language; None without labelled rows."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    """Net trained on at most ``per_lang * per_text`` windows of each language; None without labelled rows.
+
+    A language's rows are those of the smallest id hashes.  One pass counts the languages; a second keeps
+    rows under a hash bound that leaves a few times ``per_lang`` of each, cuts their windows, and ranks
+    those (not the texts).  Where the bound left too few, as when rows repeat an id, all are ranked."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+                           F.xxhash64(F.col(id_col).cast("string")).alias("o"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(max_langs + 1).collect())
-    if not langs:
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
+    if not sizes:
         return None
-    if len(langs) > max_langs:
+    if len(sizes) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
+    langs = sorted(sizes)
+    most = 4 * per_lang + 64
 
     def cut(batches):
         for batch in batches:
-            found = [(lang, _spread(t.encode(), per_text)) for t, lang in
-                     zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield batch_of([pa.array([f[0] for f in found], pa.string()),
-                            pa.array([f[1] for f in found], pa.list_(pa.binary()))], ["lang", "windows"])
-    x, y = [], []
-    for k, lang in enumerate(langs):
-        own = rows.where(F.col("lang") == lang).select("text", "lang", F.xxhash64(F.col("id").cast("string")).alias("o"))
-        own = own.orderBy("o", F.xxhash64("text")).limit(per_lang).select("text", "lang")
-        for r in own.mapInArrow(cut, "lang string, windows array<binary>").collect():
-            x += [np.frombuffer(w, dtype=np.uint8) for w in r["windows"]]
-            y += [k] * len(r["windows"])
-    return fit(np.array(x), np.array(y), langs)
+            found = [_spread(t.encode(), per_text) for t in batch.column(0).to_pylist()]
+            yield batch_of([*batch.columns[1:], pa.array(found, pa.list_(pa.binary()))], ["lang", "o", "h", "windows"])
+
+    def first_rows(bounds: dict[str, int]) -> list:
+        table = rows.sparkSession.createDataFrame(list(bounds.items()), "l string, bound bigint")  # a row per language
+        own = rows.join(F.broadcast(table), (F.col("lang") == F.col("l")) & (F.col("o") <= F.col("bound")))
+        own = own.select("text", "lang", "o", F.xxhash64("text").alias("h")).mapInArrow(
+            bounded(cut, lambda batch: batch.column(0)), "lang string, o bigint, h bigint, windows array<binary>")
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy("o", "h"))
+        own = own.withColumn("n", nth).where(F.col("n") <= per_lang)
+        return own.orderBy("lang", "n").select("lang", "windows").collect()
+    top = (1 << 63) - 1
+    found = first_rows({k: top if n <= most else int(most / n * 2.0 ** 64) - (1 << 63) for k, n in sizes.items()})
+    got = Counter(r["lang"] for r in found)
+    short = {k: top for k, n in sizes.items() if got[k] < min(n, per_lang)}
+    if short:
+        found = sorted([r for r in found if r["lang"] not in short] + first_rows(short), key=lambda r: r["lang"])
+    at = {lang: k for k, lang in enumerate(langs)}
+    x = [np.frombuffer(w, dtype=np.uint8) for r in found for w in r["windows"]]
+    return fit(np.array(x), np.array([at[r["lang"]] for r in found for _ in r["windows"]]), langs)
 
 
 def predict(docs: DataFrame, net: Net | None, text_col: str = "text") -> DataFrame:
@@ -158,23 +174,25 @@ def predict(docs: DataFrame, net: Net | None, text_col: str = "text") -> DataFra
     def label(batches):
         model = packed.value
         for batch in batches:
-            langs, scores = [], []
-            for text in field_of(batch.column(0), at).to_pylist():
-                if model is None or not text or not _LETTER.search(text):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                own = windows(text.encode())
-                weight = np.full(len(own), float(WINDOW))
-                weight[-1] = len(text.encode()) - WINDOW * (len(own) - 1)
-                mean = (log_probabilities(model, own) * weight[:, None]).sum(axis=0) / weight.sum()
-                p = np.exp(mean - mean.max())
-                p /= p.sum()
-                langs.append(model.langs[int(p.argmax())])
-                scores.append(float(p.max()))
+            texts = field_of(batch.column(0), at).to_pylist()
+            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            known = [k for k, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
+            if known:  # the windows of all texts of the piece go through the network together
+                raws = [texts[k].encode() for k in known]
+                own = [windows(raw) for raw in raws]
+                first = np.cumsum([0] + [len(w) for w in own])
+                weight = np.full(first[-1], float(WINDOW))
+                weight[first[1:] - 1] = [len(raw) - WINDOW * (len(w) - 1) for raw, w in zip(raws, own)]
+                sums = np.add.reduceat(log_probabilities(model, np.concatenate(own)) * weight[:, None], first[:-1])
+                mean = sums / np.add.reduceat(weight, first[:-1])[:, None]
+                p = np.exp(mean - mean.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                for k, row in zip(known, p):
+                    langs[k], scores[k] = model.langs[int(row.argmax())], float(row.max())
             yield batch_of([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                            ["doc", "lang_pred", "score"])
-    return as_struct(docs).mapInArrow(label, with_fields(docs, "lang_pred string, score double"))
+    return as_struct(docs).mapInArrow(bounded(label, lambda batch: field_of(batch.column(0), at)),
+                                      with_fields(docs, "lang_pred string, score double"))
 
 
 def fold(id_col: str, parts: int):
@@ -186,9 +204,12 @@ def train_fold(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return train(docs.where(fold(id_col, 3) != 1), id_col, text_col, lang_col)
 
 
-def identified(docs: DataFrame, min_score: float = 0.25) -> DataFrame:
-    """``docs`` without the rows rejected: no language (``und``), or a score below ``min_score``."""
-    return predict(docs, train_fold(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("doc.*")
+def identified(docs: DataFrame, above_chance: float = 0.1) -> DataFrame:
+    """``docs`` without the rows rejected: no language (``und``), or a score that is not ``above_chance`` of the way
+    from chance (one in the number of languages) to certainty."""
+    net = train_fold(docs)
+    least = 1 / len(net.langs) + above_chance * (1 - 1 / len(net.langs)) if net else 0.0
+    return predict(docs, net).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc.*")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

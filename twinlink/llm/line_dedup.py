@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import bloom
-from .frames import as_struct, batch_of, field_of, replace_field, with_fields, written
+from .frames import as_struct, batch_of, bounded, field_of, pieces, replace_field, with_fields, written
 
 BROADCAST_BYTES = 64 << 20
 SPACE = " \t\n\x0b\x0c\r"
@@ -40,10 +40,11 @@ def _keys(raw: bytes) -> list[bytes]:
 
 def _distinct_keys(batch):
     """Distinct non-empty keys of every row of a (id, text) batch."""
-    for raw in batch.column(1).cast(pa.large_binary()).to_pylist():
-        own = set(_keys(raw)) if raw else set()
-        own.discard(b"")
-        yield own
+    for part in pieces(batch, batch.column(1)):
+        for raw in part.column(1).cast(pa.large_binary()).to_pylist():
+            own = set(_keys(raw)) if raw else set()
+            own.discard(b"")
+            yield own
 
 
 def _hashes(keys) -> np.ndarray:
@@ -78,7 +79,7 @@ def frequent_keys(narrow: DataFrame, packed, min_docs: int) -> DataFrame:
         if held:
             yield out()
     id_kind = narrow.schema.fields[0].dataType.simpleString()
-    return (narrow.mapInArrow(counts, f"key binary, n bigint, first_id {id_kind}").groupBy("key")
+    return (narrow.mapInArrow(bounded(counts, lambda batch: batch.column(1)), f"key binary, n bigint, first_id {id_kind}").groupBy("key")
             .agg(F.sum("n").alias("n_docs"), F.min("first_id").alias("first_id")).where(F.col("n_docs") >= min_docs))
 
 
@@ -115,6 +116,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added, keep_first = "n_lines bigint, n_dropped bigint", keep == "first"
     size = frequent.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0
 
+    def texts_of(batch):
+        return field_of(batch.column(0), text_at)
+
     def dropped(doc, frequent_of):
         text, n_lines, n_dropped = _drop(field_of(doc, id_at), field_of(doc, text_at), frequent_of, keep_first)
         return batch_of([replace_field(doc, text_at, text), n_lines, n_dropped], ["doc", "n_lines", "n_dropped"])
@@ -126,7 +130,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             known = table.value
             for batch in batches:
                 yield dropped(batch.column(0), lambda _: known)
-        return as_struct(docs).mapInArrow(by_set, with_fields(docs, added))
+        return as_struct(docs).mapInArrow(bounded(by_set, texts_of), with_fields(docs, added))
 
     def suspected(batches):
         pick = _suspects(packed.value)
@@ -143,7 +147,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             keys = batch.column(1).to_pylist()
             yield dropped(batch.column(0), lambda row: {k["key"]: k["first_id"] for k in keys[row] or ()})
-    return joined.mapInArrow(by_join, with_fields(docs, added))
+    return joined.mapInArrow(bounded(by_join, texts_of), with_fields(docs, added))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import superminhash as S, textops as T
 from .components import components
-from .frames import batch_of, small, written
+from .frames import batch_of, bounded, small, written
 
 TILE = 512
 _COLUMNS = 4096
@@ -64,7 +64,7 @@ def sketches(narrow: DataFrame) -> DataFrame:
                             pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                            ["id", "n_shingles", "digest", "sig", "bands"])
     kind = narrow.schema.fields[0].dataType.simpleString()
-    return narrow.mapInArrow(sketch, f"id {kind}, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
+    return narrow.mapInArrow(bounded(sketch, lambda batch: batch.column(1)), f"id {kind}, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
 
 
 def shingle_sets(narrow: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def shingle_sets(narrow: DataFrame) -> DataFrame:
                     for r in range(len(o) - 1)]
             yield batch_of([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "shingles"])
     kind = narrow.schema.fields[0].dataType.simpleString()
-    return narrow.mapInArrow(sets, f"id {kind}, shingles array<bigint>")
+    return narrow.mapInArrow(bounded(sets, lambda batch: batch.column(1)), f"id {kind}, shingles array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
