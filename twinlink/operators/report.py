@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinlink.tables import ranked
+
 
 def confusion_aggs(prediction: str = "prediction", truth: str = "label") -> list[Column]:
     """Counts of the four cells; a row without a prediction or a label would be in none, so it fails the job."""
@@ -77,6 +79,30 @@ def token_cost_report(texts: DataFrame, n_tokens: Column, rates: dict | None = N
                .withColumn("cost_usd", F.col("n_tokens") / F.lit(1000.0) * F.col("usd_per_1k_tokens")))
 
 
+def padded_token_report(texts: DataFrame, n_tokens: Column, batch_size: int = 16384, max_len: int = 350,
+                        by=("dataset",), order=("pair_id",), rates: dict | None = None,
+                        price_per_hour: float = PRICE_PER_HOUR) -> DataFrame:
+    """R7 as a padded batch run serves the texts: rows go to batches of ``batch_size`` in ``order``, are cut to
+    ``max_len`` tokens, and padded to the longest of their batch.
+
+    Per group: records, batches, tokens uncut, cut and padded, and the cost of the padded ones at each rate.
+    Ranks come from a range sort (``tables.ranked``), a batch's maximum from a hash aggregate."""
+    by = list(by)
+    rows = texts.select(*by, *order, F.coalesce(n_tokens, F.lit(0)).cast("bigint").alias("_t"))
+    rows = ranked(rows, by, list(order), "padded").withColumn("_batch", F.floor(F.col("rank") / batch_size))
+    cut = F.least("_t", F.lit(max_len).cast("bigint"))
+    batches = rows.groupBy(*by, "_batch").agg(F.count(F.lit(1)).alias("_n"), F.sum("_t").alias("_uncut"),
+                                              F.sum(cut).alias("_cut"), F.max(cut).alias("_most"))
+    agg = batches.groupBy(*by).agg(
+        F.sum("_n").alias("n_records"), F.count(F.lit(1)).alias("n_batches"), F.sum("_uncut").alias("n_tokens_uncut"),
+        F.sum("_cut").alias("n_tokens"), F.sum(F.col("_n") * F.col("_most")).alias("n_tokens_padded"))
+    models = F.array(*[F.struct(F.lit(m).alias("model"),
+                                F.lit(usd_per_1k_tokens(r, k, price_per_hour)).alias("usd_per_1k_tokens"))
+                       for m, (r, k) in sorted((rates or SERVING_RATES).items())])
+    return (agg.select("*", F.inline(models))
+               .withColumn("cost_usd", F.col("n_tokens_padded") / F.lit(1000.0) * F.col("usd_per_1k_tokens")))
+
+
 def length_filter(texts: DataFrame, n_tokens: Column, max_len: int) -> DataFrame:
     """Keep texts with ``n_tokens <= max_len`` (inclusive)."""
     return texts.where(n_tokens <= F.lit(max_len))

@@ -469,7 +469,7 @@ def q_split_sizes(spark, sf):
 from twinlink.functions import text as TX  # noqa: E402
 from twinlink.operators.classifier import attr_value  # noqa: E402
 from twinlink.operators.report import (SERVING_RATES, dropped_for_length, length_filter,  # noqa: E402
-                                       token_cost_report, usd_per_1k_tokens)
+                                       padded_token_report, token_cost_report, usd_per_1k_tokens)
 from twinlink.operators.score import argmax_class  # noqa: E402
 from twinlink.sources.fixtures import read_table  # noqa: E402
 
@@ -514,6 +514,35 @@ def q_cost(spark, sf):
     return token_cost_report(t, TX.count_whitespace_tokens("text"))
 
 
+def _padded_sql(source, size, limit, by, order):
+    return (f"WITH t AS ({source}), r AS (SELECT *, (row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1) // {size} AS batch FROM t), "
+            f"b AS (SELECT {by}, batch, count(*) AS n, sum(n_tokens) AS uncut, sum(least(n_tokens, {limit})) AS cut, "
+            f"max(least(n_tokens, {limit})) AS most FROM r GROUP BY {by}, batch), "
+            f"a AS (SELECT {by}, CAST(sum(n) AS BIGINT) AS n_records, count(*) AS n_batches, CAST(sum(uncut) AS BIGINT) AS n_tokens_uncut, "
+            f"CAST(sum(cut) AS BIGINT) AS n_tokens, CAST(sum(n * most) AS BIGINT) AS n_tokens_padded FROM b GROUP BY {by}) "
+            f"SELECT {by}, n_records, n_batches, n_tokens_uncut, n_tokens, n_tokens_padded, model, usd_per_1k_tokens, "
+            f"n_tokens_padded / CAST(1000 AS DOUBLE) * usd_per_1k_tokens AS cost_usd FROM a, {_cost_values_sql()}")
+
+
+@register("r7_padded_token_report_documents", _padded_sql(
+    f"SELECT lang, doc_id, coalesce({O.count_tokens_sql('text')}, 0) AS n_tokens FROM documents", 64, 350, "lang", "doc_id"))
+def q_padded_documents(spark, sf):
+    """R7 with padding over all documents in id order, batches of 64: texts beyond 350 tokens are cut, uncut totals beside."""
+    d = read_table(spark, sf, "documents").select("lang", "doc_id", TX.count_whitespace_tokens("text").alias("n"))
+    return padded_token_report(d, F.col("n"), 64, by=("lang",), order=("doc_id",))
+
+
+_SERIALISED = O.with_fixture(select=(f"SELECT dataset, pair_id, {O.count_tokens_sql('text')} AS n_tokens FROM "
+                                     f"(SELECT dataset, pair_id, {O.serialise_sql('mode4')} AS text FROM pairs)"))
+
+
+@register("r7_padded_token_report", _padded_sql(_SERIALISED, 128, 30, "dataset", "pair_id"))
+def q_padded_pairs(spark, sf):
+    """R7 with padding over all serialised pairs (mode 4), batches of 128, cut at 30 tokens so that cutting occurs."""
+    t = serialise(fixture_pairs(spark, sf), "mode4")
+    return padded_token_report(t, TX.count_whitespace_tokens("text"), 128, max_len=30)
+
+
 @register("r1_text_to_bool_conversations",
           "SELECT conv_id, turn, role, (contains(lower(text), 'yes') OR contains(lower(text), 'true')) AS positive "
           "FROM conversations")
