@@ -204,7 +204,7 @@ def train_fold(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return train(docs.where(fold(id_col, 3) != 1), id_col, text_col, lang_col)
 
 
-def identified(docs: DataFrame, above_chance: float = 0.1) -> DataFrame:
+def identified(docs: DataFrame, above_chance: float = 0.05) -> DataFrame:
     """``docs`` without the rows rejected: no language (``und``), or a score that is not ``above_chance`` of the way
     from chance (one in the number of languages) to certainty."""
     net = train_fold(docs)
