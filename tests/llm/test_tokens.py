@@ -1,5 +1,6 @@
 """Token counts and BPE against the libraries themselves."""
 
+import pytest
 import base64
 import hashlib
 import random
@@ -63,3 +64,17 @@ def test_offsets_nulls_extra_columns_and_empty_tables(spark):
     assert rows[None].doc.ids == 7 and rows[None].offsets[-1] == 4 and rows[1].ids is None
     assert bpe.report(docs.limit(0).withColumnRenamed("doc", "doc_id"), path).count() == 0
     assert token_counts.report(docs.limit(0).withColumnRenamed("doc", "doc_id"), P.path("byte_bpe_50k.json"), 1).count() == 0
+
+
+def test_decode_checks_the_token_ends(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from twinlink.llm import bpe
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "Hello wörld 日本"), (2, ""), (3, "x y  z")], "doc_id long, text string")
+    encoded = bpe.encode(docs, path).select(F.col("doc")["doc_id"].alias("id"), F.col("doc")["text"].alias("t"), "ids", "offsets")
+    for r in bpe.decode(encoded, path, offsets_col="offsets").collect():
+        assert bytes(r.decoded) == r.doc.t.encode() and (r.doc.offsets or [0])[-1] == len(r.decoded)
+    wrong = encoded.withColumn("offsets", F.transform("offsets", lambda x: x + 1))
+    with pytest.raises(Exception, match="end elsewhere"):
+        bpe.decode(wrong, path, offsets_col="offsets").collect()

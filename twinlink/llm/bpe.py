@@ -135,7 +135,7 @@ class Encoder:
         ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))
         offsets = ends[1:] - np.repeat(ends[rows[:-1]], np.diff(rows))
         return tuple(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(own), mask=column.is_null())
-                     for own in (ids.astype(np.int32), offsets))
+                     for own in (ids.astype(np.int32), offsets.astype(np.int32)))
 
 
 @lru_cache(maxsize=1)
@@ -145,7 +145,7 @@ def encoder(path: str) -> Encoder:
 
 
 IDS = "ids array<int>"
-ENCODED = f"{IDS}, offsets array<bigint>"
+ENCODED = f"{IDS}, offsets array<int>"
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", offsets: bool = True) -> DataFrame:
@@ -160,14 +160,30 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", offsets: bool = T
     return as_struct(docs).mapInArrow(bounded(run, lambda batch: field_of(batch.column(0), at)), with_fields(docs, ENCODED if offsets else IDS))
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` as struct ``doc`` with ``decoded``, the bytes of its ids (null ids: null)."""
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", offsets_col: str | None = None) -> DataFrame:
+    """``encoded`` as struct ``doc`` with ``decoded``, the bytes of its ids (null ids: null).
+
+    With ``offsets_col`` the tokens' ends are those of the encoded text: a row whose tokens end elsewhere
+    when decoded fails the job."""
     at = encoded.columns.index(ids_col)
+    ends_at = encoded.columns.index(offsets_col) if offsets_col else None
+
+    def checked(lists, ends, lengths):
+        ids = lists.values.to_numpy(zero_copy_only=False)
+        rows = lists.offsets.to_numpy()
+        total = np.concatenate(([0], np.cumsum(lengths[ids])))
+        own = total[rows[0] + 1:rows[-1] + 1] - np.repeat(total[rows[:-1]], np.diff(rows))
+        told = ends.values.to_numpy(zero_copy_only=False)[ends.offsets[0].as_py():ends.offsets[-1].as_py()]
+        if not np.array_equal(own, told):
+            raise ValueError("tokens end elsewhere than where they were cut")
 
     def run(batches):
         tokens = vocabulary(path)[1]
+        lengths = encoder(path).lengths if ends_at is not None else None
         for batch in batches:
             lists = field_of(batch.column(0), at)
+            if ends_at is not None:
+                checked(lists, field_of(batch.column(0), ends_at), lengths)
             rows = [None if not ids.is_valid else b"".join([tokens[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()])
                     for ids in lists]
             yield batch_of([batch.column(0), pa.array(rows, pa.binary())], ["doc", "decoded"])
@@ -176,10 +192,11 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``n_tokens, ids_sha256, decoded_sha256``."""
-    encoded = encode(docs.select(id_col, text_col), path, text_col, offsets=False)
-    encoded = encoded.select(F.col("doc")[id_col].alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    out = decode(encoded, path)
+    encoded = encode(docs.select(id_col, text_col), path, text_col)
+    empty = F.array().cast("array<int>")
+    encoded = encoded.select(F.col("doc")[id_col].alias("id"), F.coalesce("ids", empty).alias("ids"), F.coalesce("offsets", empty).alias("offsets"))
+    out = decode(encoded, path, offsets_col="offsets")
     ids = F.col("doc.ids")
-    return out.select(F.col("doc")[id_col].alias(id_col), F.size(ids).cast("bigint").alias("n_tokens"),
+    return out.select(F.col("doc")["id"].alias(id_col), F.size(ids).cast("bigint").alias("n_tokens"),
                       F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
