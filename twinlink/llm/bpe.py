@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import pretokens, textops as T
-from .frames import as_struct, batch_of, field_of, bounded, with_fields
+from .frames import as_struct, batch_of, bounded, field_of, give_back, with_fields
 
+_TOKENS = 500_000  # ids that are decoded at a time
 _CACHED = 500_000
 _LONG = 48
 
@@ -102,14 +103,22 @@ class _Numbers(dict):
         return number
 
 
+@lru_cache(maxsize=1)
+def token_lengths(path: str) -> np.ndarray:
+    """Bytes of every token, by rank."""
+    tokens = vocabulary(path)[1]
+    out = np.zeros(max(tokens) + 1, dtype=np.int64)
+    for rank, token in tokens.items():
+        out[rank] = len(token)
+    return out
+
+
 class Encoder:
     """Ids of texts, with a cache of slices; between chunks a cache that is full begins anew."""
 
     def __init__(self, path: str):
         self.ranks, self.tokens = vocabulary(path)
-        self.lengths = np.zeros(max(self.tokens) + 1, dtype=np.int64)
-        for rank, token in self.tokens.items():
-            self.lengths[rank] = len(token)
+        self.lengths = token_lengths(path)
         self.numbers = _Numbers(self.ranks)
 
     def chunks(self, column):
@@ -169,24 +178,36 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", offsets_col: str
     ends_at = encoded.columns.index(offsets_col) if offsets_col else None
 
     def checked(lists, ends, lengths):
-        ids = lists.values.to_numpy(zero_copy_only=False)
         rows = lists.offsets.to_numpy()
-        total = np.concatenate(([0], np.cumsum(lengths[ids])))
-        own = total[rows[0] + 1:rows[-1] + 1] - np.repeat(total[rows[:-1]], np.diff(rows))
+        ids = lists.values.to_numpy(zero_copy_only=False)[rows[0]:rows[-1]]
+        total = np.concatenate(([0], np.cumsum(lengths[ids], dtype=np.int64)))
+        rows = rows - rows[0]
+        own = total[1:] - np.repeat(total[rows[:-1]], np.diff(rows))
         told = ends.values.to_numpy(zero_copy_only=False)[ends.offsets[0].as_py():ends.offsets[-1].as_py()]
         if not np.array_equal(own, told):
             raise ValueError("tokens end elsewhere than where they were cut")
 
+    def parts(batches):
+        """Batches cut into runs of rows with at most ``_TOKENS`` ids, or of one row."""
+        for batch in batches:
+            ends = field_of(batch.column(0), at).offsets.to_numpy()
+            first = 0
+            while first < batch.num_rows:
+                last = max(int(np.searchsorted(ends, ends[first] + _TOKENS, side="right")) - 1, first + 1)
+                yield batch.slice(first, last - first)
+                first = last
+
     def run(batches):
         tokens = vocabulary(path)[1]
-        lengths = encoder(path).lengths if ends_at is not None else None
-        for batch in batches:
+        lengths = token_lengths(path) if ends_at is not None else None
+        for batch in parts(batches):
             lists = field_of(batch.column(0), at)
             if ends_at is not None:
                 checked(lists, field_of(batch.column(0), ends_at), lengths)
             rows = [None if not ids.is_valid else b"".join([tokens[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()])
                     for ids in lists]
             yield batch_of([batch.column(0), pa.array(rows, pa.binary())], ["doc", "decoded"])
+        give_back()
     return as_struct(encoded).mapInArrow(run, with_fields(encoded, "decoded binary"))
 
 
