@@ -748,6 +748,17 @@ def q_batch_scorer(spark, sf):
     return metrics_report(scored)
 
 
+from twinlink.operators import linear_scorer as LS  # noqa: E402
+
+
+@register("u6_linear_scorer_report")
+def q_linear_scorer(spark, sf):
+    """U6 with a trained model: hashed token features, weights learned on the train split, all test pairs scored."""
+    texts = similarity_inputs(fixture_pairs(spark, sf))
+    weights = LS.fit_linear(texts.where("split = 'train'"))
+    return metrics_report(LS.score_linear(texts.where("split = 'test'"), weights))
+
+
 # --- E1 ingest from raw files: S1 + S2 + P1/P9 + J1 + P5, S3 + P3/P6/P7/P8, S7 ---
 
 from twinlink.plans import ingest as IN  # noqa: E402
