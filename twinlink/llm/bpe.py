@@ -26,7 +26,7 @@ from . import pretokens, textops as T
 from .frames import as_struct, batch_of, bounded, field_of, give_back, with_fields
 
 _TOKENS = 500_000  # ids that are decoded at a time
-_CACHED = 500_000
+_CACHED = 250_000
 _LONG = 48
 
 
