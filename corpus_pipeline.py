@@ -15,11 +15,23 @@ from twinlink.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
 from twinlink.llm.frames import written
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Whole documents go through Python in every stage: where the session leaves Spark's default of 10,000 rows a
+    batch, 1,000 bound what executors and workers hold of them at once."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return language_id.identified(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     out = line_dedup.line_dedup(docs, min_docs=10, keep="first")
     # Copies whose every line stands in an earlier document are left without a word; the first copy has its text.
     emptied = (F.col("n_dropped") > 0) & (F.translate(F.col("doc")["text"], line_dedup.SPACE, "") == "")
@@ -27,6 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     # An id that is repeated leaves only if none of its rows stands for its group.
     gone = (near_dedup.report(docs, percent=75).groupBy("doc_id").agg(F.max("kept").alias("kept"))
             .where("not kept").select(F.col("doc_id").alias("gone_id")))
@@ -34,10 +47,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return bpe.report(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
