@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from twinlink.llm import decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, secret_scan, substring_dedup
@@ -207,6 +208,78 @@ def test_lm_beats_base_on_held_out_text(spark):
     assert held["sum(score)"] > held["sum(base_score)"]
 
 
+def _lm_classes(words):
+    """Classes of a training corpus, 60 tokens of it frequent, and its counts by hash."""
+    counts = Counter(words)
+    keys = np.array(sorted(counts), np.uint64)
+    n = np.array([counts[int(k)] for k in keys])
+    part = (keys >> np.uint64(59)).astype(int)
+    top = np.argsort(-n, kind="stable")[:60]
+    sums = [np.bincount(part, weights=w, minlength=lm_score.PARTS).astype(np.int64) for w in (n, np.ones(len(n)))]
+    return lm_score.Classes(keys[top], n[top], *sums), keys, n
+
+
+def test_lm_probabilities_sum_to_one_and_follow_the_formula():
+    rng = np.random.default_rng(5)
+    vocabulary = rng.integers(2, 2**63, 400).astype(np.uint64) * np.uint64(2)
+    classes, keys, n = _lm_classes(vocabulary[np.minimum(rng.zipf(1.3, 20_000), 400) - 1].tolist())
+    rows = 64
+    weights = classes.start(rows)
+    for w in weights:
+        w += rng.normal(0, 0.7, w.shape).astype(np.float32)
+    # Every known token, and one unseen token in each part, after the same three words.
+    unseen = (np.arange(lm_score.PARTS, dtype=np.uint64) << np.uint64(59)) + np.uint64(7)
+    tokens = np.concatenate((keys, unseen))
+    history = lm_score.histories(np.append(vocabulary[:3], np.uint64(9)), np.array([0, 4]))[3:].repeat(len(tokens), axis=0)
+    label, _ = classes.of(tokens)
+    part = lm_score._part(tokens)
+    logs = lm_score.log_factors(weights, history, label, part, classes)
+    p = np.exp(logs) * (np.concatenate((n, np.zeros(lm_score.PARTS))) + 0.1) / classes.share[label, part]
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    # One token by hand: sums of weight rows, soft-maxed over classes and over parts.
+    k = int(np.flatnonzero(label == classes.rare)[0])
+    first = weights[0][[0, *(1 + int(h) % rows for h in history[k])]].sum(axis=0, dtype=np.float64)
+    at = lm_score.rows_of(history[k:k + 1], label[k:k + 1], classes, rows)[0]
+    second = weights[1][at].sum(axis=0, dtype=np.float64)
+    assert at[0] == label[k] and (at[1:] >= classes.n).all()
+    expected = sum(z[y] - math.log(np.exp(z).sum()) for z, y in ((first, label[k]), (second, part[k])))
+    assert logs[k] == pytest.approx(expected, abs=1e-3)
+
+
+def test_lm_histories_stay_inside_a_text():
+    tokens = np.array([5, 6, 7, 1, 5, 6, 1], np.uint64)
+    keys = lm_score.histories(tokens, np.array([0, 4, 7]))
+    assert (keys[0] == keys[4]).all() and (keys[1] == keys[5]).all()  # same words before, whatever text came first
+    assert (keys[2] == keys[6]).all() and not (keys[3] == keys[6]).any()
+    assert len(np.unique(keys[3])) == 4
+
+
+def test_lm_model_rows_grow_with_the_corpus():
+    sizes = [lm_score._model_rows(v, 1 << 15) for v in (0, 10, 40_000, 100_000, 10**9)]
+    assert sizes[0] == lm_score.MIN_ROWS and sizes == sorted(sizes) and sizes[-1] == 1 << 15
+    assert all(x & (x - 1) == 0 for x in sizes)
+
+
+def test_lm_prefers_real_order_and_words_beat_classes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = [k for k in range(10**8, 10**8 + 10_000) if zlib.crc32(str(k).encode()) % 10 == 0]
+    held = [r.text for r in docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0").collect()]
+    rows = []
+    for text in held:
+        words = WORD.findall(text or "")
+        for order in (words, sorted(words, key=lambda w: hashlib.md5(w.encode()).digest())):
+            rows.append((out[len(rows)], " ".join(order)))
+    both = docs.union(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    real, reordered = {r[0] for r in rows[::2]}, {r[0] for r in rows[1::2]}
+    got = [r for r in lm_score.score(both).collect() if r.held_out]
+    sums = {name: sum(r.score for r in got if r.doc_id in ids) for name, ids in (("real", real), ("other", reordered))}
+    assert sums["real"] > sums["other"]
+    # Without updates the model is that of classes alone, which is the base but for the places of unseen tokens.
+    flat = [r for r in lm_score.score(both, rounds=0).collect() if r.doc_id in real]
+    alone = sum(r.score for r in flat)
+    assert alone == pytest.approx(sum(r.base_score for r in flat), rel=1e-3) and sums["real"] > alone
+
+
 def test_language_held_out_accuracy_and_und(spark):
     from pyspark.sql import functions as F
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

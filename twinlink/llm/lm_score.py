@@ -1,17 +1,21 @@
-"""Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
+"""Language-model scores by a hashed maximum-entropy model of words with a class-factored softmax.
 
 A text is its words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and one end token.  A token's
-probability is P(class | history) * P(token | class).  The ``SINGLES`` most frequent tokens
-are classes of their own, the next ones (up to ``max_frequent``) share a class by octave of rank, all others,
-unseen ones included, are the rare class.  P(token | class) is the smoothed share of its training count.
-P(class | history) is a maximum-entropy model of the classes before it: a bias, the last class, the
-last two, and skip features (the second last; the last with the third last), hashed to
-``BUCKETS`` rows of weights.
-
-Training: (1) exact counts of all training tokens (64-bit hashes, pre-aggregated in the tasks);
-(2) exact counts of class histories, again pre-aggregated; (3) ``rounds`` updates, each one a distributed
-pass over those counts in which tasks emit gradient and curvature by block of weights, the blocks are summed by a shuffle
-and only the model itself (fixed size) reaches the driver.  Counts grow with the input.
+probability is P(class | words before) * P(part | class, words before) * P(token | class, part).  The ``SINGLES`` most
+frequent tokens are classes of their own, the next ones (up to ``max_frequent``) share a class by octave of rank, all
+others, unseen ones included, are the rare class.  A class of several tokens has ``PARTS`` parts, told by five bits of
+the token's hash.  P(token | class, part) is the smoothed share of its training count; each part of the rare class
+holds a place for what was not seen.  The other two factors are maximum-entropy models of the *words* before the token
+(64-bit hashes): a bias, the last word, the last two, and skip features (the second last; the last with the third
+last), hashed to rows of weights, of which there are a quarter of the distinct training tokens, as a power of two
+between ``MIN_ROWS`` and ``max_rows`` (the model is broadcast; at the default bound its size is 12 MB).
+
+Training: (1) exact counts of all training tokens, pre-aggregated in the tasks; they grow with the input; (2)
+``rounds`` distributed gradient updates.  A round reads one of ``rounds`` shares of the training rows (by a digest of the
+text), all rounds together read every row once.  Its tasks start from the broadcast weights, take scaled (Adagrad) steps
+over their own tokens and emit by block of rows what they changed, weighted by how often a row fired; a shuffle adds these up,
+and only the mean by row, the size of the model, reaches the driver.  Weights depend a little on how the
+table is split into tasks, counts and ``base_score`` do not.
 
 Scoring: frequent tokens by broadcast table; the rare tokens of a document become (document, hash,
 count) rows joined to the counts.  A hot token is always frequent, so that join has no hot key.
@@ -30,22 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textops as T
-from .frames import batch_of, written
+from .frames import batch_of, bounded, written
 
-SINGLES, BUCKETS, FEATURES = 40, 4096, 5
+SINGLES, PARTS, FEATURES = 40, 32, 5
+MIN_ROWS = 4096
 _FLUSH = 500_000
-_END = np.uint64(1)
-_BLOCK = 64
+_START, _END = np.uint64(0), np.uint64(1)
+_BLOCK, _STEP = 64, 2048
 
 
-def _tokens(column):
-    """``(row, hashes of its tokens)`` of every row, the end token last."""
+def _streams(column):
+    """``(first row, tokens, bounds)`` of chunks of rows: tokens of row r at ``bounds[r]:bounds[r + 1]``, the end token last."""
     for first, _, buf, bounds in T.text_chunks(column):
         buf = T.LOWER[buf]
         starts, ends, _, per_row = T.word_spans(buf, bounds, T.NON_SPACE)
-        words = T.span_hashes(buf, starts, ends)
-        for r in range(len(bounds) - 1):
-            yield first + r, np.append(words[per_row[r]:per_row[r + 1]], _END)
+        per_row = np.asarray(per_row)
+        yield first, np.insert(T.span_hashes(buf, starts, ends), per_row[1:], _END), per_row + np.arange(len(per_row))
 
 
 def _merged(keys: list, counts: list):
@@ -53,18 +57,16 @@ def _merged(keys: list, counts: list):
     return own, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
 
 
-def _summed(texts: DataFrame, coded) -> DataFrame:
-    """``key, n``: how often each 64-bit code occurs over a one-column frame; ``coded`` maps a row's tokens to codes."""
+def _summed(texts: DataFrame) -> DataFrame:
+    """``key, n``: how often each token (its 64-bit hash) occurs over a one-column frame."""
     def run(batches):
         keys, counts, held = [], [], 0
         for batch in batches:
-            codes = [coded(own) for _, own in _tokens(batch.column(0))]
-            if not codes:
-                continue
-            found, n = np.unique(np.concatenate(codes), return_counts=True)
-            keys.append(found)
-            counts.append(n)
-            held += len(found)
+            for _, own, _ in _streams(batch.column(0)):
+                found, n = np.unique(own, return_counts=True)
+                keys.append(found)
+                counts.append(n)
+                held += len(found)
             if held > _FLUSH:
                 found, n = _merged(keys, counts)
                 keys, counts, held = [found], [n], len(found)
@@ -77,24 +79,32 @@ def _summed(texts: DataFrame, coded) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _part(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(59)).astype(np.int64)
+
+
 class Classes:
-    """Frequent tokens (sorted hashes), their counts and classes; the classes' totals."""
+    """Frequent tokens (sorted hashes), their counts and classes; ``share``: smoothed counts by class and part."""
 
-    def __init__(self, hashes, counts, total: int, distinct: int):
+    def __init__(self, hashes, counts, total, distinct):
+        """``total`` and ``distinct``: training tokens of each part, the frequent ones (``hashes``) included."""
         order = np.lexsort((hashes, -counts))
         rank = np.empty(len(hashes), dtype=np.int64)
         rank[order] = np.arange(len(hashes))
         octave = SINGLES + np.floor(np.log2(np.maximum(rank, SINGLES) / SINGLES)).astype(np.int64)
         label = np.where(rank < SINGLES, rank, octave)
         self.n = int(label.max()) + 2 if len(label) else 1
-        self.rare, self.start = self.n - 1, self.n
+        self.rare = self.n - 1
+        self.singles = min(SINGLES, self.rare)  # classes below have one token
         by_hash = np.argsort(hashes)
         self.hashes, self.counts, self.label = hashes[by_hash], counts[by_hash].astype(np.float64), label[by_hash]
-        size = np.bincount(label, minlength=self.n).astype(np.float64)
-        mass = np.bincount(label, weights=counts, minlength=self.n)
-        size[self.rare], mass[self.rare] = distinct - len(hashes) + 1, total - counts.sum()
-        self.mass, self.share = mass, mass + 0.1 * size
-        self.total, self.distinct = total, distinct
+        cell = self.label * PARTS + _part(self.hashes)
+        size = np.bincount(cell, minlength=self.n * PARTS).reshape(self.n, PARTS).astype(np.float64)
+        mass = np.bincount(cell, weights=self.counts, minlength=self.n * PARTS).reshape(self.n, PARTS)
+        size[self.rare], mass[self.rare] = distinct - size.sum(axis=0) + 1, total - mass.sum(axis=0)
+        self.share = mass + 0.1 * size
+        self.share[:self.singles] = self.share[:self.singles].sum(axis=1, keepdims=True)
+        self.total, self.distinct = int(total.sum()), int(distinct.sum())
 
     def of(self, tokens: np.ndarray):
         """Class and place in the table (-1 if rare) of every token."""
@@ -104,130 +114,183 @@ class Classes:
         known = self.hashes[at] == tokens
         return np.where(known, self.label[at], self.rare), np.where(known, at, -1)
 
-    def grams(self, label: np.ndarray) -> np.ndarray:
-        """Each token's class and the three before it, one byte each, lowest first."""
-        padded = np.concatenate((np.full(3, self.start), label)).astype(np.uint64)
-        n = len(label)
-        return sum((padded[3 - k:3 - k + n] << np.uint64(8 * k) for k in range(4)), np.zeros(n, np.uint64))
-
-
-def features(history: np.ndarray) -> np.ndarray:
-    """Weight rows (n, FEATURES) of histories: bias, last, last two, second last, last with third last."""
-    a, b, c = ((history >> np.uint64(8 * k)) & np.uint64(255) for k in range(3))
-    kinds = [np.zeros_like(a), a, a | b << np.uint64(8), b, a | c << np.uint64(8)]
-    rows = [T.mix((x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) % np.uint64(BUCKETS - 1) + np.uint64(1)
-            for k, x in enumerate(kinds)]
-    rows[0][:] = 0
-    return np.stack(rows, axis=1).astype(np.int64)
+    def start(self, rows: int) -> list[np.ndarray]:
+        """Weights of both factors before training: the shares as biases, ``rows`` hashed rows of zeros after them."""
+        mass = np.where(np.arange(self.n) < self.singles, self.share[:, 0], self.share.sum(axis=1))
+        out = [np.zeros((1 + rows, self.n), np.float32), np.zeros((self.n + rows, PARTS), np.float32)]
+        out[0][0] = np.log(mass)
+        out[1][:self.n] = np.log(np.maximum(self.share, 1e-9))  # an empty part has no token
+        return out
+
+
+def histories(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hashed features (tokens, FEATURES - 1) of the words before each token of a row: the last, the last two, the second
+    last, the last with the third last."""
+    before = [tokens]
+    for _ in range(3):
+        shifted = np.empty_like(tokens)
+        shifted[1:] = before[-1][:-1]
+        shifted[bounds[:-1]] = _START
+        before.append(shifted)
+    _, a, b, c = before
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    b2, c2 = b * odd, c * odd
+    kinds = (a, a ^ (b2 << np.uint64(1)), b2, a ^ (c2 >> np.uint64(1)))
+    return np.stack([T.mix(x + np.uint64(k + 1)) for k, x in enumerate(kinds)], axis=1)
+
+
+def rows_of(keys: np.ndarray, label, classes: Classes, rows: int) -> np.ndarray:
+    """Weight rows (tokens, FEATURES), the bias first: of the class model, or with ``label`` of the parts within these classes."""
+    out = np.zeros((len(keys), FEATURES), np.int64)
+    if label is not None:
+        out[:, 0] = label
+        keys = T.mix(keys ^ (label.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None])
+    out[:, 1:] = (keys & np.uint64(rows - 1)).astype(np.int64) + (1 if label is None else classes.n)
+    return out
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]].copy()
-    for k in range(1, FEATURES):
+    z = weights[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def _gradient(weights, grams, counts, slope, curve):
-    """Add gradient and curvature of weighted grams to ``slope`` and ``curve``."""
-    n_classes = weights.shape[1]
-    history, at = np.unique(grams >> np.uint64(8), return_inverse=True)
-    rows = features(history)
-    seen = np.zeros((len(history), n_classes))
-    np.add.at(seen, (at, (grams & np.uint64(255)).astype(np.int64)), counts)
-    total = seen.sum(axis=1, keepdims=True)
-    p = np.exp(log_softmax(weights, rows))
-    for k in range(FEATURES):
-        order = np.argsort(rows[:, k], kind="stable")
-        own, first = np.unique(rows[order, k], return_index=True)
-        slope[own] += np.add.reduceat((seen - total * p)[order], first, axis=0)
-        curve[own] += np.add.reduceat((total * p * (1 - p))[order], first, axis=0)
-
-
-def fit(grams: DataFrame, classes: Classes, rounds: int) -> np.ndarray:
-    """Weights after ``rounds`` damped diagonal Newton steps on the counted grams."""
-    sc = grams.sparkSession.sparkContext
-    weights = np.zeros((BUCKETS, classes.n), dtype=np.float64)
-    weights[0] = np.log(classes.mass + 1.0)
-    for _ in range(rounds):
-        now = sc.broadcast(weights.astype(np.float32))
+def _factors(keys, label, part, classes: Classes, rows: int):
+    """``(factor, which tokens, weight rows, outcomes)`` of both factors; a class of one token has no second one."""
+    yield 0, slice(None), rows_of(keys, None, classes, rows), label
+    many = np.flatnonzero(label >= classes.singles)
+    if len(many):
+        yield 1, many, rows_of(keys[many], label[many], classes, rows), part[many]
+
+
+def log_factors(weights, keys, label, part, classes: Classes) -> np.ndarray:
+    """Natural log of P(class | words before) * P(part | class, words before) of every token."""
+    out = np.zeros(len(keys))
+    rows = len(weights[0]) - 1
+    for a in range(0, len(keys), _STEP):
+        own, cut = out[a:a + _STEP], slice(a, a + _STEP)
+        for factor, which, at, y in _factors(keys[cut], label[cut], part[cut], classes, rows):
+            own[which] += log_softmax(weights[factor], at)[np.arange(len(y)), y]
+    return out
+
+
+def _descend(weights, squares, fired, at, y, rate: float):
+    """One Adagrad step (one rate per row of weights) on the tokens with weight rows ``at`` and outcomes ``y``."""
+    p = np.exp(log_softmax(weights, at))
+    p[np.arange(len(y)), y] -= 1
+    flat = at.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    own, first = np.unique(flat[order], return_index=True)
+    slope = np.add.reduceat(p[order // FEATURES], first, axis=0)
+    squares[own] += (slope * slope).sum(axis=1)
+    fired[own] += np.diff(np.append(first, len(flat)))
+    weights[own] -= rate * slope * (np.sqrt(weights.shape[1]) / np.sqrt(squares[own] + 1e-6))[:, None]
+
+
+def fit(learn: DataFrame, table, rounds: int, rows: int, rate: float) -> list[np.ndarray]:
+    """Weights of both factors after ``rounds`` averaged updates over the texts of ``learn``; ``table``: broadcast Classes."""
+    sc = learn.sparkSession.sparkContext
+    weights = table.value.start(rows)
+    schema = "factor int, block int, sums binary"
+    for r in range(rounds):
+        now = sc.broadcast(weights)
 
         def part(batches):
-            w = now.value
-            slope, curve = np.zeros(w.shape), np.zeros(w.shape)
+            classes, first = table.value, now.value
+            own = [w.copy() for w in first]
+            squares, fired = ([np.zeros(len(w), np.float32) for w in own] for _ in range(2))
             for batch in batches:
-                keys = batch.column(0).to_numpy().view(np.uint64)
-                counts = batch.column(1).to_numpy()
-                for a in range(0, len(keys), 20_000):
-                    _gradient(w, keys[a:a + 20_000], counts[a:a + 20_000], slope, curve)
-            blocks = [k for k in range(0, BUCKETS, _BLOCK) if curve[k:k + _BLOCK].any()]
-            yield batch_of([pa.array([k for k in blocks], pa.int32()), pa.array(
-                [np.stack((slope[k:k + _BLOCK], curve[k:k + _BLOCK])).astype(np.float32).tobytes() for k in blocks],
-                pa.binary())], ["block", "sums"])
+                for _, tokens, bounds in _streams(batch.column(0)):
+                    label, keys, parts = classes.of(tokens)[0], histories(tokens, bounds), _part(tokens)
+                    for a in range(0, len(tokens), _STEP):
+                        cut = slice(a, a + _STEP)
+                        for k, _, at, y in _factors(keys[cut], label[cut], parts[cut], classes, rows):
+                            _descend(own[k], squares[k], fired[k], at, y, rate)
+            for k, w in enumerate(own):
+                w -= first[k]
+                w *= fired[k][:, None]
+                blocks = [b for b in range(0, len(w), _BLOCK) if fired[k][b:b + _BLOCK].any()]
+                sums = [np.hstack((fired[k][b:b + _BLOCK, None], w[b:b + _BLOCK])).tobytes() for b in blocks]
+                yield batch_of([pa.array([k] * len(blocks), pa.int32()), pa.array(blocks, pa.int32()),
+                                pa.array(sums, pa.binary())], ["factor", "block", "sums"])
 
         def total(batches):
-            held: dict[int, np.ndarray] = {}
+            held: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
-                for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    held[k] = held.get(k, 0) + np.frombuffer(raw, np.float32).astype(np.float64)
-            yield batch_of([pa.array(list(held), pa.int32()),
-                            pa.array([v.tobytes() for v in held.values()], pa.binary())], ["block", "sums"])
-        # At most one partition per block: the sums that reach the driver are the size of the model.
-        summed = (grams.mapInArrow(part, "block int, sums binary").repartition("block")
-                  .mapInArrow(total, "block int, sums binary"))
-        for row in summed.collect():
-            slope, curve = np.frombuffer(row["sums"], np.float64).reshape(2, -1, classes.n)
-            step = np.clip(slope / (curve + 1.0), -2, 2) / (FEATURES - 1)
-            weights[row["block"]:row["block"] + len(step)] += step
-    return weights.astype(np.float32)
+                for k, b, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                    held[k, b] = held.get((k, b), 0) + np.frombuffer(raw, np.float32)
+            for (k, b), sums in held.items():
+                sums = sums.reshape(-1, now.value[k].shape[1] + 1)
+                moved = sums[:, 1:] / np.maximum(sums[:, :1], 1)
+                yield batch_of([pa.array([k], pa.int32()), pa.array([b], pa.int32()),
+                                pa.array([moved.astype(np.float32).tobytes()], pa.binary())], ["factor", "block", "sums"])
+        share = learn.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+        # Every task emits a model: a task reads as many rows a round as a partition of the table has.
+        tasks = max(1, -(-share.rdd.getNumPartitions() // rounds))
+        summed = (share.coalesce(tasks).mapInArrow(bounded(part, lambda b: b.column(0)), schema)
+                  .repartition("factor", "block").mapInArrow(total, schema))
+        weights = [w.copy() for w in weights]
+        for row in summed.collect():  # the size of the model
+            w = weights[row["factor"]]
+            w[row["block"]:row["block"] + _BLOCK] += np.frombuffer(row["sums"], np.float32).reshape(-1, w.shape[1])
+        now.unpersist()
+    return weights
 
 
 def _fold(parts: int):
     return F.crc32(F.col("id").cast("string").cast("binary")) % parts
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 10, rounds: int = 12,
-          max_frequent: int = 40_000) -> DataFrame:
-    """One row per document: ``held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+def _model_rows(distinct: int, max_rows: int) -> int:
+    """A quarter of the distinct tokens, as a power of two between MIN_ROWS and ``max_rows``."""
+    return min(max(1 << max(distinct // 4, 1).bit_length(), MIN_ROWS), max_rows)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 10, rounds: int = 4,
+          max_frequent: int = 40_000, max_rows: int = 1 << 15, rate: float = 0.05) -> DataFrame:
+    """One row per document: ``held_out, n_tokens, n_known, train_tokens, base_score, score``; ``max_rows`` is a power of two."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(_fold(parts) == 0, F.lit(False))
     learn = narrow.where(~held_out).select("text")
-    counts = written(_summed(learn, lambda own: own), "token-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counts = written(_summed(learn), "token-counts")
+    total, distinct = np.zeros(PARTS, np.int64), np.zeros(PARTS, np.int64)
+    for row in counts.groupBy(F.shiftrightunsigned("key", 59).alias("part")).agg(
+            F.sum("n").alias("n"), F.count("*").alias("m")).collect():  # PARTS rows
+        total[row["part"]], distinct[row["part"]] = row["n"], row["m"]
     top = counts.orderBy(F.desc("n"), "key").limit(max_frequent).toPandas()  # at most max_frequent rows
     classes = Classes(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, distinct)
+    total, distinct = classes.total, classes.distinct
     table = spark.sparkContext.broadcast(classes)
-    grams = written(_summed(learn, lambda own: table.value.grams(table.value.of(own)[0])), "class-grams")
-    model = spark.sparkContext.broadcast(fit(grams, classes, rounds))
+    model = spark.sparkContext.broadcast(fit(learn, table, rounds, _model_rows(distinct, max_rows), rate))
     log_all = math.log10(total + 0.1 * (distinct + 1))
 
     def partial(batches):
         c, w = table.value, model.value
-        base_of, in_class = np.log10(c.counts + 0.1), np.log10(c.share)
+        base_of, in_part = np.log10(c.counts + 0.1), np.log10(np.maximum(c.share, 1e-9))
         for batch in batches:
             out = []
-            for _, own in _tokens(batch.column(1)):
-                label, at = c.of(own)
-                grams = c.grams(label)
-                sum_class = 0.0
-                for a in range(0, len(grams), 4096):
-                    part = grams[a:a + 4096]
-                    history, back = np.unique(part >> np.uint64(8), return_inverse=True)
-                    sum_class += float(log_softmax(w, features(history))[back, label[a:a + 4096]].sum(dtype=np.float64))
-                known = base_of[at[at >= 0]].sum()
-                rare, n = np.unique(own[at < 0], return_counts=True)
-                out.append((len(own), int((at >= 0).sum()), float(known - len(own) * log_all),
-                            float(known + sum_class / math.log(10) - in_class[label].sum()), rare.view(np.int64), n))
+            for _, tokens, bounds in _streams(batch.column(1)):
+                label, at = c.of(tokens)
+                part = _part(tokens)
+                known = np.where(at >= 0, base_of[at], 0.0) if len(base_of) else np.zeros(len(at))
+                logs = log_factors(w, histories(tokens, bounds), label, part, c) / math.log(10) - in_part[label, part]
+                known, logs = (np.add.reduceat(x, bounds[:-1]) for x in (known, known + logs))
+                for r in range(len(bounds) - 1):
+                    own, place = tokens[bounds[r]:bounds[r + 1]], at[bounds[r]:bounds[r + 1]]
+                    rare, n = np.unique(own[place < 0], return_counts=True)
+                    out.append((len(own), int((place >= 0).sum()), float(known[r] - len(own) * log_all), float(logs[r]),
+                                rare.view(np.int64), n))
             yield batch_of([batch.column(0), batch.column(2)] + [
                 pa.array([o[k] for o in out], kind) for k, kind in enumerate(
                     [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())])],
                 ["id", "digest", "n_tokens", "n_frequent", "base_part", "score_part", "rare", "n_rare"])
     kind = narrow.schema["id"].dataType.simpleString()
     parted = written(narrow.withColumn("digest", F.xxhash64("text")).mapInArrow(
-        partial, f"id {kind}, digest bigint, n_tokens bigint, n_frequent bigint, base_part double, score_part double, "
+        bounded(partial, lambda b: b.column(1)), f"id {kind}, digest bigint, n_tokens bigint, n_frequent bigint, base_part double, score_part double, "
                  "rare array<bigint>, n_rare array<bigint>"), "lm-parts")
     rows = parted.select("id", "digest", F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("n_rare").alias("m"))))
     found = (rows.join(counts.select("key", "n"), "key", "left").groupBy("id", "digest").agg(
