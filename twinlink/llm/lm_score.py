@@ -40,7 +40,7 @@ SINGLES, PARTS, FEATURES = 40, 32, 5
 MIN_ROWS = 4096
 _FLUSH = 500_000
 _START, _END = np.uint64(0), np.uint64(1)
-_BLOCK, _STEP = 64, 2048
+_BLOCK, _STEP = 64, 4096
 
 
 def _streams(column):
@@ -149,13 +149,15 @@ def rows_of(keys: np.ndarray, label, classes: Classes, rows: int) -> np.ndarray:
     return out
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+def _exponents(weights: np.ndarray, rows: np.ndarray):
+    """``(z, exp(z), sums of these)``; one maximum is taken off all tokens of a step."""
+    z = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+        z += np.take(weights, rows[:, k], axis=0)
+    z -= z.max()
+    np.maximum(z, -60, out=z)  # keeps every sum above zero
+    e = np.exp(z)
+    return z, e, e @ np.ones(e.shape[1], np.float32)
 
 
 def _factors(keys, label, part, classes: Classes, rows: int):
@@ -173,21 +175,31 @@ def log_factors(weights, keys, label, part, classes: Classes) -> np.ndarray:
     for a in range(0, len(keys), _STEP):
         own, cut = out[a:a + _STEP], slice(a, a + _STEP)
         for factor, which, at, y in _factors(keys[cut], label[cut], part[cut], classes, rows):
-            own[which] += log_softmax(weights[factor], at)[np.arange(len(y)), y]
+            z, _, sums = _exponents(weights[factor], at)
+            own[which] += z[np.arange(len(y)), y] - np.log(sums)
     return out
 
 
 def _descend(weights, squares, fired, at, y, rate: float):
     """One Adagrad step (one rate per row of weights) on the tokens with weight rows ``at`` and outcomes ``y``."""
-    p = np.exp(log_softmax(weights, at))
+    _, p, sums = _exponents(weights, at)
+    p /= sums[:, None]
     p[np.arange(len(y)), y] -= 1
     flat = at.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    own, first = np.unique(flat[order], return_index=True)
-    slope = np.add.reduceat(p[order // FEATURES], first, axis=0)
-    squares[own] += (slope * slope).sum(axis=1)
-    fired[own] += np.diff(np.append(first, len(flat)))
-    weights[own] -= rate * slope * (np.sqrt(weights.shape[1]) / np.sqrt(squares[own] + 1e-6))[:, None]
+    order = np.argsort(flat.astype(np.uint16) if len(weights) <= 1 << 16 else flat, kind="stable")
+    ranked = flat[order]
+    first = np.flatnonzero(np.diff(ranked, prepend=-1))
+    own, times = ranked[first], np.diff(first, append=len(flat))
+    token = order // FEATURES
+    slope = p[token[first]]
+    again = times > 1  # most rows fire once in a step; only the others are summed
+    if again.any():
+        ends = np.cumsum(times[again])
+        slope[again] = np.add.reduceat(p[token[np.repeat(again, times)]], ends - times[again], axis=0)
+    squares[own] += np.einsum("ij,ij->i", slope, slope)
+    fired[own] += times
+    slope *= (rate * np.sqrt(weights.shape[1]) / np.sqrt(squares[own] + 1e-6)).astype(np.float32)[:, None]
+    weights[own] -= slope
 
 
 def fit(learn: DataFrame, table, rounds: int, rows: int, rate: float) -> list[np.ndarray]:
