@@ -246,6 +246,25 @@ def test_lm_probabilities_sum_to_one_and_follow_the_formula():
     assert logs[k] == pytest.approx(expected, abs=1e-3)
 
 
+def test_lm_step_equals_a_plain_gradient():
+    rng = np.random.default_rng(0)
+    n, width, rows = 1500, 51, 900
+    weights = rng.normal(size=(rows, width)).astype(np.float32)
+    at = np.minimum(rng.zipf(1.3, (n, lm_score.FEATURES)), rows) - 1  # hot rows, rows that fire once, a row twice in one token
+    y = rng.integers(0, width, n)
+    z = weights.astype(float)[at].sum(axis=1)
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), y] -= 1
+    slope = np.zeros((rows, width))
+    np.add.at(slope, at.ravel(), np.repeat(p, lm_score.FEATURES, axis=0))
+    expected = weights - 0.05 * math.sqrt(width) * slope / np.sqrt((slope * slope).sum(axis=1) + 1e-6)[:, None]
+    squares, fired = np.zeros(rows, np.float32), np.zeros(rows, np.float32)
+    lm_score._descend(weights, squares, fired, at, y, 0.05)
+    assert np.abs(weights - expected).max() < 1e-5
+    assert (fired == np.bincount(at.ravel(), minlength=rows)).all()
+
+
 def test_lm_histories_stay_inside_a_text():
     tokens = np.array([5, 6, 7, 1, 5, 6, 1], np.uint64)
     keys = lm_score.histories(tokens, np.array([0, 4, 7]))

@@ -40,7 +40,7 @@ SINGLES, PARTS, FEATURES = 40, 32, 5
 MIN_ROWS = 4096
 _FLUSH = 500_000
 _START, _END = np.uint64(0), np.uint64(1)
-_BLOCK, _STEP = 64, 4096
+_BLOCK, _STEP, _HOT = 64, 4096, 16
 
 
 def _streams(column):
@@ -189,13 +189,22 @@ def _descend(weights, squares, fired, at, y, rate: float):
     order = np.argsort(flat.astype(np.uint16) if len(weights) <= 1 << 16 else flat, kind="stable")
     ranked = flat[order]
     first = np.flatnonzero(np.diff(ranked, prepend=-1))
-    own, times = ranked[first], np.diff(first, append=len(flat))
-    token = order // FEATURES
-    slope = p[token[first]]
-    again = times > 1  # most rows fire once in a step; only the others are summed
-    if again.any():
-        ends = np.cumsum(times[again])
-        slope[again] = np.add.reduceat(p[token[np.repeat(again, times)]], ends - times[again], axis=0)
+    times = np.diff(first, append=len(flat))
+    most = np.argsort(-times, kind="stable")
+    first, times, token = first[most], times[most], order // FEATURES
+    own, slope = ranked[first], np.take(p, token[first], axis=0)
+    hot = int(np.searchsorted(-times, -_HOT))  # rows that fire more often than _HOT times are summed by a matrix product
+    if hot:
+        at_row = np.repeat(np.arange(hot), times[:hot])
+        place = np.repeat(first[:hot] - np.cumsum(times[:hot]) + times[:hot], times[:hot]) + np.arange(len(at_row))
+        marks = np.zeros((hot, len(p)), np.float32)
+        np.add.at(marks.reshape(-1), at_row * len(p) + token[place], np.float32(1))
+        slope[:hot] = marks @ p
+    for j in range(1, _HOT):
+        end = int(np.searchsorted(-times, -j))
+        if end <= hot:
+            break
+        slope[hot:end] += np.take(p, token[first[hot:end] + j], axis=0)
     squares[own] += np.einsum("ij,ij->i", slope, slope)
     fired[own] += times
     slope *= (rate * np.sqrt(weights.shape[1]) / np.sqrt(squares[own] + 1e-6)).astype(np.float32)[:, None]
