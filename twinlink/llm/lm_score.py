@@ -141,11 +141,11 @@ def histories(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def rows_of(keys: np.ndarray, label, classes: Classes, rows: int) -> np.ndarray:
     """Weight rows (tokens, FEATURES), the bias first: of the class model, or with ``label`` of the parts within these classes."""
-    out = np.zeros((len(keys), FEATURES), np.int64)
+    out = np.zeros((len(keys), FEATURES), np.int32)
     if label is not None:
         out[:, 0] = label
         keys = T.mix(keys ^ (label.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None])
-    out[:, 1:] = (keys & np.uint64(rows - 1)).astype(np.int64) + (1 if label is None else classes.n)
+    out[:, 1:] = (keys & np.uint64(rows - 1)).astype(np.int32) + (1 if label is None else classes.n)
     return out
 
 
@@ -190,10 +190,11 @@ def _descend(weights, squares, fired, at, y, rate: float):
     ranked = flat[order]
     first = np.flatnonzero(np.diff(ranked, prepend=-1))
     times = np.diff(first, append=len(flat))
-    most = np.argsort(-times, kind="stable")
+    most = np.argsort((len(flat) - times).astype(np.uint16) if len(flat) < 1 << 16 else -times, kind="stable")
     first, times, token = first[most], times[most], order // FEATURES
     own, slope = ranked[first], np.take(p, token[first], axis=0)
-    hot = int(np.searchsorted(-times, -_HOT))  # rows that fire more often than _HOT times are summed by a matrix product
+    falling = -times
+    hot = int(np.searchsorted(falling, -_HOT))  # rows that fire more often than _HOT times are summed by a matrix product
     if hot:
         at_row = np.repeat(np.arange(hot), times[:hot])
         place = np.repeat(first[:hot] - np.cumsum(times[:hot]) + times[:hot], times[:hot]) + np.arange(len(at_row))
@@ -201,7 +202,7 @@ def _descend(weights, squares, fired, at, y, rate: float):
         np.add.at(marks.reshape(-1), at_row * len(p) + token[place], np.float32(1))
         slope[:hot] = marks @ p
     for j in range(1, _HOT):
-        end = int(np.searchsorted(-times, -j))
+        end = int(np.searchsorted(falling, -j))
         if end <= hot:
             break
         slope[hot:end] += np.take(p, token[first[hot:end] + j], axis=0)
