@@ -150,12 +150,11 @@ def rows_of(keys: np.ndarray, label, classes: Classes, rows: int) -> np.ndarray:
 
 
 def _exponents(weights: np.ndarray, rows: np.ndarray):
-    """``(z, exp(z), sums of these)``; one maximum is taken off all tokens of a step."""
+    """``(z, exp(z), sums of these)``; z is held within 60 of zero, so that no sum overflows or is zero."""
     z = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, k], axis=0)
-    z -= z.max()
-    np.maximum(z, -60, out=z)  # keeps every sum above zero
+    np.clip(z, -60, 60, out=z)
     e = np.exp(z)
     return z, e, e @ np.ones(e.shape[1], np.float32)
 
@@ -303,7 +302,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
                 known, logs = (np.add.reduceat(x, bounds[:-1]) for x in (known, known + logs))
                 for r in range(len(bounds) - 1):
                     own, place = tokens[bounds[r]:bounds[r + 1]], at[bounds[r]:bounds[r + 1]]
-                    rare, n = np.unique(own[place < 0], return_counts=True)
+                    rare = np.sort(own[place < 0])
+                    at_first = np.flatnonzero(np.append(True, rare[1:] != rare[:-1])[:len(rare)])
+                    rare, n = rare[at_first], np.diff(at_first, append=len(rare))
                     out.append((len(own), int((place >= 0).sum()), float(known[r] - len(own) * log_all), float(logs[r]),
                                 rare.view(np.int64), n))
             yield batch_of([batch.column(0), batch.column(2)] + [
