@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinlink.llm import decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, secret_scan, substring_dedup
@@ -97,6 +99,50 @@ def test_secret_scan(docs, texts):
         assert got[k].base_sha256 == sha(",".join(s for _, _, s in sorted(spans)))
 
 
+SECRET_RULES = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", "(AKIA[A-Z0-9]+)", 20), ("hex", "([0-9a-f]+)", 24),
+    ("private_key", "(-----BEGIN\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY-----)", 0), ("github", "(gh[pousr]_[A-Za-z0-9]{36,})", 0),
+    ("slack", "(xox[abeprs]-[A-Za-z0-9-]{12,})", 0), ("google", "(AIza[A-Za-z0-9_-]{35})", 0),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 0)]
+
+
+def secret_spans(text):
+    out = [(m.start(), n, m.end()) for n, (_, rule, least) in enumerate(SECRET_RULES)
+           for m in re.finditer(rule, text or "", re.A) if len(m[1]) >= least]
+    return sorted(out)
+
+
+def test_secret_scan_of_all_rules_equals_regexes():
+    rng = random.Random(5)
+    parts = ["token", "PassWord", "api_key", "secret", "=", ":", " ", "  ", "'", '"', "AKIA", "ABCD1234", "0123456789abcdef", "deadbeef",
+             "ghp_", "ghs_", "xoxb-", "AIza", "eyJ", ".", "eyJhbGciOiJI", "a" * 9, "Z9-_" * 9, "Q" * 36, "-----BEGIN ", "RSA ",
+             "PRIVATE KEY-----", "é", "\n", "日本", ",", "x", "_", "-"]
+    texts = [None, "", "token=ab", "token=token:xyzabc"] + ["".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(3000)]
+    got = secret_scan.find_secrets(pa.array(texts, pa.string()))
+    assert got == [secret_spans(t) for t in texts]
+    assert {n for own in got for _, n, _ in own} == set(range(len(SECRET_RULES)))
+
+
+def test_secret_scan_of_hostile_texts_is_linear():
+    hit = "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8
+    runs = ["eyJ", "eyJaaaaaaaa.", "token", "token ", "-----BEGIN ", "AKIA", "AIza", "ghp_", "xoxb-", "0123abcd", "secret = "]
+    texts = [run * (1_000_000 // len(run)) + " " + hit for run in runs]
+    started = time.monotonic()
+    got = secret_scan.find_secrets(pa.array(texts, pa.string()))
+    assert time.monotonic() - started < 60
+    for text, own in zip(texts, got):
+        assert (len(text) - len(hit), 7, len(text)) in own
+    assert (0, 2, 1_000_000) in got[runs.index("0123abcd")] and (0, 1, 1_000_000) in got[runs.index("AKIA")]
+
+
+def test_redact_replaces_all_spans(spark):
+    text = "é token=abcdefgh, key AKIA" + "B" * 16 + " end"
+    docs = spark.createDataFrame([(1, text, 7), (2, None, 8), (3, "", 9), (1, text, 7)], "doc_id long, text string, spans long")
+    clean = "é [secret], key [secret] end"
+    assert sorted(map(tuple, secret_scan.redact(docs).collect()), key=str) == [(1, clean, 7), (1, clean, 7), (2, None, 8), (3, "", 9)]
+
+
 def test_decontaminate(spark, docs, texts):
     items = [(1, " ".join((texts[45]).split()[25:45])), (2, "a b"), (3, None), (4, ""), (5, "Nowhere to be found at all in any of these texts")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")

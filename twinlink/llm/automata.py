@@ -93,9 +93,10 @@ class _Parser:
 
 
 class _Nfa:
-    def __init__(self):
+    def __init__(self, backward: bool):
         self.moves: list[list[tuple[frozenset, int]]] = []
         self.empty: list[list[int]] = []
+        self.backward = backward
 
     def state(self) -> int:
         self.moves.append([])
@@ -110,7 +111,7 @@ class _Nfa:
             self.moves[start].append((node[1], end))
         elif kind == "cat":
             end = start
-            for part in node[1]:
+            for part in node[1][::-1] if self.backward else node[1]:
                 end = self.add(part, end)
         elif kind == "alt":
             end = self.state()
@@ -156,9 +157,8 @@ class Dfa:
     start: int
 
     def synchronising(self) -> np.ndarray:
-        """Flag per byte: from all states without an accept it leads to the same state as from the start."""
-        open_states = self.accepts == 0
-        open_states[0] = False
+        """Flag per byte: from all states that are ever left it leads to the same state as from the start."""
+        open_states = (self.next != np.arange(len(self.next))[:, None]).any(axis=1)
         same = (self.next[open_states] == self.next[self.start]).all(axis=0) & (self.next[self.start] == self.start)
         return same[self.classes]
 
@@ -170,11 +170,12 @@ class Dfa:
         return n
 
 
-def compile_rules(rules: list[str], search: bool = False) -> Dfa:
+def compile_rules(rules: list[str], backward: bool = False) -> Dfa:
     """One automaton for all rules; accept bit k belongs to rule k.
 
-    With ``search`` a match may start anywhere, and an accepting state is never left."""
-    nfa = _Nfa()
+    With ``backward`` it reads a text from its end, and after a byte its state holds the bits of all
+    rules of which a match starts at that byte."""
+    nfa = _Nfa(backward)
     start = nfa.state()
     finals = {}
     for k, rule in enumerate(rules):
@@ -184,7 +185,7 @@ def compile_rules(rules: list[str], search: bool = False) -> Dfa:
         finals[nfa.add(parser.alternatives(False), own)] = k
         if parser.at < len(rule):
             raise ValueError(f"cannot read {rule!r} from {parser.at}")
-    if search:
+    if backward:
         nfa.moves[start].append((frozenset(range(256)), start))
     kinds: dict[tuple, int] = {}
     sets = [s for own in nfa.moves for s, _ in own]
@@ -200,9 +201,6 @@ def compile_rules(rules: list[str], search: bool = False) -> Dfa:
     while todo:
         states = todo.pop()
         k = number[states]
-        if search and accepts[k]:
-            rows[k] = [k] * len(sample)
-            continue
         row = []
         for b in sample:
             to = nfa.closure({t for s in states for own, t in nfa.moves[s] if b in own})
@@ -213,13 +211,12 @@ def compile_rules(rules: list[str], search: bool = False) -> Dfa:
             row.append(number[to])
         rows[k] = row
     table = np.array([rows[k] for k in range(len(number))], dtype=np.int64)
-    return _minimal(table, classes, np.array([accepts[k] for k in range(len(number))], dtype=np.int64), search)
+    return _minimal(table, classes, np.array([accepts[k] for k in range(len(number))], dtype=np.int64))
 
 
-def _minimal(table, classes, accepts, search) -> Dfa:
+def _minimal(table, classes, accepts) -> Dfa:
     """States with the same future put together: blocks are split until their moves agree."""
-    kind = (accepts > 0).astype(np.int64) if search else accepts
-    block = np.unique(kind, return_inverse=True)[1]
+    block = np.unique(accepts, return_inverse=True)[1]
     while True:
         rows = np.column_stack([block, block[table]])
         finer = np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)

@@ -1,11 +1,13 @@
 """Secret scans by one combined deterministic automaton.
 
-All rules are compiled into one minimised automaton (``automata``) that reads every
-byte once.  Bytes after which no rule can be under way (found from the automaton itself)
-cut the texts into segments; the segments of a batch are read in step, one byte of each
-at a time, with the transition array.  Only segments that end in an accepting state hold
-a match; their spans come from the rules' own automata, leftmost and longest, without
-overlap within a kind.  A ``min`` on the matched part drops a match after it was found.
+All rules are compiled into one minimised automaton (``automata``) that reads every byte once,
+from the end of a text to its beginning, so that after a byte its state holds which rules have a
+match that starts there.  Bytes that no rule holds (found from the automaton itself) cut the texts
+into segments; the segments of a batch are read in step, one byte of each at a time, with the
+transition array.  From a marked start the rule's own automaton walks to the longest end, and the next
+start at or after that end is taken: leftmost and longest, without overlap within a kind.  A walk
+ends with its match, so the work is linear in the text, however often a rule begins in it.  A ``min``
+on the matched part drops a match after it was found.
 
 The kinds ``assign``, ``access`` and ``hex`` are the base rules; the others are added by the
 method.  Positions are code points, the end exclusive.
@@ -42,84 +44,89 @@ MORE = {
     "jwt": ("eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]", "{8,}", "", 0),
 }
 RULES = {**BASE, **MORE}
-# What the combined automaton looks for: every match holds its kind's part.  Counted repeats of
-# classes that hold their own prefix would blow up the subset construction, so the lengths are left
-# to the rules' own automata.
-DETECT = {kind: rule for kind, (rule, _, _, _) in RULES.items()}
-DETECT |= {"hex": "[0-9a-f]{24,}", "jwt": "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]"}
+# Starts that the combined automaton marks.  Long counted tails inside each other's classes would multiply
+# its states, so these are marked from their first byte on: a walk that falls short has read at most their count.
+STARTS = {kind: rule for kind, (rule, _, _, _) in RULES.items()}
+STARTS |= {"hex": "[0-9a-f]{24,}", "jwt": "".join(RULES["jwt"][:2])}
 _FEW = 64
 
 
 @lru_cache(maxsize=1)
 def _scanner():
-    """Arrays of the combined automaton, and (kind, match, prefix match, least length) of every rule."""
-    dfa = compile_rules(list(DETECT.values()), search=True)
-    kinds = [(k, longest(compile_rules([rule + last])), longest(compile_rules([prefix])) if prefix else None, least)
-             for k, (rule, last, prefix, least) in RULES.items()]
-    return dfa, ~dfa.synchronising(), dfa.shortest(), kinds
+    """The combined automaton, its moves for the scalar loop, flags of the bytes in any rule, its shortest
+    match, and (match, prefix match, least length) of every rule."""
+    dfa = compile_rules(list(STARTS.values()), backward=True)
+    kinds = [(longest(compile_rules([rule + last])), longest(compile_rules([prefix])) if prefix else None, least)
+             for rule, last, prefix, least in RULES.values()]
+    return dfa, dfa.next.tolist(), ~dfa.synchronising(), dfa.shortest(), kinds
 
 
-def _accepted(dfa, read, starts, ends):
-    """Which segments (longest first) end in an accepting state; ``read`` has the byte classes."""
+def _marked(dfa, table, read, starts, ends):
+    """Places in the segments (longest first) where a match starts, and the rule bits of each; ``read`` has the byte
+    classes."""
     width = dfa.next.shape[1]
     moves = (dfa.next * width).reshape(-1)
+    marks = np.repeat(dfa.accepts > 0, width)
     state = np.full(len(starts), dfa.start * width, dtype=np.int32)
-    lengths, at = ends - starts, starts.copy()
-    shortest_first = lengths[::-1]
+    at, shortest_first = ends.copy(), (ends - starts)[::-1]
+    places, states = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     n, step = len(starts), 0
     while n > _FEW:
         own = state[:n]
+        at[:n] -= 1
         own += read[at[:n]]
-        state[:n] = moves[own]
-        at[:n] += 1
+        own[:] = moves[own]
+        hit = np.flatnonzero(marks[own])
+        if len(hit):
+            places.append(at[hit])
+            states.append(own[hit])
         step += 1
         n = len(starts) - int(np.searchsorted(shortest_first, step, side="right"))
-    table = dfa.next.tolist() if n else []
+    accepts = (dfa.accepts > 0).tolist() if n else []
     for k in range(n):
-        s = int(state[k]) // width
-        for c in read[at[k]:ends[k]].tolist():
+        s, place, found = int(state[k]) // width, int(at[k]), []
+        for c in read[starts[k]:place][::-1].tobytes():
             s = table[s][c]
-        state[k] = s * width
-    return dfa.accepts[state // width] > 0
-
-
-def _spans(raw: bytes, a: int, b: int, kinds):
-    """Spans of every kind in ``raw[a:b]``."""
-    for k, (_, match, prefix, least) in enumerate(kinds):
-        at = a
-        while at < b:
-            end = match(raw, at, b)
-            if end < 0:
-                at += 1
-                continue
-            counted = prefix(raw, at, end) if prefix else at
-            if end - counted >= least:
-                yield at, k, end
-            at = end
+            place -= 1
+            if accepts[s]:
+                found.append((place, s * width))
+        if found:
+            own = np.array(found, dtype=np.int64)
+            places.append(own[:, 0])
+            states.append(own[:, 1].astype(np.int32))
+    return np.concatenate(places), dfa.accepts[np.concatenate(states) // width]
 
 
 def find_secrets(column):
     """For every row of a string column: list of (start, kind number, end), sorted, in code points."""
-    dfa, inside, least, kinds = _scanner()
+    dfa, table, inside, least_bytes, kinds = _scanner()
     out = []
     for first, last, buf, bounds in T.text_chunks(column):
         rows = [[] for _ in range(last - first)]
-        starts, ends, row, _ = T.word_spans(buf, bounds, inside)
+        starts, ends, _, _ = T.word_spans(buf, bounds, inside)
         order = np.argsort(starts - ends, kind="stable")
-        order = order[:int(np.searchsorted((starts - ends)[order], -least, side="right"))]
-        starts, ends, row = starts[order], ends[order], row[order]
-        if len(starts):
-            for k in np.flatnonzero(_accepted(dfa, dfa.classes[buf], starts, ends)):
-                rows[row[k]].append((int(starts[k]), int(ends[k])))
-        raw = buf.tobytes() if any(rows) else b""
-        for r, segments in enumerate(rows):
-            found = []
-            if segments:
+        order = order[:int(np.searchsorted((starts - ends)[order], -least_bytes, side="right"))]
+        places, bits = _marked(dfa, table, dfa.classes[buf], starts[order], ends[order])
+        raw = buf.tobytes() if len(places) else b""
+        for k, (match, prefix, least) in enumerate(kinds):
+            own = np.sort(places[(bits >> k) & 1 > 0])
+            i = 0
+            while i < len(own):
+                start = int(own[i])
+                row = int(np.searchsorted(bounds, start, side="right")) - 1
+                end = match(raw, start, int(bounds[row + 1]))
+                if end < 0:  # a counted tail falls short
+                    i += 1
+                    continue
+                if end - (prefix(raw, start, end) if prefix else start) >= least:
+                    rows[row].append((start, k, end))
+                i = int(np.searchsorted(own, end))
+        for r, spans in enumerate(rows):
+            if spans:
                 a, b = int(bounds[r]), int(bounds[r + 1])
                 points = np.concatenate(([0], np.cumsum((buf[a:b] & 0xC0) != 0x80)))
-                found = sorted((int(points[s - a]), k, int(points[e - a]))
-                               for x, y in segments for s, k, e in _spans(raw, x, y, kinds))
-            out.append(found)
+                rows[r] = sorted((int(points[s - a]), k, int(points[e - a])) for s, k, e in spans)
+        out += rows
     return out
 
 
