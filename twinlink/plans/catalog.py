@@ -21,7 +21,7 @@ from twinlink.operators.serialise import (PROMPT_TEMPLATES, record_text, render_
                                           serialise)
 from twinlink.plans import oracle as O
 from twinlink.plans.baseline import similarity_mean_f1, similarity_report
-from twinlink.plans.fixture_pairs import fixture_pairs
+from twinlink.plans.fixture_pairs import fixture_pairs, stored_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,6 +125,16 @@ def q_row_pairs(spark, sf):
         record_text("left", ", ").alias("record_l"), record_text("right", ", ").alias("record_r"))
 
 
+@register("j1_stored_records_per_split", O.with_fixture(select=(
+    "SELECT pair_id, dataset, split, label, " + O.record_text_sql("left", ", ") + " AS record_l, "
+    + O.record_text_sql("right", ", ") + " AS record_r FROM pairs")))
+def q_stored_records(spark, sf):
+    """J1 split by split over record tables that are stored once, in buckets of their id."""
+    return stored_pairs(spark, sf).select(
+        "pair_id", "dataset", "split", "label",
+        record_text("left", ", ").alias("record_l"), record_text("right", ", ").alias("record_r"))
+
+
 # --- T1-T4: serialisation modes ---
 
 def _mode_query(mode):
