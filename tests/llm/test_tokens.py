@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -44,6 +45,30 @@ def test_token_counts_equal_the_library(spark):
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len((text or "").encode()), n > 1024)
 
 
+def test_frequent_table_finds_what_it_holds_and_nothing_else():
+    rng = random.Random(3)
+    tokens = sorted({bytes(rng.choices(b"abc\x00", k=rng.randrange(1, 16))) for _ in range(5000)})
+    held, rest = tokens[::2], tokens[1::2] + [b"a" * 15, b"zz"]
+    rest = [t for t in rest if t not in set(held)]
+    table = token_counts.FrequentTable(held, [k + 1 for k in range(len(held))])
+
+    def find(own):
+        size = np.array([len(t) for t in own])
+        return table.find(*token_counts._packed(np.frombuffer(b"".join(own) + bytes(8), np.uint8), np.cumsum(size) - size, size)).tolist()
+    assert find(held) == [k + 1 for k in range(len(held))] and not any(find(rest))
+    empty = token_counts.FrequentTable([], [])
+    assert empty.find(*token_counts._packed(np.frombuffer(b"ab" + bytes(8), np.uint8), np.array([0]), np.array([2]))).tolist() == [0]
+
+
+def test_token_counts_do_not_depend_on_the_table(spark):
+    texts = _texts() * 2
+    docs = spark.createDataFrame([(None, t, 5) for t in texts], "doc_id long, text string, n_tokens long")
+    path = P.path("byte_bpe_50k.json")
+    counts = [sorted((str(r.doc.text), r.doc.n_tokens, r.n_tokens) for r in token_counts.count_tokens(docs, path, **o).collect())
+              for o in ({}, {"max_frequent": 0}, {"max_frequent": 3, "sample_bytes": 500})]
+    assert counts[0] == counts[1] == counts[2] and len(counts[0]) == len(texts)
+
+
 def test_bpe_equals_tiktoken_and_decodes(spark):
     texts = _texts()
     path = P.path("byte_bpe_multi_50k.tiktoken")
