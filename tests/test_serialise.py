@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF001
 from twinlink.operators import serialise as S
+from twinlink.plans.fixture_pairs import fixture_pairs
 from twinlink.schema import PAIR_SCHEMA
 
 ROW = [("d|1|2", "d", "test", 1, [("name", "iPhone", "iphone 12", False), ("price", None, "9.5", True)])]
@@ -67,3 +69,18 @@ def test_pack_pairs_pairs_sides_by_position(spark):
                                                             "label int, name_r string")
     got = pack_pairs(wide, "d", split="test").first()
     assert got.pair_id == "d|1|2" and [tuple(a) for a in got.attrs] == [("title", "a", "b", False)]
+
+
+def test_prompts_of_all_templates_in_one_pass(spark):
+    pairs = fixture_pairs(spark, SF001)
+    names = ("jellyfish", "mixtral", "solar", "beluga", "gpt2")
+    out = S.render_prompts(pairs, names)
+    for n in names:
+        own = out.where(F.col("template") == n).drop("template")
+        alone = S.render_prompt(pairs, n)
+        assert own.columns == alone.columns and own.count() == alone.count() and own.exceptAll(alone).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == pairs._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+    assert S.render_prompts(pairs, ()).count() == 0
+    with pytest.raises(ValueError):
+        S.render_prompts(pairs, ["solar", "nope"])

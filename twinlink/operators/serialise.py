@@ -3,6 +3,8 @@ functions over ``attrs``; no Python per row."""
 
 from __future__ import annotations
 
+from typing import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +94,29 @@ def record_text(side: str, sep: str) -> Column:
     return F.array_join(F.transform(F.col("attrs"), lambda a: F.coalesce(a[side], F.lit("nan"))), sep)
 
 
-def render_prompt(pairs: DataFrame, template: str) -> DataFrame:
-    """Named prompt over tab-joined records; 'gpt2' is serialisation mode1."""
+def _prompt(template: str, left: Column, right: Column) -> Column:
     if template == "gpt2":
-        return serialise(pairs, "mode1").withColumnRenamed("text", "prompt")
+        return serialise_text("mode1")
     if template not in PROMPT_TEMPLATES:
         raise ValueError(f"Model {template} not supported.")
     head, mid, tail = PROMPT_TEMPLATES[template].split("{}")
-    prompt = F.concat(F.lit(head), record_text("left", "\t"), F.lit(mid),
-                      record_text("right", "\t"), F.lit(tail))
+    return F.concat(F.lit(head), left, F.lit(mid), right, F.lit(tail))
+
+
+def render_prompt(pairs: DataFrame, template: str) -> DataFrame:
+    """Named prompt over tab-joined records; 'gpt2' is serialisation mode1."""
+    prompt = _prompt(template, record_text("left", "\t"), record_text("right", "\t"))
     return pairs.select("pair_id", "dataset", "split", prompt.alias("prompt"), "label")
+
+
+def render_prompts(pairs: DataFrame, templates: Iterable[str]) -> DataFrame:
+    """T8 for several templates: ``template`` and the columns of ``render_prompt``, a row each.
+
+    The pairs are read once and each record's text is joined once, whatever the number of templates; without
+    templates there are no rows."""
+    own = pairs.select("pair_id", "dataset", "split", "label", "attrs",
+                       record_text("left", "\t").alias("_left"), record_text("right", "\t").alias("_right"))
+    prompts = [F.struct(F.lit(t).alias("template"), _prompt(t, F.col("_left"), F.col("_right")).alias("prompt")) for t in templates]
+    rows = F.array(*prompts) if prompts else F.array().cast("array<struct<template:string,prompt:string>>")
+    return (own.select("pair_id", "dataset", "split", "label", F.inline(rows))
+            .select("template", "pair_id", "dataset", "split", "prompt", "label"))

@@ -17,7 +17,7 @@ from twinlink.operators.pairs import attach_predictions
 from twinlink.operators.report import mean_f1, metrics_report
 from twinlink.functions.similarity import AUTOJUNK, COUNTED
 from twinlink.operators.score import native_decision, similarity_decision, similarity_inputs
-from twinlink.operators.serialise import (PROMPT_TEMPLATES, record_text, render_prompt,
+from twinlink.operators.serialise import (PROMPT_TEMPLATES, record_text, render_prompts,
                                           serialise)
 from twinlink.plans import oracle as O
 from twinlink.plans.baseline import similarity_mean_f1, similarity_report
@@ -165,12 +165,7 @@ _PROMPTS = ("jellyfish", "mixtral", "solar", "beluga", "gpt2")
     f"SELECT '{n}' AS template, pair_id, dataset, split, {_prompt_sql(n)} AS prompt, label FROM pairs"
     for n in _PROMPTS)))
 def q_prompts(spark, sf):
-    pairs = fixture_pairs(spark, sf)
-    out = None
-    for n in _PROMPTS:
-        d = render_prompt(pairs, n).select(F.lit(n).alias("template"), "*")
-        out = d if out is None else out.unionByName(d)
-    return out
+    return render_prompts(fixture_pairs(spark, sf), _PROMPTS)
 
 
 # --- R2-R5 with the rule predictor (J3 attaches it by key) ---
