@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from twinlink.operators.attributes import attribute_pairs
+from twinlink.operators.classifier import rule_predictions
+from twinlink.operators.pairs import attach_predictions
 from twinlink.operators.serialise import serialise
 from twinlink.plans.fixture_pairs import fixture_pairs
 from twinlink.session import scratch_dir
-from twinlink.sources.files import read_pairs, write_pairs
+from twinlink.sources.files import read_pairs, read_predictions, write_pairs, write_predictions
 from twinlink.sources.fixtures import read_table
 
 
@@ -37,3 +39,16 @@ def test_hot_paths_are_native_and_hash_aggregated(spark):
     for df in (attribute_pairs(pairs), serialise(pairs, "mode4")):
         plan = _plan(df)
         assert "Python" not in plan and "SortAggregate" not in plan
+
+
+def test_records_and_predictions_are_not_collected_for_a_broadcast(spark):
+    pairs = fixture_pairs(spark, SF001)         # files far below the broadcast threshold
+    path = scratch_dir(spark, "predictions")
+    write_predictions(rule_predictions(pairs).withColumn("dataset", F.lit("all")), path)
+    stored = scratch_dir(spark, "pairs")
+    write_pairs(pairs, stored)
+    few = read_pairs(spark, stored)
+    for df, joins in ((pairs, 6), (attach_predictions(few, read_predictions(spark, path)), 1),
+                      (attach_predictions(few, read_predictions(spark, path), check=False), 1)):
+        plan = _plan(df)
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == joins

@@ -26,13 +26,14 @@ def materialise_pairs(a: DataFrame, b: DataFrame, id_pairs: DataFrame, id_col: s
                       keep: Iterable[str] = ()) -> DataFrame:
     """``id_pairs ⋈ A on ltable_id ⋈ B on rtable_id``, attributes suffixed _l/_r.
 
-    Inner joins: unmatched pairs vanish, duplicate record ids fan out.  The join
-    strategy (broadcast / sort-merge) and skew splitting are left to AQE.
+    Inner joins: unmatched pairs vanish, duplicate record ids fan out.  Merge joins by
+    hint: Spark plans a broadcast by the size of files, and compressed records are many
+    times as large once they are collected on the driver.  AQE splits a hot record id.
     """
     attrs = [c for c in a.columns if c != id_col]
     left = a.select(F.col(id_col).alias("ltable_id"), *[F.col(c).alias(f"{c}_l") for c in attrs])
     right = b.select(F.col(id_col).alias("rtable_id"), *[F.col(c).alias(f"{c}_r") for c in attrs])
-    joined = id_pairs.join(left, "ltable_id").join(right, "rtable_id")
+    joined = id_pairs.join(left.hint("merge"), "ltable_id").join(right.hint("merge"), "rtable_id")
     extra = [c for c in id_pairs.columns if c not in ("ltable_id", "rtable_id", "label")]
     return joined.select("ltable_id", "rtable_id", *extra, *[f"{c}_l" for c in attrs],
                          "label", *[f"{c}_r" for c in attrs], *keep)
@@ -104,10 +105,10 @@ def attach_predictions(pairs: DataFrame, predictions: DataFrame, check: bool = T
     """
     rest = [c for c in predictions.columns if c != "pair_id"]
     if not check:
-        return pairs.join(predictions.select("pair_id", *rest), "pair_id", "left")
+        return pairs.join(predictions.select("pair_id", *rest).hint("merge"), "pair_id", "left")
     one = predictions.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n"),
                                              *[F.min(c).alias(c) for c in rest])
-    joined = pairs.join(one, "pair_id", "left")
+    joined = pairs.join(one.hint("merge"), "pair_id", "left")     # predictions grow with the pairs
     pid = F.col("pair_id").cast("string")
     checked = (F.when(F.col("_n").isNull(),
                       F.raise_error(F.concat(F.lit("no prediction for pair "), pid)).cast("int"))
