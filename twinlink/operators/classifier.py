@@ -36,14 +36,20 @@ def with_rule_prediction(pairs: DataFrame, attribute: str = "name") -> DataFrame
 
 # --- U3-U5: Spark ML pair classifier on schema-independent native features ---
 
-from functools import reduce  # noqa: E402
+from functools import partial, reduce  # noqa: E402
+from multiprocessing.pool import ThreadPool  # noqa: E402
+from typing import Callable  # noqa: E402
 
+from pyspark import inheritable_thread_target  # noqa: E402
 from pyspark.ml import Pipeline  # noqa: E402
 from pyspark.ml.classification import GBTClassifier  # noqa: E402
 from pyspark.ml.feature import VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from twinlink.functions.nulls import is_null_token  # noqa: E402
+from twinlink.tables import written  # noqa: E402
+
+PARALLEL_FITS = 3
 
 FEATURES = ["f_equal", "f_contains", "f_one_null", "f_both_null",
             "f_lev_mean", "f_lev_min", "f_lev_max", "f_jac_mean", "f_jac_min", "f_jac_max",
@@ -115,7 +121,10 @@ def attribute_examples(attr_pairs: DataFrame) -> DataFrame:
 
 def fit_features(train: DataFrame, valid: DataFrame | None = None, seed: int = 42, max_iter: int = 40,
                  max_depth: int = 4, features: list[str] = FEATURES):
-    """U3 on a feature table: a GBT classifier; ``valid`` drives early stopping."""
+    """U3 on a feature table: a GBT classifier; ``valid`` drives early stopping.
+
+    The rows are dealt evenly over the cores and written first: the fit scans them several times, which would
+    compute the features anew each time, and caches them as they lie, one pass for each level of a tree."""
     cols = ["label", *features]
     data = train.select(*cols, F.lit(False).alias("_is_valid"))
     if valid is not None:
@@ -124,7 +133,14 @@ def fit_features(train: DataFrame, valid: DataFrame | None = None, seed: int = 4
     if valid is not None:
         gbt = gbt.setValidationIndicatorCol("_is_valid")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt])
-    return pipe.fit(data.withColumn("label", F.col("label").cast("double")))
+    data = data.withColumn("label", F.col("label").cast("double"))
+    return pipe.fit(written(data.repartition(data.sparkSession.sparkContext.defaultParallelism), "fit-rows"))
+
+
+def fit_each(spark, fits: list[Callable]) -> list:
+    """What each of ``fits`` returns; ``PARALLEL_FITS`` of them run at a time (their jobs are many and short)."""
+    with ThreadPool(max(1, min(PARALLEL_FITS, len(fits)))) as pool:
+        return pool.map(lambda fit: inheritable_thread_target(spark)(fit)(), fits)
 
 
 def score_features(model, table: DataFrame, out: str) -> DataFrame:
@@ -151,13 +167,12 @@ def predict_pairs(model, pairs: DataFrame) -> DataFrame:
 def prepare_predictions(pairs: DataFrame, datasets: list[str], seed: int = 42, max_iter: int = 40) -> DataFrame:
     """One model per dataset, fitted on its train split with valid for tuning;
     in-sample train and valid predictions (they feed the hard-positive filter)."""
-    outs = []
-    for ds in datasets:
+    def one(ds):
         mine = pairs.where(F.col("dataset") == ds)
         train, valid = mine.where(F.col("split") == "train"), mine.where(F.col("split") == "valid")
         model = fit_pair_classifier(train, valid, seed=seed, max_iter=max_iter)
-        outs.append(predict_pairs(model, mine.where(F.col("split").isin("train", "valid"))).drop("label"))
-    return reduce(lambda a, b: a.unionByName(b), outs)
+        return predict_pairs(model, mine.where(F.col("split").isin("train", "valid"))).drop("label")
+    return reduce(lambda a, b: a.unionByName(b), fit_each(pairs.sparkSession, [partial(one, ds) for ds in datasets]))
 
 
 # --- U6: user-supplied batch scorer ---

@@ -12,11 +12,13 @@ label beside it: one scan of the tests, one aggregate, no join, whatever the num
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlink.operators.assemble import sample_train
-from twinlink.operators.classifier import (FEATURES, attribute_examples, feature_table, fit_features,
+from twinlink.operators.classifier import (FEATURES, attribute_examples, feature_table, fit_each, fit_features,
                                            score_features)
 from twinlink.operators.report import metrics_report
 from twinlink.operators.sampling import balance_attribute_pairs
@@ -77,7 +79,8 @@ def holdout_predictions(pairs: DataFrame, datasets: list[str], sampler: str = "a
             raise ValueError(f"mix {mix!r} needs attribute pairs")
         balanced = balance_attribute_pairs(attr_pairs.where(F.col("split") != "test"), cap=cap, folds=datasets)
         attrs = written(feature_table(attribute_examples(balanced), "fold"), "holdout-attributes")
-    models = {d: fold_models(rows, attrs, d, mix, seed, max_iter) for d in datasets}
+    fits = [partial(fold_models, rows, attrs, d, mix, seed, max_iter) for d in datasets]
+    models = dict(zip(datasets, fit_each(pairs.sparkSession, fits)))
     return score_folds(rows.where("split = 'test'"), models)
 
 
