@@ -47,3 +47,12 @@ def test_attribute_sets_are_balanced_per_fold(spark):
         alone = D.read_attribute_datasets(ap.where(F.col("dataset") != f), "mode1", cap=None)
         got = sorted(r.pair_id for r in per_fold.where(F.col("fold") == f).collect())
         assert got == sorted(r.pair_id for r in alone.collect())
+
+
+def test_a_folder_is_written_by_few_tasks(spark):
+    pairs = fixture_pairs(spark, SF001)
+    sets = XP.hold_out_sets(pairs, FOLDS, "row", predictions=with_rule_prediction).repartition(8)
+    path = scratch_dir(spark, "inputs")
+    XP.write_hold_out_inputs(sets, path)
+    files = [f.rsplit("/", 1)[0] for f in spark.read.parquet(path).inputFiles()]
+    assert len(set(files)) == 7 and len(files) == 7     # small folders, not one file for each of 8 tasks

@@ -44,8 +44,9 @@ def hold_out_sets(pairs: DataFrame, datasets: list[str], mix: str = "row", attr_
 
 def write_hold_out_inputs(sets: DataFrame, path: str, yes_no: bool = True, max_tokens=None) -> DataFrame:
     """Model inputs of ``hold_out_sets`` written under ``fold=…/split=…``; returns the
-    dropped-for-length report (one row per fold, phase, dataset and split)."""
+    dropped-for-length report (one row per fold, phase, dataset and split).  Rows are rebalanced
+    by folder, so that no task sorts for the joins and for the folders at once."""
     ex = model_examples(sets, yes_no=yes_no, max_tokens=max_tokens)
-    kept_examples(ex).write.mode("overwrite").partitionBy("fold", "split").parquet(path)
+    kept_examples(ex).hint("rebalance", "fold", "split").write.mode("overwrite").partitionBy("fold", "split").parquet(path)
     return ex.groupBy("fold", "phase", "dataset", "split").agg(
         F.count(F.lit(1)).alias("n_texts"), F.count_if(~F.col("kept")).alias("n_dropped"))
