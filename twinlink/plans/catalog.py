@@ -911,7 +911,8 @@ def q_stream_similarity(spark, sf):
     src = _stored_pairs(spark, sf)
     stream = ST.read_pair_stream(spark, src, max_files_per_trigger=4).where(F.col("split") == "test")
     out, ckpt = scratch_dir(spark, "stream-scores"), scratch_dir(spark, "stream-ckpt")
-    ST.start_scored_sink(ST.score_stream(stream, scorer), out, ckpt).awaitTermination()
+    scored = ST.score_stream(stream, scorer, tasks=spark.sparkContext.defaultParallelism)
+    ST.start_scored_sink(scored, out, ckpt).awaitTermination()
     return spark.read.parquet(out).select("pair_id", "dataset", "split", "label", "prediction")
 
 

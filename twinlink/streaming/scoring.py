@@ -27,9 +27,10 @@ def read_pair_stream(spark: SparkSession, root: str, max_files_per_trigger: int
     return reader.parquet(root)
 
 
-def score_stream(pairs: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Stateless: ``scorer(pairs) -> pairs + prediction`` (row-independent)."""
-    return scorer(pairs).select("pair_id", "dataset", "split", "label", "prediction")
+def score_stream(pairs: DataFrame, scorer: Callable[[DataFrame], DataFrame], tasks: int | None = None) -> DataFrame:
+    """Stateless: ``scorer(pairs) -> pairs + prediction`` (row-independent).  With ``tasks`` the rows of a
+    micro-batch are dealt evenly to so many tasks first: a costly scorer would otherwise have one task a file."""
+    return scorer(pairs.repartition(tasks) if tasks else pairs).select("pair_id", "dataset", "split", "label", "prediction")
 
 
 def running_report(scored: DataFrame, by=("dataset",)) -> DataFrame:
