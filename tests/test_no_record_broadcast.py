@@ -12,6 +12,7 @@ from twinlink.plans.catalog import QUERIES
 TABLES = ("part.parquet", "customer.parquet", "supplier.parquet")
 CHECKED = [
     "st_streaming_similarity_scores",
+    "d3_attribute_sets_per_fold",
 ]
 
 
