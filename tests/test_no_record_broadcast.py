@@ -13,6 +13,7 @@ TABLES = ("part.parquet", "customer.parquet", "supplier.parquet")
 CHECKED = [
     "st_streaming_similarity_scores",
     "d3_attribute_sets_per_fold",
+    "d3_attribute_sets_per_fold_sizes",
 ]
 
 
