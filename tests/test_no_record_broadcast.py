@@ -14,6 +14,7 @@ CHECKED = [
     "st_streaming_similarity_scores",
     "d3_attribute_sets_per_fold",
     "d3_attribute_sets_per_fold_sizes",
+    "d8_attr_plus_row_balanced",
 ]
 
 
