@@ -16,6 +16,7 @@ CHECKED = [
     "d3_attribute_sets_per_fold_sizes",
     "d8_attr_plus_row_balanced",
     "d9_attr_then_row_sizes",
+    "e2_hold_out_attr_then_row",
 ]
 
 
