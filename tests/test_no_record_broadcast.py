@@ -17,6 +17,7 @@ CHECKED = [
     "d8_attr_plus_row_balanced",
     "d9_attr_then_row_sizes",
     "e2_hold_out_attr_then_row",
+    "k1_s4_pairs_roundtrip",
 ]
 
 
