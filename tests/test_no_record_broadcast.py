@@ -18,6 +18,7 @@ CHECKED = [
     "d9_attr_then_row_sizes",
     "e2_hold_out_attr_then_row",
     "k1_s4_pairs_roundtrip",
+    "k2_s5_attribute_pairs_roundtrip",
 ]
 
 
