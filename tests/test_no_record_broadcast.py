@@ -19,6 +19,7 @@ CHECKED = [
     "e2_hold_out_attr_then_row",
     "k1_s4_pairs_roundtrip",
     "k2_s5_attribute_pairs_roundtrip",
+    "k3_s6_predictions_roundtrip",
 ]
 
 
