@@ -20,6 +20,7 @@ CHECKED = [
     "k1_s4_pairs_roundtrip",
     "k2_s5_attribute_pairs_roundtrip",
     "k3_s6_predictions_roundtrip",
+    "m5_balance_attribute_pairs",
 ]
 
 
