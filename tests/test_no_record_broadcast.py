@@ -21,6 +21,7 @@ CHECKED = [
     "k2_s5_attribute_pairs_roundtrip",
     "k3_s6_predictions_roundtrip",
     "m5_balance_attribute_pairs",
+    "m6_cap_attribute_pairs_sizes",
 ]
 
 
