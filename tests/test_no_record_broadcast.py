@@ -22,6 +22,7 @@ CHECKED = [
     "k3_s6_predictions_roundtrip",
     "m5_balance_attribute_pairs",
     "m6_cap_attribute_pairs_sizes",
+    "p6_p7_merge_price_currency",
 ]
 
 
