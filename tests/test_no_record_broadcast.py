@@ -23,6 +23,7 @@ CHECKED = [
     "m5_balance_attribute_pairs",
     "m6_cap_attribute_pairs_sizes",
     "p6_p7_merge_price_currency",
+    "r7_padded_token_report",
 ]
 
 
