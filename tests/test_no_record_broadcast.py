@@ -24,6 +24,7 @@ CHECKED = [
     "m6_cap_attribute_pairs_sizes",
     "p6_p7_merge_price_currency",
     "r7_padded_token_report",
+    "s7_test_split_pruned",
 ]
 
 
