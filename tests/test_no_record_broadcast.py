@@ -25,6 +25,7 @@ CHECKED = [
     "p6_p7_merge_price_currency",
     "r7_padded_token_report",
     "s7_test_split_pruned",
+    "t8_prompts",
 ]
 
 
