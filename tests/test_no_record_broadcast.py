@@ -26,6 +26,7 @@ CHECKED = [
     "r7_padded_token_report",
     "s7_test_split_pruned",
     "t8_prompts",
+    "t_serialise_mode3",
 ]
 
 
