@@ -27,6 +27,7 @@ CHECKED = [
     "s7_test_split_pruned",
     "t8_prompts",
     "t_serialise_mode3",
+    "d1_read_datasets",
 ]
 
 
