@@ -28,6 +28,7 @@ CHECKED = [
     "t8_prompts",
     "t_serialise_mode3",
     "d1_read_datasets",
+    "p14_model_examples",
 ]
 
 
