@@ -29,6 +29,7 @@ CHECKED = [
     "t_serialise_mode3",
     "d1_read_datasets",
     "p14_model_examples",
+    "d2_read_datasets_flip_permute",
 ]
 
 
