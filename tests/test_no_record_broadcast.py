@@ -30,6 +30,7 @@ CHECKED = [
     "d1_read_datasets",
     "p14_model_examples",
     "d2_read_datasets_flip_permute",
+    "d10_example_texts",
 ]
 
 
