@@ -31,6 +31,7 @@ CHECKED = [
     "p14_model_examples",
     "d2_read_datasets_flip_permute",
     "d10_example_texts",
+    "d3_attribute_datasets_sizes",
 ]
 
 
