@@ -4,6 +4,7 @@ writes on the way.  At sf0.01 every record file lies far below the broadcast thr
 import re
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql.readwriter import DataFrameWriter
 
 from conftest import SF01
@@ -64,3 +65,16 @@ def test_no_broadcast_of_records(spark, monkeypatch, name):
     plans.append(_plan(QUERIES[name](spark, SF01)))
     assert any("SortMergeJoin" in p for p in plans) and any(t in p for p in plans for t in TABLES)
     assert not [x for p in plans for x in _broadcast_records(p)]
+
+
+def test_no_broadcast_of_records_before_a_checkpoint(spark, monkeypatch):
+    """m1_sample_exact cuts its sample with a checkpoint, which no later plan shows."""
+    plans, checkpoint = [], DataFrame.checkpoint
+
+    def noted(self, *args, **kwargs):
+        plans.append(_plan(self))
+        return checkpoint(self, *args, **kwargs)
+    monkeypatch.setattr(DataFrame, "checkpoint", noted)
+    QUERIES["m1_sample_exact"](spark, SF01)
+    assert plans and all("SortMergeJoin" in p and any(t in p for t in TABLES) for p in plans)
+    assert not [x for p in plans for x in _broadcast_records(p)]
