@@ -22,6 +22,7 @@ CHECKED = [
     "k2_s5_attribute_pairs_roundtrip",
     "k3_s6_predictions_roundtrip",
     "m5_balance_attribute_pairs",
+    "m5_balance_bucketed",
     "m6_cap_attribute_pairs_sizes",
     "p6_p7_merge_price_currency",
     "r7_padded_token_report",
