@@ -33,6 +33,7 @@ CHECKED = [
     "p14_model_examples",
     "d2_read_datasets_flip_permute",
     "d10_example_texts",
+    "r6_holdout_evaluation",
     "d3_attribute_datasets_sizes",
 ]
 
